@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing
+from . import decontaminate, divergence, langid, linededup, mixing, ngramlm, quality, tokenfile
 
 
 def queries() -> dict:
-    found = (decontaminate.op3_decontaminate_templates, mixing.op10_mix_curriculum)
+    found = (
+        divergence.op2_distribution_divergence, decontaminate.op3_decontaminate_templates, tokenfile.op4_token_file, ngramlm.op6_kneser_ney,
+        langid.op7_language_id, linededup.op8_line_dedup, quality.op9_quality_classifier, mixing.op10_mix_curriculum,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_curriculum": mixing.ORACLE_SQL}
+    return {"op8_line_dedup": linededup.ORACLE_SQL, "op10_mix_curriculum": mixing.ORACLE_SQL}
