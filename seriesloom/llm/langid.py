@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import chunks, crc_mod, read_documents
+from .shared import chunks, crc_mod, mix, ranges_hash, read_documents
 
 MAX_DOCS = 600
 MAX_LANGS = 100
@@ -34,7 +34,6 @@ MAX_GRAMS = 40_000
 MIN_COUNT = 2
 LENGTHS = (4, 3, 2, 1)
 EVIDENCE = 8
-CACHE_WORDS = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -56,51 +55,96 @@ def training_rows(docs: DataFrame, wanted) -> DataFrame:
     return labelled.where(place < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0))).select("lang", "text")
 
 
+class Letters:
+    """The letter runs of lower-cased texts, as code points: bounds, document and hash of each."""
+
+    def __init__(self, texts: list[str | None]):
+        lowered = [(t or "").lower() for t in texts]
+        self.codes = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "replace"), np.uint32)
+        letter = is_letter(self.codes)
+        edge = np.diff(letter.astype(np.int8), prepend=0)
+        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # the last character is no letter
+        lasts = np.cumsum([len(t) + 1 for t in lowered])
+        self.doc = np.searchsorted(lasts, self.starts, "right")
+        self.hashes = ranges_hash(code_hash(self.codes), self.starts, self.ends)
+
+
+_BMP = np.array([chr(i).isalpha() for i in range(1 << 16)])
+
+
+def is_letter(codes: np.ndarray) -> np.ndarray:
+    out = _BMP[np.minimum(codes, 0xFFFF)]
+    for c in np.unique(codes[codes > 0xFFFF]).tolist():
+        out[codes == c] = chr(c).isalpha()
+    return out
+
+
+def code_hash(codes: np.ndarray) -> np.ndarray:
+    return mix(codes.astype(np.uint64) + np.uint64(0x1F123BB5)) | np.uint64(1)
+
+
+def gram_hashes(grams: list[str]) -> np.ndarray:
+    ends = np.cumsum([len(g) for g in grams])
+    return ranges_hash(code_hash(np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32)), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)) if grams else np.zeros(0, np.uint64)
+
+
 class Model:
-    """langs; per kind ("w" or an n) a dict gram -> row and a float32 matrix of log frequencies by language."""
-
-    def __init__(self, langs: list[str], tables: dict, prior: np.ndarray):
-        self.langs, self.tables, self.prior = langs, tables, prior
-        self.cache: dict[str, np.ndarray | None] = {}
-
-    def __getstate__(self):
-        return self.langs, self.tables, self.prior
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def word(self, word: str) -> np.ndarray | None:
-        got = self.cache.get(word, self)
-        if got is self:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            got = self.cache[word] = self._score(word)
-        return got
-
-    def _score(self, word: str) -> np.ndarray | None:
-        index, logs = self.tables["w"]
-        if (at := index.get(word)) is not None:
-            return logs[at]
+    """langs, and per kind ("w" or an n) sorted gram hashes with a float32 matrix of log frequencies by language."""
+
+    def __init__(self, langs: list[str], tables: dict):
+        self.langs, self.tables = langs, tables
+
+    def find(self, kind, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each hash, and whether it is known."""
+        keys = self.tables[kind][0]
+        if not len(keys):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return at, keys[at] == hashes
+
+    def words(self, text: Letters, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log frequencies of the distinct words at these places, and which have any."""
+        out = np.zeros((len(at), len(self.langs)), np.float32)
+        rows, done = self.find("w", text.hashes[at])
+        out[done] = self.tables["w"][1][rows[done]]
         for n in LENGTHS:
-            index, logs = self.tables[n]
-            rows = [at for g in grams(word, n) if (at := index.get(g)) is not None]
-            if rows:
-                return logs[rows].mean(axis=0)
-        return None
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(_LETTERS.findall(text.lower())) if text else {}
-        if not words or not self.langs:
-            return "und", 0.0
-        total, n = np.zeros(len(self.langs)), 0
-        for word, count in words.items():
-            if (score := self.word(word)) is not None:
-                total += count * score
-                n += count
-        total = total / max(n, 1) * min(n, EVIDENCE)
-        p = np.exp(total - total.max())
-        best = int(p.argmax())
-        return self.langs[best], float(p[best] / p.sum())
+            left = np.flatnonzero(~done)
+            if not len(left):
+                break
+            pad = 1 if n > 1 else 0
+            length = text.ends[at[left]] - text.starts[at[left]]
+            first = np.cumsum(length + 2 * pad) - (length + 2 * pad)
+            codes = np.full(int((length + 2 * pad).sum()), ord(" "), np.uint32)
+            step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+            codes[np.repeat(first + pad, length) + step] = text.codes[np.repeat(text.starts[at[left]], length) + step]
+            many = np.maximum(length + 2 * pad - n + 1, 0)
+            of = np.repeat(np.arange(len(left)), many)
+            spot = np.repeat(first, many) + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            rows, known = self.find(n, ranges_hash(code_hash(codes), spot, spot + n))
+            of, rows = of[known], rows[known]
+            if len(of):
+                edge = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                out[left[of[edge]]] = np.add.reduceat(self.tables[n][1][rows], edge, axis=0) / np.diff(np.append(edge, len(of)))[:, None]
+                done[left[of[edge]]] = True
+        return out, done
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        text, k = Letters(texts), len(self.langs)
+        if not len(text.starts) or not k:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        _, first, inverse = np.unique(text.hashes, return_index=True, return_inverse=True)
+        logs, known = self.words(text, first)
+        edge = np.flatnonzero(np.append(True, text.doc[1:] != text.doc[:-1]))
+        docs = text.doc[edge]
+        total, n = np.zeros((len(texts), k)), np.zeros(len(texts))
+        total[docs] = np.add.reduceat(logs[inverse].astype(np.float64), edge, axis=0)
+        n[docs] = np.add.reduceat(known[inverse].astype(float), edge)
+        total *= (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
+        p = np.exp(total - total.max(axis=1, keepdims=True))
+        best = p.argmax(axis=1)
+        has = np.zeros(len(texts), bool)
+        has[docs] = True
+        return [self.langs[b] if h else "und" for b, h in zip(best, has)], np.where(has, p.max(axis=1) / p.sum(axis=1), 0.0)
 
 
 def fit(docs: DataFrame, wanted) -> Model:
@@ -134,12 +178,17 @@ def fit(docs: DataFrame, wanted) -> Model:
     tables = {}
     for kind in ("w", *LENGTHS):
         part = best[best["kind"] == str(kind)]
-        index = {g: i for i, g in enumerate(sorted(part["gram"].unique()))}
+        every = sorted(part["gram"].unique())
+        hashes = gram_hashes(every)
+        order = np.argsort(hashes)
+        place = np.empty(len(every), np.int64)
+        place[order] = np.arange(len(every))
+        index = dict(zip(every, place.tolist()))
         counts = np.zeros((len(index), len(langs)))
         np.add.at(counts, ([index[g] for g in part["gram"]], [at_lang[x] for x in part["lang"]]), part["n"].to_numpy())
         smooth = counts + 0.5
-        tables[kind] = index, np.log(smooth / smooth.sum(axis=0, keepdims=True)).astype(np.float32) if len(index) else smooth
-    return Model(langs, tables, np.zeros(len(langs)))
+        tables[kind] = hashes[order], np.log(smooth / smooth.sum(axis=0, keepdims=True)).astype(np.float32) if len(index) else smooth
+    return Model(langs, tables)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -149,8 +198,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = shared.value
         for batch in chunks(batches):
-            found = [use.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            langs, score = use.predict(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(go, "doc_id long, held_out boolean, lang_pred string, score double")
 
