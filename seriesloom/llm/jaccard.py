@@ -54,7 +54,7 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_keys(values: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
-    sums = [np.concatenate([[0], np.cumsum(mix(values ^ np.uint64(salt)))]).astype(np.uint64) for salt in (0x5E7A11, 0xC0FFEE0123)]
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(salt)))]) for salt in (0x5E7A11, 0xC0FFEE0123)]
     a, b = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
     return [x.tobytes() + y.tobytes() if m else None for x, y, m in zip(a, b, np.diff(bounds))]
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, divergence, jaccard, langid, linededup, mixing, ngramlm, quality, tokenfile
+from . import decontaminate, divergence, jaccard, langid, linededup, mixing, ngramlm, quality, substring, tokenfile
 
 
 def queries() -> dict:
     found = (
-        divergence.op2_distribution_divergence, decontaminate.op3_decontaminate_templates, tokenfile.op4_token_file, jaccard.op5_jaccard_join, ngramlm.op6_kneser_ney,
+        substring.op1_substring_dedup, divergence.op2_distribution_divergence, decontaminate.op3_decontaminate_templates, tokenfile.op4_token_file, jaccard.op5_jaccard_join, ngramlm.op6_kneser_ney,
         langid.op7_language_id, linededup.op8_line_dedup, quality.op9_quality_classifier, mixing.op10_mix_curriculum,
     )
     return {f.__name__: f for f in found}
