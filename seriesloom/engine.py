@@ -23,7 +23,7 @@ from .operators import merge
 from .plans import syntax
 from .plans.planner import Planner, Scalar, Vector
 from .sources import catalog
-from .sources.groups import ConfigError, SourceGroup, check_groups, check_ignore
+from .sources.groups import BrokenSource, ConfigError, SourceGroup, check_groups, check_ignore
 from .sources.model import SAMPLES, Grid, labels_of
 
 PUSHED = ("sum", "min", "max", "topk", "bottomk", "group", "avg", "count", "count_values")
@@ -86,7 +86,7 @@ class Engine:
                 window = (None, None) if low is None else g.window(low, high, now)
                 if window is not None:
                     out.append(g.samples(matchers, *window))
-            except PySparkException as e:
+            except (PySparkException, BrokenSource) as e:
                 if g.ignore_error:
                     continue
                 if g.downgrade_error or self.options.partial_response:

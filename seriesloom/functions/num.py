@@ -59,19 +59,26 @@ def whole(c: Column, f) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) >= 2.0**62), c).otherwise(f(c).cast("double"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once per row: a lambda's argument is not inlined."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def quantile(q: float | Column, values: Column) -> Column:
     """Linear interpolation over an array of values; NaN sorts first, as the smallest."""
     q = q if isinstance(q, Column) else lit(q)
+
+    def of(ordered: Column) -> Column:
+        n = F.size(ordered)
+        rank = q * (n - 1)
+        low = F.greatest(F.lit(0), F.floor(rank).cast("int"))
+        weight = rank - F.floor(rank)
+        a, b = F.get(ordered, low), F.get(ordered, F.least(n - 1, low + 1))
+        inside = F.when(weight == 0, a).otherwise(a * (1 - weight) + b * weight)
+        return F.when(F.isnan(q) | (n == 0), lit(NAN)).when(q < 0, lit(-INF)).when(q > 1, lit(INF)).otherwise(inside)
+
     nans = F.filter(values, lambda x: F.isnan(x))
-    ordered = F.concat(nans, F.array_sort(F.filter(values, lambda x: ~F.isnan(x))))
-    n = F.size(ordered)
-    rank = q * (n - 1)
-    low = F.greatest(F.lit(0), F.floor(rank).cast("int"))
-    high = F.least(n - 1, low + 1)
-    weight = rank - F.floor(rank)
-    a, b = F.get(ordered, low), F.get(ordered, high)
-    inside = F.when(weight == 0, a).otherwise(a * (1 - weight) + b * weight)
-    return F.when(F.isnan(q) | (n == 0), lit(NAN)).when(q < 0, lit(-INF)).when(q > 1, lit(INF)).otherwise(inside)
+    return let(F.concat(nans, F.array_sort(F.filter(values, lambda x: ~F.isnan(x)))), of)
 
 
 def sample_text(c: Column) -> Column:

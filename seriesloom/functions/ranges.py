@@ -53,18 +53,17 @@ def functions() -> dict:
 
         return f
 
-    def _line(ahead: Column | None, at_step: bool):
+    def _line(ahead):
+        """Least squares, by Spark's numerically stable regression aggregates; a constant series has slope 0 exactly."""
         t = (ts - step) / 1000.0
-        aggs = {"n": F.count(F.lit(1)), "st": F.sum(t), "sv": F.sum(v), "stt": F.sum(t * t), "stv": F.sum(t * v), "lo": F.min("value"), "hi": F.max("value")}
-        n, st, sv, stt, stv = (F.col(c) for c in ("n", "st", "sv", "stt", "stv"))
+        aggs = {"n": F.count(F.lit(1)), "m": F.regr_slope(v, t), "c": F.regr_intercept(v, t), "lo": F.min("value"), "hi": F.max("value")}
         flat = (F.col("lo") == F.col("hi")) & ~F.isnan("lo")
-        slope = F.when(flat, num.lit(0)).otherwise(F.try_divide(stv - st * sv / n, stt - st * st / n))
-        out = slope if ahead is None else F.when(flat, F.col("lo")).otherwise(sv / n - slope * st / n) + slope * ahead
-        return aggs, F.when(n >= 2, out)
+        slope = F.when(flat, num.lit(0)).otherwise(F.col("m"))
+        out = slope if ahead is None else F.when(flat, F.col("lo")).otherwise(F.col("c")) + slope * ahead
+        return aggs, F.when(F.col("n") >= 2, out)
 
     def _mad(span, *a):
-        m = num.quantile(0.5, F.col("x"))
-        return {"x": F.collect_list("value")}, num.quantile(0.5, F.transform(F.col("x"), lambda y: F.abs(y - m)))
+        return {"x": F.collect_list("value")}, num.let(num.quantile(0.5, F.col("x")), lambda m: num.quantile(0.5, F.transform(F.col("x"), lambda y: F.abs(y - m))))
 
     def _smoothed(span, sf: Column, tf: Column):
         """Holt's double smoothing, in time order: s = sf x + (1 - sf)(s + b), b = tf (s - s') + (1 - tf) b, started with the first
@@ -84,8 +83,8 @@ def functions() -> dict:
         "delta": _extrapolated(False, False),
         "irate": _last_two(True),
         "idelta": _last_two(False),
-        "deriv": lambda span, *a: _line(None, False),
-        "predict_linear": lambda span, ahead: _line(ahead, True),
+        "deriv": lambda span, *a: _line(None),
+        "predict_linear": lambda span, ahead: _line(ahead),
         "avg_over_time": _simple(F.avg("value")),
         "sum_over_time": _simple(F.sum("value")),
         "min_over_time": _simple(F.min("value")),

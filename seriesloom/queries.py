@@ -62,7 +62,7 @@ _EX = f"""WITH {window(7)}, a AS (SELECT event_type, user_id, step, count(*) n,
 b AS (SELECT *, (lt - ft) / 1000.0::DOUBLE s, (lt - ft) / 1000.0::DOUBLE / (n - 1) m, (ft - step + {7 * DAY}) / 1000.0::DOUBLE h, (step - lt) / 1000.0::DOUBLE t, l - f + CASE WHEN {{counter}} THEN r ELSE 0 END res FROM a),
 c AS (SELECT *, CASE WHEN h >= m * 1.1 THEN m / 2 ELSE h END h1, CASE WHEN t >= m * 1.1 THEN m / 2 ELSE t END t1 FROM b),
 d AS (SELECT *, CASE WHEN {{counter}} AND res > 0 AND f >= 0 THEN least(h1, s * f / res) ELSE h1 END h2 FROM c)
-SELECT event_type, user_id, step, round(res * (s + h2 + t1) / s / {{div}}, 6) AS value FROM d"""
+SELECT event_type, user_id, step, round(res * ((s + h2 + t1) / s) / {{div}}, 6) AS value FROM d"""
 
 
 def extrapolated(counter: bool, div: str = "1.0") -> str:
@@ -100,8 +100,8 @@ TABLE: dict[str, tuple] = {
     "range_delta": (promql("delta(events_value[7d])", *UT), extrapolated(False)),
     "range_irate": (promql("irate(events_value[7d]) * 1000000", *UT), over("1000000 * " + _LAST_TWO % f"({_RATE2})", having=f"max(CASE WHEN pts > step - {7 * DAY} THEN 1 ELSE 0 END) = 1")),
     "range_idelta": (promql("idelta(events_value[7d])", *UT), over(_LAST_TWO % "(v - pv)", having=f"max(CASE WHEN pts > step - {7 * DAY} THEN 1 ELSE 0 END) = 1")),
-    "range_deriv": (promql("deriv(events_value[7d]) * 86400", *UT), over("86400 * regr_slope(v, (ts - step) / 1000.0)", having="count(*) >= 2")),
-    "range_predict_linear": (promql("predict_linear(events_value[7d], 86400)", *UT), over("regr_intercept(v, (ts - step) / 1000.0) + 86400 * regr_slope(v, (ts - step) / 1000.0)", having="count(*) >= 2")),
+    "range_deriv": (promql("round(deriv(events_value[7d]), 0.000001)", *UT), over("floor(1 / 0.000001 * regr_slope(v, (ts - step) / 1000.0) + 0.5) / 1000000", having="count(*) >= 2")),
+    "range_predict_linear": (promql("round(predict_linear(events_value[7d], 3600), 0.01)", *UT), over("floor(100 * (regr_intercept(v, (ts - step) / 1000.0) + 3600 * regr_slope(v, (ts - step) / 1000.0)) + 0.5) / 100", having="count(*) >= 2")),
     "range_avg": (promql("avg_over_time(events_value[7d])", *UT), over("avg(v)")),
     "range_sum": (promql("sum_over_time(events_value[7d])", *UT), over("sum(v)")),
     "range_min": (promql("min_over_time(events_value[7d])", *UT), over("min(v)")),

@@ -18,6 +18,10 @@ class ConfigError(ValueError):
     """The configuration is not valid."""
 
 
+class BrokenSource(RuntimeError):
+    """A source does not have what samples need."""
+
+
 @dataclass(frozen=True)
 class Relabel:
     """replace (source labels joined, anchored regex, replacement to target), labeldrop, lowercase, uppercase."""
@@ -130,6 +134,9 @@ class SourceGroup:
     def samples(self, matchers=(), low: int | None = None, high: int | None = None) -> DataFrame:
         """Merged samples of the series that match, with the group's labels. Time bounds and, where no relabelling comes after,
         the matchers stand directly on the scan."""
+        for r in self.replicas:
+            if missing := {"labels", "lkey", "ts_ms", "value", "stale"} - {*r.columns}:
+                raise BrokenSource(f"columns are missing: {sorted(missing)}")
         rows = self._unioned()
         if low is not None:
             rows = rows.where((F.col("ts_ms") > F.lit(low)) & (F.col("ts_ms") <= F.lit(high)))
