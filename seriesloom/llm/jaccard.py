@@ -10,7 +10,9 @@ more similar ones. Leaves are compared exactly: intersections of the whole shing
 What keeps it bounded: buckets are counted before any set is shipped, buckets with the same members are compared once, a leaf
 of more than CELL sets is dealt over a triangle of cells, and a cell returns one row per set (its number of links and its
 component's root in the cell), never the pairs. A pair that meets in several leaves counts in the smallest leaf they share.
-Links become classes by alternating star contraction, each round written to the shared folder.
+Before whole sets travel, a leaf sees sizes and samples of about SCREEN tokens: a set goes on only if it has a partner there
+within the size ratio (exact) that shares at least SCREEN_SHARE of the smaller sample; a pair at the threshold is expected to
+share 0.8 of 48 and falls below with probability under 1e-5. Links become classes by alternating star contraction, each round written to the shared folder.
 
 Defined cases: null texts and texts without words are linked to nothing and are their own class (class_id is their doc_id);
 repeated rows are copies; null doc_ids take part, and a class of null doc_ids only has a null class_id; other columns are
@@ -33,7 +35,11 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 RUNS, ROOT_PICKS, SPLIT_PICKS, DEPTH = 4, 4, 3, 3
 SMALL, CELL = 64, 512
+SCREEN, SCREEN_SHARE = 48, 0.3
+#: Rows whose 8-byte ids may be sent to every task to pick their texts; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 COLUMNS = 8192
+SCREEN_NODE = 1 << 40
 _TOP = float(1 << 64)
 
 
@@ -75,7 +81,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, buckets = (np.concatenate(x) for x in zip(*(picked(values, bounds, r, ROOT_PICKS) for r in range(RUNS))))
         order = np.argsort(at, kind="stable")
         roots = pa.ListArray.from_arrays(pa.array(np.searchsorted(at[order], np.arange(batch.num_rows + 1)), pa.int32()), pa.array(buckets[order], pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(set_keys(values, bounds), pa.binary()), roots], names=["doc_id", "rid", "key", "roots"])
+        who, tokens = picked(values, bounds, SCREEN_NODE, SCREEN)
+        marks = (tokens.view(np.uint64) >> np.uint64(32)).astype("<u4")
+        edges = np.searchsorted(who, np.arange(batch.num_rows + 1)).tolist()
+        screen = pa.array([marks[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(set_keys(values, bounds), pa.binary()), pa.array(np.diff(bounds), pa.int64()), roots, screen], names=["doc_id", "rid", "key", "size", "roots", "screen"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,33 +164,85 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return [(i, int(root[i])) for i in np.flatnonzero(linked.any(axis=1))]
 
 
-def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell; the rows of a cell may run over several batches."""
-    rows: list = []
-    found: list = []
+def plausible(sizes: np.ndarray, samples: list[np.ndarray], leaves: list[list[int]], here: int, side: np.ndarray | None) -> np.ndarray:
+    """Which sets of a cell have a partner that could be similar, and that they don't meet in an earlier leaf."""
+    k = len(sizes)
+    low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
+    pairs = DENOMINATOR * low >= NUMERATOR * high
+    np.fill_diagonal(pairs, False)
+    if side is not None:
+        pairs &= side[:, None] != side[None, :]
+    if pairs.any():
+        taken = np.array([len(x) for x in samples])
+        pairs &= _overlap(samples, k) >= SCREEN_SHARE * np.minimum(taken[:, None], taken[None, :])
+    if pairs.any():
+        pairs &= _overlap([np.array([b for b in x if b < here], np.int64) for x in leaves], k) == 0
+    return pairs.any(axis=1)
+
+
+_CELL = ("cell", "bucket", "key", "m", "leaves", "block", "across", "payload", "number")
+
+
+def _by_cell(close, schema: pa.Schema):
+    """A mapInArrow function over rows sorted by cell, which may run over several batches; close gives a cell's result rows."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list = []
+        found: list = []
 
-    def close():
-        rows.sort(key=lambda r: r[2])
-        here, across = rows[0][1], rows[0][7]
-        links, roots = compare([np.frombuffer(r[4], np.uint64) for r in rows], np.array([r[3] for r in rows]), [r[5] for r in rows], here, np.array([r[6] for r in rows]) if across else None)
-        found.extend((rows[i][2], int(links[i]), rows[j][2]) for i, j in roots)
+        def out():
+            batch = pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(schema.types)], schema=schema)
+            found.clear()
+            return batch
 
-    def out():
-        batch = pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary()))], names=["key", "links", "root"])
-        found.clear()
-        return batch
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in _CELL)):
+                if rows and row[0] != rows[0][0]:
+                    found.extend(close(sorted(rows, key=lambda r: r[2])) if len(rows) > 1 else ())
+                    rows = []
+                    if len(found) > 20_000:
+                        yield out()
+                rows.append(row)
+        if len(rows) > 1:
+            found.extend(close(sorted(rows, key=lambda r: r[2])))
+        yield out()
 
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "bucket", "key", "copies", "shingles", "leaves", "block", "across"))):
-            if rows and row[0] != rows[0][0]:
-                close()
-                rows = []
-                if len(found) > 20_000:
-                    yield out()
-            rows.append(row)
-    if rows:
-        close()
-    yield out()
+    return go
+
+
+def _close_screen(rows: list) -> list[tuple]:
+    side = np.array([r[5] for r in rows]) if rows[0][6] else None
+    stays = plausible(np.array([r[8] for r in rows]), [np.frombuffer(r[7], "<u4") for r in rows], [r[4] for r in rows], rows[0][1], side)
+    return [(rows[i][1], rows[i][2], rows[i][3]) for i in np.flatnonzero(stays)]
+
+
+def _close_compare(rows: list) -> list[tuple]:
+    side = np.array([r[5] for r in rows]) if rows[0][6] else None
+    links, roots = compare([np.frombuffer(r[7], np.uint64) for r in rows], np.array([r[8] for r in rows]), [r[4] for r in rows], rows[0][1], side)
+    return [(rows[i][2], int(links[i]), rows[j][2]) for i, j in roots]
+
+
+def _cells(leaves: DataFrame, facts: DataFrame, close, schema: pa.Schema) -> DataFrame:
+    """Runs close over the cells of leaves (bucket, key, m), with each set's facts (key, payload, number). A large leaf becomes a
+    triangle of cells: each set goes to the cells of its block with every block; in a cell off the diagonal both blocks come
+    with across = true, in one on it all rows are of its block."""
+    lists = leaves.groupBy("key").agg(F.collect_list(F.struct("bucket", "m")).alias("at"))
+    full = lists.join(facts, "key").withColumn("leaves", F.transform("at", lambda x: x["bucket"]))
+    spread = full.select("key", "payload", "number", "leaves", F.explode("at").alias("at")).withColumn("g", F.ceil(F.col("at.m") / F.lit(CELL)).cast("int"))
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("key"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cell = F.xxhash64("at.bucket", F.least("block", "other"), F.greatest("block", "other"))
+    rows = spread.select(cell.alias("cell"), F.col("at.bucket").alias("bucket"), "key", F.col("at.m").alias("m"), "leaves", "block", (F.col("block") != F.col("other")).alias("across"), "payload", "number")
+    n = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    types = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return rows.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_by_cell(close, schema), ", ".join(f"{f.name} {types[f.type]}" for f in schema))
+
+
+_MEMBER = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("m", pa.int32())])
+_LINKED = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
+
+
+def _screened(leaves: DataFrame, sets: DataFrame) -> DataFrame:
+    return table(_cells(leaves, sets.select("key", F.col("screen").alias("payload"), F.col("size").alias("number")), _close_screen, _MEMBER).distinct(), "jaccard-leaves")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -207,36 +269,26 @@ def _with_rid(docs: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, rid, key (of its set), label (of its class), n_links, n_copies."""
     own = _with_rid(docs)
-    rows = table(own.mapInArrow(_sketch, "doc_id long, rid long, key binary, roots array<long>"), "jaccard-rows")
-    sets = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("roots").alias("roots"))
+    rows = table(own.mapInArrow(_sketch, "doc_id long, rid long, key binary, size long, roots array<long>, screen binary"), "jaccard-rows")
+    sets = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("roots").alias("roots"), F.first("screen").alias("screen"))
+    sets = table(sets, "jaccard-sets")
     members = table(_shared(sets.select(F.explode("roots").alias("bucket"), "key")), "jaccard-members")
-    met = members.select("key").distinct()
-    reps = sets.join(met, "key", "left_semi").select(F.col("rep").alias("rid"))
-    held = own.join(reps.distinct(), "rid", "left_semi").select("text").mapInArrow(_sets, "key binary, shingles binary")
+    leaves, hot = _screened(members.where(F.col("m") <= SMALL), sets), members.where(F.col("m") > SMALL)
+    met = leaves.select("key").unionByName(hot.select("key")).distinct()
+    reps = table(sets.join(met, "key", "left_semi").select(F.col("rep").alias("rid")).distinct(), "jaccard-ids")
+    held = own.join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, "rid", "left_semi").select("text").mapInArrow(_sets, "key binary, shingles binary")
     if rows.groupBy("rid").count().where("count > 1").limit(1).count():
         held = held.groupBy("key").agg(F.first("shingles").alias("shingles"))
-    held = table(held, "jaccard-sets")
-    leaves, hot = members.where(F.col("m") <= SMALL), members.where(F.col("m") > SMALL)
+    held = table(held, "jaccard-shingles")
     for depth in range(2, DEPTH + 1):
         if not hot.limit(1).count():
             break
         grown = hot.groupBy("key").agg(F.collect_list("bucket").alias("paths")).join(held, "key")
         members = table(_shared(grown.select("key", "shingles", "paths").mapInArrow(_split, "bucket long, key binary")), "jaccard-members")
-        if depth == DEPTH:
-            leaves = leaves.unionByName(members)
-        else:
-            leaves, hot = leaves.unionByName(members.where(F.col("m") <= SMALL)), members.where(F.col("m") > SMALL)
-    lists = leaves.groupBy("key").agg(F.collect_list(F.struct("bucket", "m")).alias("at"))
-    full = lists.join(sets.select("key", "copies"), "key").join(held, "key").withColumn("leaves", F.transform("at", lambda x: x["bucket"]))
-    spread = full.select("key", "copies", "shingles", "leaves", F.explode("at").alias("at")).withColumn("g", F.ceil(F.col("at.m") / F.lit(CELL)).cast("int"))
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("key"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    cells = spread.select(
-        F.xxhash64("at.bucket", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), F.col("at.bucket").alias("bucket"), "key", "copies", "shingles", "leaves", "block",
-        (F.col("block") != F.col("other")).alias("across"),
-    )
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # in a cell off the diagonal both blocks come with across = true, in one on it all rows are of its block
-    linked = table(cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_compare_cells, "key binary, links long, root binary"), "jaccard-links")
+        done = members if depth == DEPTH else members.where(F.col("m") <= SMALL)
+        leaves, hot = leaves.unionByName(_screened(done, sets).select(*leaves.columns)), members.where(F.col("m") > SMALL)
+    facts = held.join(sets.select("key", F.col("copies").alias("number")), "key").withColumnRenamed("shingles", "payload")
+    linked = table(_cells(leaves, facts, _close_compare, _LINKED), "jaccard-links")
     labels = components(linked.where(F.col("key") > F.col("root")).select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("key").agg(F.sum("links").alias("links"))
     facts = sets.select("key", "copies").join(counts, "key", "left").join(labels, "key", "left")
