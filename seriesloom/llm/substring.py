@@ -206,7 +206,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     own = docs.select("text", F.xxhash64("doc_id", "text").alias("rid"))
     census = table(own.select("text").mapInArrow(_census, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1"), "substring-census")
     if census.count() <= BROADCAST_SEEDS:
-        found = census.withColumn("hot", F.col("n") > GROUP).select("seed", "hot").toPandas()
+        found = census.withColumn("hot", F.col("n") > GROUP).select("seed", "hot").toArrow().to_pandas()  # Arrow batches: 9 bytes a seed
         keys = [np.sort(found["seed"].to_numpy(np.int64)[mine].view(np.uint64)) for mine in (np.ones(len(found), bool), found["hot"].to_numpy(bool))]
         rows = own.mapInArrow(_suffixes(spark.sparkContext.broadcast(tuple(keys))), "part long, rid long, at int, upto int, paths binary")
     else:
