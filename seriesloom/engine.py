@@ -64,6 +64,7 @@ class Engine:
     now_ms: int | None = None
 
     def __post_init__(self):
+        self._shift = 0  # start mod step of the range query at hand, for groups that answer on multiples of the step
         for i, g in enumerate(self.groups):
             g.ordinal = i
             g.name = g.name if g.name and not g.name.startswith("sg-") else f"sg-{i}"
@@ -83,9 +84,11 @@ class Engine:
             try:
                 if not g.may_match(matchers):
                     continue
-                window = (None, None) if low is None else g.window(low, high, now)
+                shift = self._shift if g.align_with_step else 0
+                window = (None, None) if low is None else g.window(low - shift, high - shift, now)
                 if window is not None:
-                    out.append(g.samples(matchers, *window))
+                    rows = g.samples(matchers, *window)
+                    out.append(rows.withColumn("ts_ms", F.col("ts_ms") + F.lit(shift)) if shift else rows)
             except (PySparkException, BrokenSource) as e:
                 if g.ignore_error:
                     continue
@@ -140,7 +143,11 @@ class Engine:
         return df.withColumn("labels", labels_of(F.col("lkey")))
 
     def query_range(self, query: str, start: int, end: int, step: int) -> DataFrame:
-        df, _ = self._frame(query, Grid(start, end, step))
+        self._shift = start % step
+        try:
+            df, _ = self._frame(query, Grid(start, end, step))
+        finally:
+            self._shift = 0
         if isinstance(df, str):
             raise syntax.QueryError("invalid expression type string for range query")
         return df.withColumn("labels", labels_of(F.col("lkey")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.merge import merge_replicas
 from ..operators.selectors import matches, matches_text, select
 from ..plans.syntax import Matcher
-from .model import NAME, Grid, key_of, label, with_labels
+from .model import NAME, key_of, label, with_labels
 
 
 class ConfigError(ValueError):
@@ -164,10 +164,6 @@ class SourceGroup:
             rows = select(rows, matchers)
         return rows.withColumn("group_ord", F.lit(self.ordinal))
 
-    def aligned(self, grid: Grid, times):
-        """With align_with_step, result times moved by start mod step (a backend that answers on multiples of the step)."""
-        return times + F.lit(grid.start % grid.step) if self.align_with_step else times
-
 
 def relabelled(labels, r: Relabel):
     if r.action == "labeldrop":
