@@ -18,7 +18,13 @@ def _round(c: Column, to: Column) -> Column:
 
 
 def _time(f):
-    return lambda c: F.when(F.isnan(c) | (F.abs(c) == num.INF), num.lit(num.NAN)).otherwise(f(F.timestamp_seconds(F.floor(c).cast("bigint"))).cast("double"))
+    """f(days since the epoch as a DATE, seconds of the day); dates have no time zone, so the session's does not matter."""
+
+    def of(c: Column) -> Column:
+        s = F.floor(c).cast("bigint")
+        return F.when(F.isnan(c) | (F.abs(c) > 2e11), num.lit(num.NAN)).otherwise(f(F.date_from_unix_date(F.floor(s / 86400).cast("int")), F.pmod(s, F.lit(86400))).cast("double"))
+
+    return of
 
 
 MATH = {
@@ -36,6 +42,7 @@ BOUNDED = {
     "round": _round,
 }
 CALENDAR = {
-    "day_of_month": _time(F.dayofmonth), "day_of_week": _time(lambda t: F.dayofweek(t) - 1), "day_of_year": _time(F.dayofyear),
-    "days_in_month": _time(lambda t: F.dayofmonth(F.last_day(t))), "hour": _time(F.hour), "minute": _time(F.minute), "month": _time(F.month), "year": _time(F.year),
+    "day_of_month": _time(lambda d, s: F.dayofmonth(d)), "day_of_week": _time(lambda d, s: F.dayofweek(d) - 1), "day_of_year": _time(lambda d, s: F.dayofyear(d)),
+    "days_in_month": _time(lambda d, s: F.dayofmonth(F.last_day(d))), "month": _time(lambda d, s: F.month(d)), "year": _time(lambda d, s: F.year(d)),
+    "hour": _time(lambda d, s: F.floor(s / 3600)), "minute": _time(lambda d, s: F.floor(s / 60) % 60),
 }

@@ -26,6 +26,19 @@ def matches(labels: Column, m: Matcher) -> Column:
     return hit if m.op == "=~" else ~hit
 
 
+def matches_value(column: Column | None, m: Matcher) -> Column:
+    """A matcher over a table's own column (None: no such label). Equality stays a bare comparison, which files can use."""
+    if column is None:
+        return F.lit(matches_text("", m))
+    if m.op == "=" and m.value:
+        return column == F.lit(m.value)
+    have = F.coalesce(column.cast("string"), F.lit(""))
+    if m.op in ("=", "!="):
+        return (have == m.value) if m.op == "=" else (have != m.value)
+    hit = have.rlike(f"^(?s:{m.value})$")
+    return hit if m.op == "=~" else ~hit
+
+
 def select(samples: DataFrame, matchers) -> DataFrame:
     for m in matchers:
         samples = samples.where(matches(F.col("labels"), m))

@@ -13,7 +13,7 @@ from .engine import Engine, Options
 from .plans.syntax import Matcher
 from .sources import catalog
 from .sources.groups import SourceGroup, TimeRange
-from .sources.model import events_samples, label, labels_of
+from .sources.model import epoch_ms, events_samples, events_source, label, labels_of
 
 DAY = 86_400_000
 START, END = 1_704_153_600_000, 1_706_572_800_000  # 2024-01-02 and 2024-01-30, UTC
@@ -21,7 +21,7 @@ LOOKBACK = 2 * DAY
 
 
 def _engine(spark, sf_dir: str, groups=None, **options) -> Engine:
-    own = groups or [SourceGroup([events_samples(spark, sf_dir)])]
+    own = groups or [SourceGroup([events_source(spark, sf_dir)])]
     return Engine(spark, own, Options(**{"lookback_ms": LOOKBACK, "experimental": True, "evaluation_interval_ms": DAY} | options))
 
 
@@ -152,7 +152,7 @@ TABLE: dict[str, tuple] = {
     "set_and": (promql('events_value and on(user_id) events_value{event_type="error"}', *UT), inst("SELECT event_type, user_id, step, round(v, 6) AS value FROM i WHERE EXISTS (SELECT 1 FROM i b WHERE b.event_type = 'error' AND b.user_id = i.user_id AND b.step = i.step)")),
     "set_unless": (promql('events_value unless on(user_id) events_value{event_type="error"}', *UT), inst("SELECT event_type, user_id, step, round(v, 6) AS value FROM i WHERE NOT EXISTS (SELECT 1 FROM i b WHERE b.event_type = 'error' AND b.user_id = i.user_id AND b.step = i.step)")),
     "set_or": (promql('events_value{event_type="view"} or on(user_id) events_value{event_type="click"}', *UT), inst("SELECT event_type, user_id, step, round(v, 6) AS value FROM i WHERE event_type = 'view' OR event_type = 'click' AND NOT EXISTS (SELECT 1 FROM i b WHERE b.event_type = 'view' AND b.user_id = i.user_id AND b.step = i.step)")),
-    "info_join": (lambda spark, d: flat(_engine(spark, d, [SourceGroup([events_samples(spark, d)])]).query_range('count by (event_type) (info(events_value, {__name__="events_value"}))', START, END, DAY), "event_type"), inst("SELECT event_type, step, count(*)::DOUBLE AS value FROM i GROUP BY ALL")),
+    "info_join": (lambda spark, d: flat(_engine(spark, d, [SourceGroup([events_source(spark, d)])]).query_range('count by (event_type) (info(events_value, {__name__="events_value"}))', START, END, DAY), "event_type"), inst("SELECT event_type, step, count(*)::DOUBLE AS value FROM i GROUP BY ALL")),
     # instant functions
     **{f"fn_{f}": _pairs(f, sql) for f, sql in {"abs": "abs(v)", "ceil": "ceil(v)", "floor": "floor(v)", "sqrt": "CASE WHEN v < 0 THEN 'nan'::DOUBLE ELSE sqrt(v) END", "ln": "CASE WHEN v > 0 THEN ln(v) WHEN v = 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END", "log2": "CASE WHEN v > 0 THEN log2(v) WHEN v = 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END", "log10": "CASE WHEN v > 0 THEN log10(v) WHEN v = 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END", "sgn": "sign(v)", "deg": "degrees(v)", "rad": "radians(v)", "sin": "sin(v)", "cos": "cos(v)", "tan": "tan(v)", "atan": "atan(v)", "asinh": "asinh(v)"}.items()},
     **{f"fn_{f}": _pairs(f, sql, "events_value / 1000") for f, sql in {"exp": "exp(v / 1000)", "sinh": "sinh(v / 1000)", "cosh": "cosh(v / 1000)", "tanh": "tanh(v / 1000)", "atanh": "CASE WHEN abs(v / 1000) < 1 THEN atanh(v / 1000) WHEN v = 1000 THEN 'inf'::DOUBLE WHEN v = -1000 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END", "acos": "CASE WHEN abs(v / 1000) <= 1 THEN acos(v / 1000) ELSE 'nan'::DOUBLE END", "asin": "CASE WHEN abs(v / 1000) <= 1 THEN asin(v / 1000) ELSE 'nan'::DOUBLE END"}.items()},
@@ -181,10 +181,10 @@ TABLE: dict[str, tuple] = {
 def split(spark, sf_dir: str, labels: bool = True) -> list[SourceGroup]:
     """Two groups cut from events: a lacks every fifth event, b has every third with its value raised by one."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    from .sources.model import NAME, samples
+    from .sources.model import NAME, TableSource
 
     def part(rows, value):
-        return samples(rows, {NAME: F.lit("events_value"), "event_type": F.col("event_type"), "user_id": F.col("user_id")}, F.unix_millis(F.col("ts").cast("timestamp")), value)
+        return TableSource(rows, {NAME: F.lit("events_value"), "event_type": F.col("event_type"), "user_id": F.col("user_id")}, "ts", value)
 
     a = part(ev.where(F.col("event_id") % 5 != 0), F.col("value"))
     b = part(ev.where(F.col("event_id") % 3 == 0), F.col("value") + 1)
@@ -231,14 +231,14 @@ def collision_stats(spark, sf_dir):
 
 def source_scoped(spark, sf_dir):
     """Group labels, an injected matcher and a truncating time range."""
-    g = SourceGroup([events_samples(spark, sf_dir)], {"dc": "x"}, inject=(Matcher("event_type", "!=", "error"),), time_range=TimeRange(START, START + 10 * DAY, truncate=True))
+    g = SourceGroup([events_source(spark, sf_dir)], {"dc": "x"}, inject=(Matcher("event_type", "!=", "error"),), time_range=TimeRange(START, START + 10 * DAY, truncate=True))
     return flat(_engine(spark, sf_dir, [g]).query_range('count by (dc, event_type) (events_value{dc="x"})', START, END, DAY), "dc", "event_type")
 
 
 def relabelled_source(spark, sf_dir):
     from .sources.groups import Relabel
 
-    g = SourceGroup([events_samples(spark, sf_dir)], relabel=(Relabel("uppercase", ("event_type",), "kind"), Relabel("labeldrop", regex="event_type")))
+    g = SourceGroup([events_source(spark, sf_dir)], relabel=(Relabel("uppercase", ("event_type",), "kind"), Relabel("labeldrop", regex="event_type")))
     return flat(_engine(spark, sf_dir, [g]).query_range('sum by (kind) (events_value{kind="VIEW"})', START, END, DAY), "kind")
 
 
@@ -310,7 +310,7 @@ def metadata_first(spark, sf_dir):
 
 def exemplars_by_series(spark, sf_dir):
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = ev.select(F.create_map(F.lit("__name__"), F.lit("events_value"), F.lit("event_type"), F.col("event_type")).alias("series_labels"), F.create_map(F.lit("trace"), F.col("event_id").cast("string")).alias("ex_labels"), "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    rows = ev.select(F.create_map(F.lit("__name__"), F.lit("events_value"), F.lit("event_type"), F.col("event_type")).alias("series_labels"), F.create_map(F.lit("trace"), F.col("event_id").cast("string")).alias("ex_labels"), "value", epoch_ms(ev, "ts").alias("ts_ms"))
     out = catalog.exemplars(rows, [Matcher("event_type", "=~", "view|error")], START, START + DAY)
     return out.select(label(F.col("labels"), "event_type").alias("event_type"), F.explode("exemplars").alias("x")).select("event_type", F.col("x.ts_ms").alias("ts"), F.round("x.value", 6).alias("value"))
 

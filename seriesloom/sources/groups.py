@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.merge import merge_replicas
 from ..operators.selectors import matches, matches_text, select
 from ..plans.syntax import Matcher
-from .model import NAME, key_of, label, with_labels
+from .model import NAME, TableSource, key_of, label, with_labels
 
 
 class ConfigError(ValueError):
@@ -63,9 +64,9 @@ class TimeRange:
 
 @dataclass
 class SourceGroup:
-    """replicas: DataFrames of canonical samples that hold the same data; labels: set on every series of the group."""
+    """replicas: DataFrames of canonical samples, or tables, that hold the same data; labels: set on every series of the group."""
 
-    replicas: list[DataFrame]
+    replicas: list[DataFrame | TableSource]
     labels: dict[str, str] = field(default_factory=dict)
     name: str = ""
     ordinal: int = 0
@@ -125,22 +126,25 @@ class SourceGroup:
         return None if outside else (low, high)
 
     # ------------------------------------------------------------------------------------------------------- scan
-    def _unioned(self) -> DataFrame:
-        out = self.replicas[0].withColumn("replica", F.lit(0))
-        for i, r in enumerate(self.replicas[1:], 1):
-            out = out.unionByName(r.withColumn("replica", F.lit(i)), allowMissingColumns=True)
-        return out
+    def _unioned(self, matchers=(), low: int | None = None, high: int | None = None) -> DataFrame:
+        """All replicas' samples. Tables take matchers and bounds into their scans, DataFrames here."""
+        parts = []
+        for i, r in enumerate(self.replicas):
+            if isinstance(r, TableSource):
+                rows = r.scan(matchers, low, high)
+            else:
+                if missing := {"labels", "lkey", "ts_ms", "value", "stale"} - {*r.columns}:
+                    raise BrokenSource(f"columns are missing: {sorted(missing)}")
+                rows = r.where((F.col("ts_ms") > F.lit(low)) & (F.col("ts_ms") <= F.lit(high))) if low is not None else r
+                rows = select(rows, matchers)
+            parts.append(rows.withColumn("replica", F.lit(i)))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def samples(self, matchers=(), low: int | None = None, high: int | None = None) -> DataFrame:
         """Merged samples of the series that match, with the group's labels. Time bounds and, where no relabelling comes after,
         the matchers stand directly on the scan."""
-        for r in self.replicas:
-            if missing := {"labels", "lkey", "ts_ms", "value", "stale"} - {*r.columns}:
-                raise BrokenSource(f"columns are missing: {sorted(missing)}")
-        rows = self._unioned()
-        if low is not None:
-            rows = rows.where((F.col("ts_ms") > F.lit(low)) & (F.col("ts_ms") <= F.lit(high)))
-        rows = select(rows, self.inject)
+        early = [m for m in matchers if m.name not in self.labels] if not self.relabel else []
+        rows = self._unioned((*self.inject, *early), low, high)
         if self.extra_filters:
             any_of = F.lit(False)
             for one in self.extra_filters:
@@ -149,8 +153,6 @@ class SourceGroup:
                     every = every & matches(F.col("labels"), m)
                 any_of = any_of | every
             rows = rows.where(any_of)
-        early = [m for m in matchers if m.name not in self.labels] if not self.relabel else []
-        rows = select(rows, early)
         if len(self.replicas) > 1:
             rows = merge_replicas(rows, list(range(len(self.replicas))), self.anti_affinity_ms, self.anti_affinity_dynamic, self.prefer_max)
         labels = F.col("labels")

@@ -8,6 +8,7 @@ because a MAP can be neither a join key nor a window partition; labels come back
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,7 +83,44 @@ def samples(df: DataFrame, labels: dict[str, Column], ts_ms: Column, value: Colu
     return out.withColumn("lkey", key_of(F.col("labels")))
 
 
-def events_samples(spark: SparkSession, sf_dir: str, metric: str = "events_value") -> DataFrame:
-    """events as series {__name__, event_type, user_id}; the query's time bounds prune the scan through ts."""
+def epoch_ms(df: DataFrame, name: str) -> Column:
+    """A timestamp column as ms, floored. One without time zone is read as UTC, whatever the session's zone is."""
+    c = F.col(name)
+    if dict(df.dtypes)[name] != "timestamp_ntz":
+        return F.unix_millis(c)
+    seconds = F.floor(F.extract(F.lit("SECOND"), c) * 1000)
+    return (F.unix_date(c.cast("date")) * F.lit(86_400_000).cast("bigint") + F.hour(c) * 3_600_000 + F.minute(c) * 60_000 + seconds).cast("bigint")
+
+
+@dataclass(frozen=True)
+class TableSource:
+    """A table as samples: which columns are labels, time and value. Matchers and time bounds become predicates on the table's own
+    columns, so the file scan takes them (and reads no other column) before any label map is built."""
+
+    df: DataFrame
+    labels: dict[str, Column]
+    ts: str
+    value: Column
+
+    def scan(self, matchers=(), low: int | None = None, high: int | None = None) -> DataFrame:
+        """Samples with low < ts_ms <= high that match; a matcher on a label the table does not have sees an empty value."""
+        from ..operators.selectors import matches_value
+
+        rows = self.df
+        if low is not None:
+            at = dict(rows.dtypes)[self.ts]
+            bound = lambda ms: F.lit(str(datetime(1970, 1, 1) + timedelta(milliseconds=ms))) if at == "timestamp_ntz" else F.timestamp_millis(F.lit(ms))
+            rows = rows.where((F.col(self.ts) >= bound(low + 1).cast(at)) & (F.col(self.ts) < bound(high + 1).cast(at)))
+        for m in matchers:
+            rows = rows.where(matches_value(self.labels.get(m.name), m))
+        return samples(rows, self.labels, epoch_ms(rows, self.ts), self.value)
+
+
+def events_source(spark: SparkSession, sf_dir: str, metric: str = "events_value") -> TableSource:
+    """events as series {__name__, event_type, user_id}."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return samples(ev, {NAME: F.lit(metric), "event_type": F.col("event_type"), "user_id": F.col("user_id")}, F.unix_millis(F.col("ts").cast("timestamp")), F.col("value"))
+    return TableSource(ev, {NAME: F.lit(metric), "event_type": F.col("event_type"), "user_id": F.col("user_id")}, "ts", F.col("value"))
+
+
+def events_samples(spark: SparkSession, sf_dir: str, metric: str = "events_value") -> DataFrame:
+    return events_source(spark, sf_dir, metric).scan()
