@@ -27,16 +27,16 @@ def functions() -> dict:
 
     def _extrapolated(counter: bool, per_second: bool):
         def f(span, *a):
-            aggs = {"f": F.min_by(F.struct("value", "ets"), ets), "l": F.max_by(F.struct("value", "ets"), ets), "n": F.count(F.lit(1))}
+            aggs = {"fv": F.min_by("value", ets), "ft": F.min(ets), "lv": F.max_by("value", ets), "lt": F.max(ets), "n": F.count(F.lit(1))}  # plain types: hash aggregation
             if counter:
                 aggs["r"] = F.coalesce(F.sum(F.when(v < pv, pv)), num.lit(0))
-            res = F.col("l.value") - F.col("f.value") + (F.col("r") if counter else 0)
-            sampled = ((F.col("l.ets") - F.col("f.ets")) / 1000.0).cast("double")
+            res = F.col("lv") - F.col("fv") + (F.col("r") if counter else 0)
+            sampled = ((F.col("lt") - F.col("ft")) / 1000.0).cast("double")
             mean = F.try_divide(sampled, F.col("n") - 1)
-            before, after = (F.col("f.ets") - F.col("step") + span) / 1000.0, (F.col("step") - F.col("l.ets")) / 1000.0
+            before, after = (F.col("ft") - F.col("step") + span) / 1000.0, (F.col("step") - F.col("lt")) / 1000.0
             head = F.when(before >= mean * 1.1, mean / 2).otherwise(before)
             if counter:
-                zero = F.when((res > 0) & (F.col("f.value") >= 0), F.try_divide(sampled * F.col("f.value"), res))
+                zero = F.when((res > 0) & (F.col("fv") >= 0), F.try_divide(sampled * F.col("fv"), res))
                 head = F.least(head, F.coalesce(zero, head))
             tail = F.when(after >= mean * 1.1, mean / 2).otherwise(after)
             out = res * F.try_divide(sampled + head + tail, sampled)
@@ -46,10 +46,11 @@ def functions() -> dict:
 
     def _last_two(rate: bool):
         def f(span, *a):
-            x = F.col("x")
-            diff = F.when(x["value"] < x["pv"], x["value"]).otherwise(x["value"] - x["pv"]) if rate else x["value"] - x["pv"]
-            gap = (x["ts"] - x["pts"]) / 1000.0
-            return {"x": F.max_by(F.struct("value", "pv", "ts", "pts"), ts)}, F.when(x["pts"].isNotNull() & (gap > 0), F.try_divide(diff, gap) if rate else diff)
+            a, b = F.col("lv"), F.col("lp")
+            diff = F.when(a < b, a).otherwise(a - b) if rate else a - b
+            gap = (F.col("lt") - F.col("lpt")) / 1000.0
+            aggs = {"lv": F.max_by("value", ts), "lp": F.max_by("pv", ts), "lt": F.max(ts), "lpt": F.max_by("pts", ts)}
+            return aggs, F.when(F.col("lpt").isNotNull() & (gap > 0), F.try_divide(diff, gap) if rate else diff)
 
         return f
 

@@ -65,9 +65,12 @@ def seen(samples: DataFrame, grid: Grid, span: int, offset: int) -> DataFrame:
 
 def instant(samples: DataFrame, grid: Grid, lookback: int, offset: int = 0) -> DataFrame:
     """Newest sample of each series at each step, none if it is stale: lkey, step, value, ts[, hist]."""
-    fields = ["value", "stale", F.col("ts_ms").alias("ts"), *(["hist"] if "hist" in samples.columns else [])]
-    rows = seen(samples, grid, lookback, offset).groupBy("lkey", "step").agg(F.max_by(F.struct(*fields), "ts_ms").alias("s"))
-    return rows.where(~F.col("s.stale")).select("lkey", "step", "s.value", "s.ts", *(["s.hist"] if "hist" in samples.columns else []))
+    rows = seen(samples, grid, lookback, offset).groupBy("lkey", "step")
+    if "hist" in samples.columns:
+        newest = rows.agg(F.max_by(F.struct("value", "stale", F.col("ts_ms").alias("ts"), "hist"), "ts_ms").alias("s")).where(~F.col("s.stale"))
+        return newest.select("lkey", "step", "s.value", "s.ts", "s.hist")
+    newest = rows.agg(F.max_by("value", "ts_ms").alias("value"), F.max_by("stale", "ts_ms").alias("stale"), F.max("ts_ms").alias("ts"))  # plain types: hash aggregation
+    return newest.where(~F.col("stale")).select("lkey", "step", "value", "ts")
 
 
 def windows(samples: DataFrame, grid: Grid, span: int, offset: int = 0, previous: bool = False) -> DataFrame:
