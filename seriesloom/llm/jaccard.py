@@ -3,9 +3,9 @@
 A document's set is that of its five-word shingles (a text of one to four words is one shingle). Documents with equal sets are
 one node. Every node picks shared tokens by consistent sampling: at a tree node v it takes each of its shingles t with
 h(v, t) < picks / |set|, so two sets of similarity 0.8 take a common shingle with probability 1 - exp(-0.8 picks) at least.
-RUNS roots of ROOT_PICKS picks are drawn; a bucket of at most SMALL sets is a leaf, a larger one is split again by SPLIT_PICKS
-tokens up to DEPTH. The chance that a pair at the threshold meets in no leaf is at most exp(-0.8 x 16 x 0.82) < 3e-5, less for
-more similar ones. Leaves are compared exactly: intersections of the whole shingle sets, in numpy.
+RUNS roots of ROOT_PICKS picks are drawn; a bucket of at most SMALL sets is a leaf, a larger one is split first by size class
+(exact) and then again by SPLIT_PICKS tokens up to DEPTH. The chance that a pair at the threshold meets in no leaf is at most
+exp(-0.8 x 16 x 0.82) < 3e-5, less for more similar ones. Leaves are compared exactly: intersections of the whole shingle sets, in numpy.
 
 What keeps it bounded: buckets are counted before any set is shipped, buckets with the same members are compared once, a leaf
 of more than CELL sets is dealt over a triangle of cells, and a cell returns one row per set (its number of links and its
@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, chunks, mix, ranges_hash, read_documents, table, text_buffer
+from .shared import Words, chunks, drop, mix, ranges_hash, read_documents, table, text_buffer
 
 SHINGLE = 5
 #: Similarity as a fraction, compared in integers.
 NUMERATOR, DENOMINATOR = 4, 5
 RUNS, ROOT_PICKS, SPLIT_PICKS, DEPTH = 4, 4, 3, 3
-SMALL, CELL = 64, 512
+SMALL, CELL = 4096, 1024
 SCREEN, SCREEN_SHARE = 48, 0.3
 #: Rows whose 8-byte ids may be sent to every task to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -114,6 +114,14 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(once.select("bucket", F.col("m").cast("int").alias("m")), "bucket")
 
 
+def _by_size(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """Buckets cut by size class, classes a little more than a factor of 5/4 wide; a set goes to its own and the next, so two sets whose sizes
+    allow the similarity share one."""
+    at = F.floor(F.log("size") / float(np.log(1.01 * DENOMINATOR / NUMERATOR)))
+    rows = hot.join(sets.select("key", "size"), "key").select("key", "bucket", F.explode(F.array(at, at + 1)).alias("class"))
+    return rows.select(F.xxhash64("bucket", "class").alias("bucket"), "key")
+
+
 def compare(sets: list[np.ndarray], copies: np.ndarray, leaves: list[list[int]], here: int, side: np.ndarray | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each set in a cell (copies counted) and the linked pairs' spanning forest. side: the blocks of a cell off the
     diagonal, whose pairs are of different blocks only."""
@@ -258,7 +266,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        at = table(small.select("a", F.col("m").alias("b")).unionByName(small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        last, at = at, table(small.select("a", F.col("m").alias("b")).unionByName(small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        drop(last)
     return at.select(F.col("a").alias("key"), F.col("b").alias("label"))
 
 
@@ -274,21 +283,28 @@ def join(docs: DataFrame) -> DataFrame:
     sets = table(sets, "jaccard-sets")
     members = table(_shared(sets.select(F.explode("roots").alias("bucket"), "key")), "jaccard-members")
     leaves, hot = _screened(members.where(F.col("m") <= SMALL), sets), members.where(F.col("m") > SMALL)
+    work = [members, leaves]
     met = leaves.select("key").unionByName(hot.select("key")).distinct()
     reps = table(sets.join(met, "key", "left_semi").select(F.col("rep").alias("rid")).distinct(), "jaccard-ids")
     held = own.join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, "rid", "left_semi").select("text").mapInArrow(_sets, "key binary, shingles binary")
     if rows.groupBy("rid").count().where("count > 1").limit(1).count():
         held = held.groupBy("key").agg(F.first("shingles").alias("shingles"))
     held = table(held, "jaccard-shingles")
-    for depth in range(2, DEPTH + 1):
+    for depth in range(1, DEPTH + 1):
         if not hot.limit(1).count():
             break
-        grown = hot.groupBy("key").agg(F.collect_list("bucket").alias("paths")).join(held, "key")
-        members = table(_shared(grown.select("key", "shingles", "paths").mapInArrow(_split, "bucket long, key binary")), "jaccard-members")
-        done = members if depth == DEPTH else members.where(F.col("m") <= SMALL)
-        leaves, hot = leaves.unionByName(_screened(done, sets).select(*leaves.columns)), members.where(F.col("m") > SMALL)
+        if depth == 1:
+            parts = _by_size(hot, sets)
+        else:
+            grown = hot.groupBy("key").agg(F.collect_list("bucket").alias("paths")).join(held, "key")
+            parts = grown.select("key", "shingles", "paths").mapInArrow(_split, "bucket long, key binary")
+        members = table(_shared(parts), "jaccard-members")
+        done = _screened(members if depth == DEPTH else members.where(F.col("m") <= SMALL), sets)
+        work += [members, done]
+        leaves, hot = leaves.unionByName(done.select(*leaves.columns)), members.where(F.col("m") > SMALL)
     facts = held.join(sets.select("key", F.col("copies").alias("number")), "key").withColumnRenamed("shingles", "payload")
     linked = table(_cells(leaves, facts, _close_compare, _LINKED), "jaccard-links")
+    drop(*work, reps, held)  # what follows reads rows, sets, links and labels
     labels = components(linked.where(F.col("key") > F.col("root")).select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("key").agg(F.sum("links").alias("links"))
     facts = sets.select("key", "copies").join(counts, "key", "left").join(labels, "key", "left")
@@ -318,3 +334,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(read_documents(spark, sf_dir))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') k FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 3, 2))) i FROM w WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) n FROM s GROUP BY rid),
+o AS (SELECT a.rid x, b.rid y, count(*) c FROM s a JOIN s b ON a.k = b.k AND a.rid <> b.rid GROUP BY ALL),
+l AS (SELECT x, y, c = p.n AND c = q.n same FROM o JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 5 * c >= 4 * (p.n + q.n - c)),
+reach AS (SELECT rid x, rid y FROM w UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y),
+m AS (SELECT reach.x rid, min(w.doc_id) class_id FROM reach JOIN w ON w.rid = reach.y GROUP BY reach.x),
+k AS (SELECT x rid, count(*) n_links, count(*) FILTER (same) n_copies FROM l GROUP BY x)
+SELECT w.doc_id, class_id, coalesce(n_links, 0) n_links, coalesce(n_copies, 0) n_copies FROM w JOIN m USING (rid) LEFT JOIN k USING (rid)
+"""
