@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, chunks, crc_mod, mix, new_path, read_documents, table, words_of
+from .shared import LOWER, chunks, crc_mod, drop, mix, new_path, read_documents, table, words_of
 
 END, BEGIN = np.uint64(0xE4D0000000000001), np.uint64(0xBE61000000000001)
 HELD = 1_500_000
@@ -357,6 +357,7 @@ def fit(docs: DataFrame) -> Model:
     np.add.at(sums, inverse, np.concatenate(stats))
     have = {("pair", r[0]) for r in pairs.where("kind = 3").select("bucket").collect()}
     have |= {("context", b) for _, b in have} | {("word", r[0]) for r in words.select("bucket").collect()}
+    drop(counts, pairs, words)
     d_pair, d_word, total = discounts(n_pair), discounts(n_seen), float(n_seen[5])
     spread = float(d_word[1] * n_seen[0] + d_word[2] * n_seen[1] + d_word[3] * n_seen[2:5].sum()) / total if total else 1.0
     return Model(path, buckets, have, n_tokens, n_words, [found, *sums.T], d_pair, d_word, total, spread)

@@ -14,4 +14,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": linededup.ORACLE_SQL, "op10_mix_curriculum": mixing.ORACLE_SQL}
+    return {"op1_substring_dedup": substring.ORACLE_SQL, "op5_jaccard_join": jaccard.ORACLE_SQL, "op8_line_dedup": linededup.ORACLE_SQL, "op10_mix_curriculum": mixing.ORACLE_SQL}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, chunks, mix, ranges_hash, read_documents, table, text_buffer
+from .shared import Words, chunks, drop, mix, ranges_hash, read_documents, table, text_buffer
 
 LENGTH = 35
 SEED = 16
@@ -208,6 +208,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     if census.count() <= BROADCAST_SEEDS:
         found = census.withColumn("hot", F.col("n") > GROUP).select("seed", "hot").toArrow().to_pandas()  # Arrow batches: 9 bytes a seed
         keys = [np.sort(found["seed"].to_numpy(np.int64)[mine].view(np.uint64)) for mine in (np.ones(len(found), bool), found["hot"].to_numpy(bool))]
+        drop(census)
         rows = own.mapInArrow(_suffixes(spark.sparkContext.broadcast(tuple(keys))), "part long, rid long, at int, upto int, paths binary")
     else:
         mine = own.mapInArrow(_seeds_of, "seed long, rid long").join(census, "seed").groupBy("rid").agg(F.collect_set("seed").alias("seeds"), F.collect_set(F.when(F.col("n") > GROUP, F.col("seed"))).alias("hot"))
@@ -255,3 +256,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT row_number() OVER () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents),
+p AS (SELECT rid, i, md5(array_to_string(ws[i:i + 34], ' ')) k FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 33, 1))) i FROM w)),
+r AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+c AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) j FROM p JOIN r USING (k)),
+t AS (SELECT rid, unnest(ws) word, generate_subscripts(ws, 1) j FROM w)
+SELECT any_value(w.doc_id) doc_id, any_value(len(ws))::BIGINT n_words, count(c.j) n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY t.j) FILTER (word IS NOT NULL AND c.j IS NULL), '')) kept_sha256
+FROM w LEFT JOIN t USING (rid) LEFT JOIN c ON c.rid = t.rid AND c.j = t.j GROUP BY w.rid
+"""
