@@ -184,6 +184,11 @@ class Engine:
         return rows.groupBy("group_ord").agg(F.countDistinct("lkey").alias("series"), F.count(F.lit(1)).alias("samples")).orderBy("group_ord")
 
 
+def default_step(start: int, end: int, points: int = 250) -> int:
+    """A step in ms, whole seconds, that gives about so many points: for callers that leave it open."""
+    return max(1000, -(-(end - start) // points // 1000) * 1000)
+
+
 def _selectors(node) -> list:
     if isinstance(node, syntax.Selector):
         return [node]

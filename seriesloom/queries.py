@@ -271,6 +271,32 @@ def hist_fraction(spark, sf_dir):
     return flat(_engine(spark, sf_dir, [SourceGroup([s])]).query("histogram_fraction(10, 50, v_bucket)", START), "event_type")
 
 
+def native(fn: str):
+    """fn over native histograms of events by type: custom buckets 20 wide, of which one sample per type is made."""
+
+    def run(spark, sf_dir: str) -> DataFrame:
+        from .sources.model import HIST, NAME, key_of
+
+        ev = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("low", F.floor(F.col("value") / 20) * 20.0)
+        buckets = ev.groupBy("event_type", "low").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("s"))
+        one = F.struct(F.col("low").alias("lower"), (F.col("low") + 20.0).alias("upper"), F.col("n").alias("count"))
+        by_type = buckets.groupBy("event_type").agg(F.sum("n").alias("count"), F.sum("s").alias("sum"), F.array_sort(F.collect_list(one)).alias("buckets"))
+        hist = F.struct(F.lit(-53).alias("schema"), "count", "sum", F.lit(0.0).alias("zero_threshold"), F.lit(0.0).alias("zero_count"), "buckets").cast(HIST)
+        labels = F.create_map(F.lit(NAME), F.lit("v"), F.lit("event_type"), F.col("event_type"))
+        rows = by_type.select(F.lit(0).alias("group_ord"), F.lit(0).alias("replica"), labels.alias("labels"), F.lit(START).alias("ts_ms"), F.lit(None).cast("double").alias("value"), F.lit(False).alias("stale"), hist.alias("hist"))
+        return flat(_engine(spark, sf_dir, [SourceGroup([rows.withColumn("lkey", key_of(F.col("labels")))])]).query(fn, START), "event_type")
+
+    return run
+
+
+def synthetic_source(spark, sf_dir):
+    from .sources.formats import synthetic
+    from .sources.model import Grid
+
+    rows = synthetic(spark, 200, Grid(START, START + 600_000, 15_000))
+    return flat(_engine(spark, sf_dir, [SourceGroup([rows])], lookback_ms=60_000).query_range("sum by (region) (fake_metric)", START, START + 600_000, 60_000), "region")
+
+
 def meta_names(spark, sf_dir):
     return _engine(spark, sf_dir).label_names()
 
@@ -337,6 +363,17 @@ OTHERS: dict[str, tuple] = {
     "relabelled_source": (relabelled_source, inst("SELECT 'VIEW' AS kind, step, round(sum(v), 6) AS value FROM i WHERE event_type = 'view' GROUP BY ALL")),
     "hist_quantile": (hist_quantile, _HQ),
     "hist_fraction": (hist_fraction, f"SELECT event_type, {START}::BIGINT AS step, round(count(*) FILTER (value > 10 AND value <= 50) / count(*), 6) AS value FROM events GROUP BY event_type"),
+    "hist_native_count": (native("histogram_count(v)"), f"SELECT event_type, {START}::BIGINT AS step, count(*)::DOUBLE AS value FROM events GROUP BY event_type"),
+    "hist_native_sum": (native("histogram_sum(sum(v))"), f"SELECT '' AS event_type, {START}::BIGINT AS step, round(sum(value), 6) AS value FROM events"),
+    "hist_native_avg": (native("histogram_avg(v)"), f"SELECT event_type, {START}::BIGINT AS step, round(avg(value), 6) AS value FROM events GROUP BY event_type"),
+    "hist_native_stdvar": (native("histogram_stdvar(v)"), f"""WITH b AS (SELECT event_type, floor(value / 20) * 20 lo, count(*) n FROM events GROUP BY ALL), m AS (SELECT event_type, avg(value) mean, count(*) c FROM events GROUP BY ALL)
+      SELECT event_type, {START}::BIGINT AS step, round(sum(n * pow(CASE WHEN lo <= 0 AND lo + 20 >= 0 THEN 0 ELSE lo + 10 END - mean, 2)) / any_value(c), 6) AS value FROM b JOIN m USING (event_type) GROUP BY event_type"""),
+    "hist_native_stddev": (native("histogram_stddev(v)"), f"""WITH b AS (SELECT event_type, floor(value / 20) * 20 lo, count(*) n FROM events GROUP BY ALL), m AS (SELECT event_type, avg(value) mean, count(*) c FROM events GROUP BY ALL)
+      SELECT event_type, {START}::BIGINT AS step, round(sqrt(sum(n * pow(CASE WHEN lo <= 0 AND lo + 20 >= 0 THEN 0 ELSE lo + 10 END - mean, 2)) / any_value(c)), 6) AS value FROM b JOIN m USING (event_type) GROUP BY event_type"""),
+    "hist_native_fraction": (native("histogram_fraction(20, 60, v)"), f"SELECT event_type, {START}::BIGINT AS step, round(count(*) FILTER (value >= 20 AND value < 60) / count(*), 6) AS value FROM events GROUP BY event_type"),
+    "hist_native_quantile": (native("histogram_quantile(0.5, v)"), f"""WITH b AS (SELECT event_type, floor(value / 20) * 20 lo, count(*) n FROM events GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY lo) u, sum(n) OVER (PARTITION BY event_type) t FROM b)
+      SELECT event_type, {START}::BIGINT AS step, round(lo + 20 * (0.5 * t - (u - n)) / n, 6) AS value FROM c WHERE u >= 0.5 * t QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY lo) = 1"""),
+    "synthetic_source": (synthetic_source, f"SELECT 'r-' || (i % 4) AS region, t::BIGINT AS step, round(sum(i % 1000 + ((t // 1000) % 60) / 4.0), 6)::DOUBLE AS value FROM range(200) s(i), range({START}, {START} + 600001, 60000) g(t) GROUP BY ALL"),
     "meta_names": (meta_names, "SELECT unnest(['__name__', 'event_type', 'user_id']) AS name"),
     "meta_values": (meta_values, "SELECT DISTINCT event_type AS value FROM events WHERE user_id::VARCHAR LIKE '1%'"),
     "meta_series": (meta_series, "SELECT DISTINCT user_id::VARCHAR AS user_id FROM events WHERE event_type = 'view'"),

@@ -66,6 +66,17 @@ def exposition(vector: DataFrame) -> DataFrame:
     return vector.select(F.concat(label(F.col("labels"), NAME), body, F.lit(" "), num.sample_text(F.col("value")), F.lit(" "), F.col("ts_ms").cast("string")).alias("value"))
 
 
+def read_samples(spark: SparkSession, *paths: str) -> DataFrame:
+    """Canonical samples from Parquet files: labels, ts_ms and value, and stale, hist and lkey where they are stored."""
+    df = spark.read.parquet(*paths)
+    have = {*df.columns}
+    if "stale" not in have:
+        df = df.withColumn("stale", F.lit(False))
+    if "lkey" not in have:
+        df = df.withColumn("lkey", key_of(F.col("labels")))
+    return df.withColumn("group_ord", F.lit(0)).withColumn("replica", F.lit(0))
+
+
 def write_exposition(vector: DataFrame, path: str) -> None:
     exposition(vector).write.mode("overwrite").text(path)
 

@@ -140,3 +140,27 @@ def test_metric_metadata_and_exemplars(spark):
     e = spark.createDataFrame([({"__name__": "h"}, {"t": "1"}, 1.0, 10), ({"__name__": "h"}, {"t": "2"}, 2.0, 5), ({"__name__": "z"}, {"t": "3"}, 2.0, 5)], "series_labels map<string,string>, ex_labels map<string,string>, value double, ts_ms long")
     rows = catalog.exemplars(e, [Matcher("__name__", "=", "h")], 0, 20).collect()
     assert len(rows) == 1 and [x["ts_ms"] for x in rows[0]["exemplars"]] == [5, 10]
+
+
+def test_sample_files(spark, tmp_path, base):
+    base.select("labels", "ts_ms", "value").write.parquet(str(tmp_path / "s"))
+    assert at(engine(spark, formats.read_samples(spark, str(tmp_path / "s"))), "count(foo)", "5m") == {"": 2.0}
+
+
+def test_default_step():
+    from seriesloom.engine import default_step
+
+    assert default_step(0, 3_600_000) == 15_000 and default_step(0, 10) == 1000
+
+
+def test_table_scan_pushes_down(spark):
+    from seriesloom.sources.model import TableSource, events_source
+
+    source = events_source(spark, "/root/testdata/sf0.001")
+    rows = source.scan((Matcher("event_type", "=", "view"), Matcher("user_id", "=~", "1.*"), Matcher("nope", "=", "")), 1_704_153_600_000, 1_705_000_000_000)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_type,view)" in plan and "GreaterThanOrEqual(ts" in plan
+    want = source.scan().where("labels.event_type = 'view' and labels.user_id like '1%' and ts_ms > 1704153600000 and ts_ms <= 1705000000000").count()
+    assert rows.count() == want > 0
+    assert isinstance(source, TableSource) and source.scan((Matcher("nope", "=", "x"),)).count() == 0
