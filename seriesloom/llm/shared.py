@@ -7,6 +7,7 @@ of rows Spark puts into a batch.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,12 +24,15 @@ _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LIBC = ctypes.CDLL(None)
+pa.set_memory_pool(pa.system_memory_pool())  # the default pool never shrinks; see trim()
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 # ---------------------------------------------------------------------------------------------- folders and tables
 def work_root(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir). A temporary one is set only where the setting is absent."""
+    small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = own.get()
@@ -38,17 +42,36 @@ def work_root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Limits of a batch that goes to Python, where the session still has Spark's own defaults. Documents are long: 10,000 rows or 64 MB
+#: of them are held several times over, by the JVM's vectors and both ends of the pipe.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for name, (default, own) in BATCHES.items():
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, own)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
 def table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes df into the shared folder and reads it again: cuts lineage in a way that outlives executors."""
+    """Writes df into the shared folder and reads it again: cuts lineage in a way that outlives executors. drop() removes it."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
     schema = df.schema
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes written tables that no later result reads."""
+    for t in tables:
+        remove(t.sparkSession, t.work_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -57,6 +80,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def read_documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -143,6 +167,12 @@ def text_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buffers[2], np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def trim() -> None:
+    """Gives freed memory back: workers live on between tasks, and what they keep counts against their executor."""
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the column's text in each is at most limit bytes, or a single row."""
     for batch in batches:
@@ -155,6 +185,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(size, used + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+        trim()
 
 
 def _lengths(array: pa.Array) -> list:
