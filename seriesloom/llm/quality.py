@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, wanted) -> Model:
     sample = labelled_sample(docs, labels, wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, limit=8 << 20):
+        for batch in chunks(batches):
             words = Words(*text_buffer(batch.column("text")))
             key, n = np.unique(np.concatenate(token_hashes(words)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
@@ -202,25 +202,27 @@ def train(model: Model, x: np.ndarray, y: np.ndarray, seed: int = 1) -> None:
         model.temperature = float(min(losses, key=losses.get))
 
 
-def score(docs: DataFrame, model: Model, names: list[str] | None = None) -> DataFrame:
-    """The columns `names` (doc_id if none) and score of each row."""
+def score(docs: DataFrame, model: Model, names: list[str] | None = None, into: str = "score") -> DataFrame:
+    """The columns `names` (doc_id if none) and the score of each row."""
     shared, names = docs.sparkSession.sparkContext.broadcast(model), names or ["doc_id"]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             s = shared.value.score(Words(*text_buffer(batch.column("text"))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s, pa.float64())], names=[*names, into])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    picked = docs.select(*dict.fromkeys([*names, "text"]))
-    return picked.mapInArrow(go, StructType([*(picked.schema[n] for n in names), StructField("score", DoubleType())]))
+    picked = docs.select(*[F.col(f"`{n}`") for n in dict.fromkeys([*names, "text"])])
+    return picked.mapInArrow(go, StructType([*(picked.schema[n] for n in names), StructField(into, DoubleType())]))
 
 
 def keep(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts, with their columns."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return score(packed, model, ["row"]).where(F.col("score") >= least).select("row.*")
+    into = "score"
+    while into in docs.columns:
+        into += "_"
+    return score(docs, model, docs.columns, into).where(F.col(into) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
