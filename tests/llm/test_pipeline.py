@@ -16,7 +16,7 @@ def test_stages(spark, tmp_path):
     item = "a question about trains that leave at 40 km per hour and meet another train from the south before noon"
     near = good[3].split()
     near[50] = "changed"
-    texts = good + junk + [good[0], " ".join(near), good[5] + " " + item]
+    texts = good + junk + [good[0], " ".join(near), " ".join(words(rnd, 100, 3000)) + " " + item]
     labels = [(i, int(i < 60), 0) for i in range(85)]
     spark.createDataFrame([(i, t, "en", f"s{i % 4}", len(t)) for i, t in enumerate(texts)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
