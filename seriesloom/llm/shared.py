@@ -8,6 +8,7 @@ of rows Spark puts into a batch.
 from __future__ import annotations
 
 import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +49,11 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "s
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Also lets Python workers on this machine find the package wherever the driver was started."""
+    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     for name, (default, own) in BATCHES.items():
         if spark.conf.get(name, None) == default:
             spark.conf.set(name, own)
