@@ -5,7 +5,8 @@ one node. Every node picks shared tokens by consistent sampling: at a tree node
 h(v, t) < picks / |set|, so two sets of similarity 0.8 take a common shingle with probability 1 - exp(-0.8 picks) at least.
 RUNS roots of ROOT_PICKS picks are drawn; a bucket of at most SMALL sets is a leaf, a larger one is split first by size class
 (exact) and then again by SPLIT_PICKS tokens up to DEPTH. The chance that a pair at the threshold meets in no leaf is at most
-exp(-0.8 x 16 x 0.82) < 3e-5, less for more similar ones. Leaves are compared exactly: intersections of the whole shingle sets, in numpy.
+exp(-0.8 x 16 x 0.82) < 3e-5, less for more similar ones. Large buckets with the same members go on as one, which is split by as
+many independent nodes as it stands for: REPEATS at most, where all of them fail a pair with probability exp(-0.8 x 3 x 8) < 1e-8. Leaves are compared exactly: intersections of the whole shingle sets, in numpy.
 
 What keeps it bounded: buckets are counted before any set is shipped, buckets with the same members are compared once, a leaf
 of more than CELL sets is dealt over a triangle of cells, and a cell returns one row per set (its number of links and its
@@ -35,6 +36,7 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 RUNS, ROOT_PICKS, SPLIT_PICKS, DEPTH = 4, 4, 3, 3
 SMALL, CELL = 4096, 1024
+REPEATS = 8
 SCREEN, SCREEN_SHARE = 48, 0.3
 #: Rows whose 8-byte ids may be sent to every task to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -101,25 +103,29 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, data, paths in zip(*(batch.column(c).to_pylist() for c in ("key", "shingles", "paths"))):
             values = np.frombuffer(data, np.uint64)
             for p in paths:
-                found = picked(values, np.array([0, len(values)]), p % (1 << 64), SPLIT_PICKS)[1]
-                keys += [key] * len(found)
-                buckets.append(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets) if buckets else [], pa.int64()), pa.array(keys, pa.binary())], names=["bucket", "key"])
+                for repeat in range(min(p["stands"], REPEATS)):
+                    node = (p["bucket"] + repeat * 0x9E3779B97F4A7C15) % (1 << 64)
+                    found = picked(values, np.array([0, len(values)]), node, SPLIT_PICKS)[1]
+                    keys += [key] * len(found)
+                    buckets.append(found)
+        stands = pa.array(np.ones(len(keys), np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets) if buckets else [], pa.int64()), pa.array(keys, pa.binary()), stands], names=["bucket", "key", "stands"])
 
 
 def _shared(members: DataFrame) -> DataFrame:
-    """(bucket, key, m): the members of buckets of two sets or more, one bucket of each membership."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("key")).alias("sig")).where("m > 1")
-    once = sizes.groupBy("m", "sig").agg(F.min("bucket").alias("bucket"))
-    return members.join(once.select("bucket", F.col("m").cast("int").alias("m")), "bucket")
+    """(bucket, key, m, stands): the members of buckets of two sets or more, one bucket of each membership; stands is the number
+    of buckets (REPEATS at most) that it stands for."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("key")).alias("sig"), F.max("stands").alias("stands")).where("m > 1")
+    once = sizes.groupBy("m", "sig").agg(F.min("bucket").alias("bucket"), F.least(F.sum("stands"), F.lit(REPEATS)).cast("int").alias("stands"))
+    return members.select("bucket", "key").join(once.select("bucket", F.col("m").cast("int").alias("m"), "stands"), "bucket")
 
 
 def _by_size(hot: DataFrame, sets: DataFrame) -> DataFrame:
     """Buckets cut by size class, classes a little more than a factor of 5/4 wide; a set goes to its own and the next, so two sets whose sizes
     allow the similarity share one."""
     at = F.floor(F.log("size") / float(np.log(1.01 * DENOMINATOR / NUMERATOR)))
-    rows = hot.join(sets.select("key", "size"), "key").select("key", "bucket", F.explode(F.array(at, at + 1)).alias("class"))
-    return rows.select(F.xxhash64("bucket", "class").alias("bucket"), "key")
+    rows = hot.join(sets.select("key", "size"), "key").select("key", "bucket", "stands", F.explode(F.array(at, at + 1)).alias("class"))
+    return rows.select(F.xxhash64("bucket", "class").alias("bucket"), "key", "stands")
 
 
 def compare(sets: list[np.ndarray], copies: np.ndarray, leaves: list[list[int]], here: int, side: np.ndarray | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -281,7 +287,7 @@ def join(docs: DataFrame) -> DataFrame:
     rows = table(own.mapInArrow(_sketch, "doc_id long, rid long, key binary, size long, roots array<long>, screen binary"), "jaccard-rows")
     sets = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("roots").alias("roots"), F.first("screen").alias("screen"))
     sets = table(sets, "jaccard-sets")
-    members = table(_shared(sets.select(F.explode("roots").alias("bucket"), "key")), "jaccard-members")
+    members = table(_shared(sets.select(F.explode("roots").alias("bucket"), "key", F.lit(1).alias("stands"))), "jaccard-members")
     leaves, hot = _screened(members.where(F.col("m") <= SMALL), sets), members.where(F.col("m") > SMALL)
     work = [members, leaves]
     met = leaves.select("key").unionByName(hot.select("key")).distinct()
@@ -296,8 +302,8 @@ def join(docs: DataFrame) -> DataFrame:
         if depth == 1:
             parts = _by_size(hot, sets)
         else:
-            grown = hot.groupBy("key").agg(F.collect_list("bucket").alias("paths")).join(held, "key")
-            parts = grown.select("key", "shingles", "paths").mapInArrow(_split, "bucket long, key binary")
+            grown = hot.groupBy("key").agg(F.collect_list(F.struct("bucket", "stands")).alias("paths")).join(held, "key")
+            parts = grown.select("key", "shingles", "paths").mapInArrow(_split, "bucket long, key binary, stands int")
         members = table(_shared(parts), "jaccard-members")
         done = _screened(members if depth == DEPTH else members.where(F.col("m") <= SMALL), sets)
         work += [members, done]

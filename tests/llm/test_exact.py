@@ -154,6 +154,14 @@ def test_classes(spark, monkeypatch, small, cell, ids):
     assert jaccard.classes(empty(spark)).count() == 0
 
 
+def test_large_buckets_with_the_same_members(spark, monkeypatch):
+    """Templates with a unique field of equal length: the buckets of a group all have the same members."""
+    monkeypatch.setattr(jaccard, "SMALL", 6)
+    texts = [" ".join([f"g{g}w{i}" for i in range(204)] + [f"g{g}d{d}u{i}" for i in range(16)]) for g in range(60) for d in range(8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in rows_of(jaccard.classes(df))} == {(i, i - i % 8, 7) for i in range(480)}
+
+
 # --------------------------------------------------------------------------------------------------------------- 8 lines
 def brute_lines(texts, least):
     def key(line):
