@@ -47,7 +47,8 @@ def _smaller(a, ca, b, cb):
 
 def prefixes(words: Words) -> tuple[np.ndarray, ...]:
     """Rows of consecutive windows with one smallest seed: first window, number of windows, seed, whether the seed stands twice
-    in a window; and the word hashes."""
+    in the row; and the word hashes. One place of a seed is in at most `reach` windows, so a longer row has it twice, even if no
+    window does (a text of period `reach`)."""
     n, reach = len(words), LENGTH - SEED + 1
     empty = np.zeros(0, np.int64)
     hashes = words.hashes()
@@ -77,7 +78,8 @@ def prefixes(words: Words) -> tuple[np.ndarray, ...]:
         return empty, empty, np.zeros(0, np.uint64), np.zeros(0, bool), hashes
     seed, twice = rest[0][windows], rest[1][windows] > 1
     first = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (windows[1:] != windows[:-1] + 1)]))
-    return windows[first], np.diff(np.append(first, len(windows))), seed[first], np.logical_or.reduceat(twice, first), hashes
+    many = np.diff(np.append(first, len(windows)))
+    return windows[first], many, seed[first], np.logical_or.reduceat(twice, first) | (many > reach), hashes
 
 
 def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,14 @@ def test_substrings(spark, monkeypatch, group, seeds):
     assert substring.clean(empty(spark)).count() == 0
 
 
+def test_periodic_texts(spark):
+    """Periods about the number of seeds in a window; each text repeats only itself."""
+    texts = [" ".join(f"p{n}r{r}w{i % n}" for i in range(r)) for n in (19, 20, 21) for r in (n + 34, n + 35, 3 * n, 5 * n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in rows_of(substring.clean(df))}
+    assert [got[i] for i in range(len(texts))] == brute_removed(texts)
+
+
 # ---------------------------------------------------------------------------------------------------------- 3 templates
 BENCH = [
     (1, "A train leaves the old station at 40 km per hour and Maria waits for 15 minutes before she follows it by car to the coast"),
