@@ -82,6 +82,13 @@ def test_inconsistent_slots_are_no_hit(spark):
     assert got == {0}
 
 
+def test_two_benchmark_values_may_share_a_document_value(spark):
+    item = "the farmer puts 5 apples and 7 pears into a basket and carries them home before the rain begins"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [item.replace("5", "6").replace("7", "6"), item.replace("5", "8").replace("7", "9"), item]
+    assert {r["doc_id"] for r in rows_of(decontaminate.hits(messy(spark, texts), bench))} == {0, 1, 2}
+
+
 # -------------------------------------------------------------------------------------------------------------- 4 tokens
 def test_tokens(spark, tmp_path):
     from tokenizers import Tokenizer
