@@ -18,7 +18,7 @@ distinct unit goes through the tokenizers library once per worker. No token cros
 of the whole text; a text with a special token or white space outside ASCII in it is encoded whole.
 
 Defined cases: a null or empty text has the end id alone; ids of any size up to 64 bits round-trip; repeated and null doc_ids
-are documents of their own; an empty table is a file without blocks.
+are documents of their own; an empty table is a file without blocks; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import _CODES, Words, chunks, new_path, ranges_hash, read_documents, text_buffer
@@ -311,7 +312,20 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, partitions: int | None = None) -> None:
+def stored_order(docs: DataFrame) -> list[Column]:
+    """Sort keys that keep the order in which a sorted DataFrame was written: part number, file and row of a file scan; the order of
+    the partitions' rows where docs is none."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return [F.monotonically_increasing_id()]
+    name = F.col("_metadata.file_name")
+    return [F.coalesce(F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), F.lit(0)), name, F.col("_metadata.row_index")]
+
+
+def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, partitions: int | None = None, order: list[Column] | None = None) -> None:
+    """The file of all texts in the given order, by default ascending doc_id; rows of one doc_id by their texts' hashes, so that no
+    id lands whole in one part."""
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path()
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -339,8 +353,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
         if ids:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    keys = [k.alias(f"k{i}") for i, k in enumerate(order or [F.col("doc_id").cast("long"), F.xxhash64("text")])]
+    names = [f"k{i}" for i in range(len(keys))]
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keys).repartitionByRange(partitions, *names).sortWithinPartitions(*names, "text")
+    placed.select("doc_id", "text").mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
