@@ -1,8 +1,9 @@
 """A training corpus from raw documents, in five stages, each one of the corpus operators.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-documents. Stage 4 repeats a document for each copy that the mix takes, in training order. The tests hold each stage against a
-brute-force version; SQL cannot express the classifier, so there is none for the whole.
+documents. Stage 4 repeats a document for each copy that the mix takes and range-sorts them into training order, which its files
+keep and stage 5 follows. The tests hold each stage against a brute-force version; SQL cannot express the classifier, so there is
+none for the whole.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token file's index: doc_id, start, n_tokens and ids_crc32 of each copy, read back from the file."""
+    """The token file in training order, as its index read back: doc_id, start, n_tokens and ids_crc32 of each copy."""
     path = shared.new_path(spark, "pipeline-tokens")
-    tokenfile.write_tokens(docs, path)
+    tokenfile.write_tokens(docs, path, order=tokenfile.stored_order(docs))
     return tokenfile.read_tokens(spark, path)
 
 
