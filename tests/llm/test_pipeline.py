@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seriesloom.llm import shared
+from seriesloom.llm import mixing, shared
 from util import SCHEMA, words
 
 
@@ -24,6 +24,7 @@ def test_stages(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     columns, kept = docs.columns, []
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        before_mix = docs
         docs = shared.table(stage(spark, docs, str(tmp_path)), name)
         assert docs.columns == columns
         kept.append({r[0] for r in docs.select("doc_id").collect()})
@@ -31,7 +32,9 @@ def test_stages(spark, tmp_path):
     assert kept[1] == set(range(60)) | {87}
     assert kept[2] == set(range(60))
     assert docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2 and 60 < docs.count() <= 120
+    trained = [r["doc_id"] for r in mixing.curriculum(before_mix).select("doc_id").collect()]
+    assert trained != sorted(trained)
     out = corpus_pipeline.run(spark, str(tmp_path))
     rows = sorted(out.collect(), key=lambda r: r["start"])
-    assert len(rows) == docs.count() and [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
+    assert [r["doc_id"] for r in rows] == trained
     assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(rows, rows[1:]))
