@@ -3,17 +3,25 @@
 A document's set is that of its five-word shingles (a text of one to four words is one shingle). Documents with equal sets are
 one node. Every node picks shared tokens by consistent sampling: at a tree node v it takes each of its shingles t with
 h(v, t) < picks / |set|, so two sets of similarity 0.8 take a common shingle with probability 1 - exp(-0.8 picks) at least.
-RUNS roots of ROOT_PICKS picks are drawn; a bucket of at most SMALL sets is a leaf, a larger one is split first by size class
-(exact) and then again by SPLIT_PICKS tokens up to DEPTH. The chance that a pair at the threshold meets in no leaf is at most
-exp(-0.8 x 16 x 0.82) < 3e-5, less for more similar ones. Large buckets with the same members go on as one, which is split by as
-many independent nodes as it stands for: REPEATS at most, where all of them fail a pair with probability exp(-0.8 x 3 x 8) < 1e-8. Leaves are compared exactly: intersections of the whole shingle sets, in numpy.
-
-What keeps it bounded: buckets are counted before any set is shipped, buckets with the same members are compared once, a leaf
-of more than CELL sets is dealt over a triangle of cells, and a cell returns one row per set (its number of links and its
-component's root in the cell), never the pairs. A pair that meets in several leaves counts in the smallest leaf they share.
-Before whole sets travel, a leaf sees sizes and samples of about SCREEN tokens: a set goes on only if it has a partner there
-within the size ratio (exact) that shares at least SCREEN_SHARE of the smaller sample; a pair at the threshold is expected to
-share 0.8 of 48 and falls below with probability under 1e-5. Links become classes by alternating star contraction, each round written to the shared folder.
+Each run draws a root of ROOT_PICKS picks; a bucket of at most SMALL sets is a leaf, a larger one is split by SPLIT_PICKS further
+tokens, again and again up to DEPTH. A bucket whose sampled members share DENSE of their tokens on average is a leaf whatever its
+size, since no token would part it. Large buckets with the same members go on as one, which is split by as many independent nodes
+as it stands for (REPEATS at most, where all of them fail a pair with probability exp(-0.8 x 3 x 8) < 1e-8). Leaves are compared
+exactly: intersections of the whole shingle sets, in numpy.
+
+Recall. A pair at the threshold passes a split with probability 0.91 and all splits with 0.88 at least, so RUNS runs of ROOT_PICKS
+miss it with probability exp(-0.8 x 16 x 0.88) < 2e-5. It is measured too: the leaves say in how many runs each linked pair met,
+and from the pairs met once and twice follows how many were never met (Chao's estimate). While the recall estimated so is below
+RECALL, the join is repeated with twice the runs.
+
+What keeps it bounded: buckets are counted before any set is shipped; buckets with the same members are compared once; a leaf of
+more than CELL sets (or CELL_SHINGLES shingles) is dealt over a triangle of cells, and a cell returns one row per set (its number
+of links and its component's root in the cell), never the pairs. A pair that meets in several leaves counts in the smallest leaf
+they share. Exact link counts of n mutually similar texts need n^2 / 2 comparisons, made as matrix products; the rows sent for them
+are n up to CELL and n^2 / CELL beyond. Before whole sets travel, a leaf sees sizes and samples of about SCREEN tokens: a set goes
+on only if it has a partner there within the size ratio (exact) that shares at least SCREEN_SHARE of the smaller sample; a pair at
+the threshold is expected to share 0.8 of 48 and falls below with probability under 1e-5. Links become classes by alternating star
+contraction, each round written to the shared folder.
 
 Defined cases: null texts and texts without words are linked to nothing and are their own class (class_id is their doc_id);
 repeated rows are copies; null doc_ids take part, and a class of null doc_ids only has a null class_id; other columns are
@@ -35,12 +43,16 @@ SHINGLE = 5
 #: Similarity as a fraction, compared in integers.
 NUMERATOR, DENOMINATOR = 4, 5
 RUNS, ROOT_PICKS, SPLIT_PICKS, DEPTH = 4, 4, 3, 3
-SMALL, CELL = 4096, 1024
+SMALL = 128
+#: Sets, and shingles, of a block; a cell compares two blocks, by matrix products of ROWS x COLUMNS.
+CELL, CELL_SHINGLES, ROWS, COLUMNS = 2048, 4_000_000, 512, 2048
 REPEATS = 8
+#: A bucket is dense by the mean share of common tokens among about PROBE members.
+DENSE, PROBE = 0.6, 16
 SCREEN, SCREEN_SHARE = 48, 0.3
+RECALL, MOST_RUNS = 0.999, 32
 #: Rows whose 8-byte ids may be sent to every task to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-COLUMNS = 8192
 SCREEN_NODE = 1 << 40
 _TOP = float(1 << 64)
 
@@ -77,17 +89,25 @@ def picked(values: np.ndarray, bounds: np.ndarray, node: int, picks: float) -> t
     return np.searchsorted(bounds, spots, "right") - 1, mix(drawn[spots] + salt).view(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        values, bounds = shingles(Words(*text_buffer(batch.column("text"))))
-        at, buckets = (np.concatenate(x) for x in zip(*(picked(values, bounds, r, ROOT_PICKS) for r in range(RUNS))))
-        order = np.argsort(at, kind="stable")
-        roots = pa.ListArray.from_arrays(pa.array(np.searchsorted(at[order], np.arange(batch.num_rows + 1)), pa.int32()), pa.array(buckets[order], pa.int64()))
-        who, tokens = picked(values, bounds, SCREEN_NODE, SCREEN)
-        marks = (tokens.view(np.uint64) >> np.uint64(32)).astype("<u4")
-        edges = np.searchsorted(who, np.arange(batch.num_rows + 1)).tolist()
-        screen = pa.array([marks[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(set_keys(values, bounds), pa.binary()), pa.array(np.diff(bounds), pa.int64()), roots, screen], names=["doc_id", "rid", "key", "size", "roots", "screen"])
+def _sketch(runs: int):
+    """doc_id, rid, key of the set, its size, (bucket, bit of the run) of its roots, and its sample."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            values, bounds = shingles(Words(*text_buffer(batch.column("text"))))
+            found = [picked(values, bounds, r, ROOT_PICKS) for r in range(runs)]
+            at, buckets = (np.concatenate(x) for x in zip(*found))
+            bits = np.repeat(np.int64(1) << np.arange(runs), [len(x[0]) for x in found])
+            order = np.argsort(at, kind="stable")
+            pairs = pa.StructArray.from_arrays([pa.array(buckets[order]), pa.array(bits[order])], names=["bucket", "runs"])
+            roots = pa.ListArray.from_arrays(pa.array(np.searchsorted(at[order], np.arange(batch.num_rows + 1)), pa.int32()), pairs)
+            who, tokens = picked(values, bounds, SCREEN_NODE, SCREEN)
+            marks = (tokens.view(np.uint64) >> np.uint64(32)).astype("<u4")
+            edges = np.searchsorted(who, np.arange(batch.num_rows + 1)).tolist()
+            screen = pa.array([marks[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(set_keys(values, bounds), pa.binary()), pa.array(np.diff(bounds), pa.int64()), roots, screen], names=["doc_id", "rid", "key", "size", "roots", "screen"])
+
+    return go
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,51 +117,61 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Children of each set's large buckets."""
+    """Children of each set's large buckets. Of a bucket that stands for several, each child counts for one of their runs."""
     for batch in chunks(batches, "shingles"):
-        keys, buckets = [], []
+        keys, sizes, buckets, bits = [], [], [], []
         for key, data, paths in zip(*(batch.column(c).to_pylist() for c in ("key", "shingles", "paths"))):
             values = np.frombuffer(data, np.uint64)
             for p in paths:
+                runs = [1 << r for r in range(MOST_RUNS) if p["runs"] >> r & 1]
                 for repeat in range(min(p["stands"], REPEATS)):
                     node = (p["bucket"] + repeat * 0x9E3779B97F4A7C15) % (1 << 64)
                     found = picked(values, np.array([0, len(values)]), node, SPLIT_PICKS)[1]
                     keys += [key] * len(found)
+                    sizes += [len(values)] * len(found)
+                    bits += [runs[repeat % len(runs)]] * len(found)
                     buckets.append(found)
-        stands = pa.array(np.ones(len(keys), np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets) if buckets else [], pa.int64()), pa.array(keys, pa.binary()), stands], names=["bucket", "key", "stands"])
+        columns = [pa.array(np.concatenate(buckets) if buckets else [], pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.ones(len(keys), np.int32)), pa.array(bits, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "key", "size", "stands", "runs"])
 
 
 def _shared(members: DataFrame) -> DataFrame:
-    """(bucket, key, m, stands): the members of buckets of two sets or more, one bucket of each membership; stands is the number
-    of buckets (REPEATS at most) that it stands for."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("key")).alias("sig"), F.max("stands").alias("stands")).where("m > 1")
-    once = sizes.groupBy("m", "sig").agg(F.min("bucket").alias("bucket"), F.least(F.sum("stands"), F.lit(REPEATS)).cast("int").alias("stands"))
-    return members.select("bucket", "key").join(once.select("bucket", F.col("m").cast("int").alias("m"), "stands"), "bucket")
-
-
-def _by_size(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """Buckets cut by size class, classes a little more than a factor of 5/4 wide; a set goes to its own and the next, so two sets whose sizes
-    allow the similarity share one."""
-    at = F.floor(F.log("size") / float(np.log(1.01 * DENOMINATOR / NUMERATOR)))
-    rows = hot.join(sets.select("key", "size"), "key").select("key", "bucket", "stands", F.explode(F.array(at, at + 1)).alias("class"))
-    return rows.select(F.xxhash64("bucket", "class").alias("bucket"), "key", "stands")
-
-
-def compare(sets: list[np.ndarray], copies: np.ndarray, leaves: list[list[int]], here: int, side: np.ndarray | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of each set in a cell (copies counted) and the linked pairs' spanning forest. side: the blocks of a cell off the
-    diagonal, whose pairs are of different blocks only."""
-    k = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    both = _overlap(sets, k)
-    linked = DENOMINATOR * both >= NUMERATOR * (sizes[:, None] + sizes[None, :] - both)
-    np.fill_diagonal(linked, False)
-    if side is not None:
-        linked &= side[:, None] != side[None, :]
-    if linked.any():
-        earlier = [np.array([b for b in x if b < here], np.int64) for x in leaves]
-        linked &= _overlap(earlier, k) == 0
-    return linked @ copies, forest(linked)
+    """(bucket, key, m, load, stands, runs): the members of buckets of two sets or more, one bucket of each membership; load is
+    the sum of their sizes, stands the number of buckets (REPEATS at most) that it stands for, runs the bits of their runs."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("load"), F.bit_xor(F.xxhash64("key")).alias("sig"), F.max("stands").alias("stands"), F.bit_or("runs").alias("runs")).where("m > 1")
+    once = sizes.groupBy("m", "load", "sig").agg(F.min("bucket").alias("bucket"), F.least(F.sum("stands"), F.lit(REPEATS)).cast("int").alias("stands"), F.bit_or("runs").alias("runs"))
+    return members.select("bucket", "key").join(once.select("bucket", F.col("m").cast("int").alias("m"), "load", "stands", "runs"), "bucket")
+
+
+def _mean_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The buckets among these whose probed samples share DENSE of their tokens on average."""
+    for batch in batches:
+        out = []
+        for bucket, screens in zip(batch.column("bucket").to_pylist(), batch.column("screens").to_pylist()):
+            samples = [x for x in (np.frombuffer(s, "<u4") for s in screens) if len(x)]
+            k = len(samples)
+            if k > 1:
+                taken = np.array([len(x) for x in samples])
+                share = _overlap(samples, k) / np.minimum(taken[:, None], taken[None, :])
+                if (share.sum() - np.trace(share)) / (k * (k - 1)) >= DENSE:
+                    out.append(bucket)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["bucket"])
+
+
+def _parted(members: DataFrame, sets: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """The members of leaves, and those of buckets that are still to be split."""
+    if last:
+        return members, members.limit(0)
+    hot = members.where(F.col("m") > SMALL)
+    probe = hot.where(F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("m") / F.lit(PROBE))) == 0).select("bucket", "key")
+    samples = probe.join(sets.select("key", "screen"), "key").groupBy("bucket").agg(F.collect_list("screen").alias("screens"))  # about PROBE each
+    dense = table(samples.mapInArrow(_mean_share, "bucket long"), "jaccard-dense")
+    sent = F.broadcast(dense) if dense.count() <= BROADCAST_IDS else dense
+    return members.where(F.col("m") <= SMALL).unionByName(hot.join(sent, "bucket", "left_semi")), hot.join(sent, "bucket", "left_anti")
+
+
+def _blocks(k: int) -> Iterator[slice]:
+    return (slice(a, min(a + ROWS, k)) for a in range(0, k, ROWS))
 
 
 def _overlap(sets: list[np.ndarray], k: int) -> np.ndarray:
@@ -149,7 +179,7 @@ def _overlap(sets: list[np.ndarray], k: int) -> np.ndarray:
     out = np.zeros((k, k), np.float32)
     every = np.concatenate(sets)
     if not len(every):
-        return out.astype(np.int64)
+        return out
     owner = np.repeat(np.arange(k), [len(s) for s in sets])
     _, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
     place = np.cumsum(counts > 1) - 1
@@ -161,15 +191,61 @@ def _overlap(sets: list[np.ndarray], k: int) -> np.ndarray:
         a, b = np.searchsorted(column, (low, low + COLUMNS))
         part = np.zeros((k, min(COLUMNS, int(place[-1]) + 1 - low)), np.float32)
         part[owner[a:b], column[a:b] - low] = 1
-        out += part @ part.T
-    return out.astype(np.int64)
+        for rows in _blocks(k):
+            out[rows] += part[rows] @ part.T
+    return out
+
+
+def _unmet(pairs: np.ndarray, leaves: list[list[int]], here: int) -> None:
+    """Takes out of pairs those that meet in a leaf before this one."""
+    met = _overlap([np.array([b for b in x if b < here], np.int64) for x in leaves], len(pairs))
+    for rows in _blocks(len(pairs)):
+        pairs[rows] &= met[rows] == 0
+
+
+def _own_pairs(pairs: np.ndarray, side: np.ndarray | None) -> None:
+    """Takes out the pairs of a set with itself and, off the diagonal, those within a block."""
+    np.fill_diagonal(pairs, False)
+    if side is not None:
+        pairs &= side[:, None] != side[None, :]
+
+
+def compare(sets: list[np.ndarray], copies: np.ndarray, leaves: list[list[int]], runs: list[list[int]], here: int, side: np.ndarray | None):
+    """Links of each set in a cell (copies counted), its linked sets, how many of them it meets in one run only and in two, and the
+    linked pairs' spanning forest. side: the blocks of a cell off the diagonal, whose pairs are of different blocks only."""
+    k = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    both = _overlap(sets, k)
+    linked = np.empty((k, k), bool)
+    for rows in _blocks(k):
+        common = both[rows].astype(np.float64)
+        linked[rows] = DENOMINATOR * common >= NUMERATOR * (sizes[rows, None] + sizes[None, :] - common)
+    del both
+    _own_pairs(linked, side)
+    if linked.any():
+        _unmet(linked, leaves, here)
+    links, pairs, once, twice = (np.zeros(k, np.int64) for _ in range(4))
+    if linked.any():
+        met = np.zeros((k, k), np.uint8)
+        for r in range(MOST_RUNS):
+            own = [np.array([b for b, m in zip(x, y) if m >> r & 1], np.int64) for x, y in zip(leaves, runs)]
+            if any(map(len, own)):
+                together = _overlap(own, k)
+                for rows in _blocks(k):
+                    met[rows] += together[rows] > 0
+        for rows in _blocks(k):
+            part = linked[rows]
+            links[rows] = part.astype(np.float64) @ copies
+            pairs[rows], once[rows], twice[rows] = part.sum(axis=1), (part & (met[rows] == 1)).sum(axis=1), (part & (met[rows] == 2)).sum(axis=1)
+    return links, pairs, once, twice, forest(linked)
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     """(set, root) of every set that is linked, roots being the smallest of a component."""
-    root = np.arange(len(linked))
+    k = len(linked)
+    root = np.arange(k)
     while True:  # smallest label over neighbours, with jumps
-        low = np.where(linked, root[None, :], len(linked)).min(axis=1, initial=len(linked))
+        low = np.concatenate([np.where(linked[rows], root[None, :], k).min(axis=1, initial=k) for rows in _blocks(k)])
         new = np.minimum(root, low)
         new = new[new]
         if (new == root).all():
@@ -181,20 +257,19 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 def plausible(sizes: np.ndarray, samples: list[np.ndarray], leaves: list[list[int]], here: int, side: np.ndarray | None) -> np.ndarray:
     """Which sets of a cell have a partner that could be similar, and that they don't meet in an earlier leaf."""
     k = len(sizes)
-    low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
-    pairs = DENOMINATOR * low >= NUMERATOR * high
-    np.fill_diagonal(pairs, False)
-    if side is not None:
-        pairs &= side[:, None] != side[None, :]
-    if pairs.any():
-        taken = np.array([len(x) for x in samples])
-        pairs &= _overlap(samples, k) >= SCREEN_SHARE * np.minimum(taken[:, None], taken[None, :])
+    taken = np.array([len(x) for x in samples])
+    both, pairs = _overlap(samples, k), np.empty((k, k), bool)
+    for rows in _blocks(k):
+        low, high = np.minimum(sizes[rows, None], sizes[None, :]), np.maximum(sizes[rows, None], sizes[None, :])
+        pairs[rows] = (DENOMINATOR * low >= NUMERATOR * high) & (both[rows] >= SCREEN_SHARE * np.minimum(taken[rows, None], taken[None, :]))
+    del both
+    _own_pairs(pairs, side)
     if pairs.any():
-        pairs &= _overlap([np.array([b for b in x if b < here], np.int64) for x in leaves], k) == 0
+        _unmet(pairs, leaves, here)
     return pairs.any(axis=1)
 
 
-_CELL = ("cell", "bucket", "key", "m", "leaves", "block", "across", "payload", "number")
+_CELL = ("cell", "bucket", "key", "m", "load", "leaves", "leaf_runs", "runs", "block", "across", "payload", "number")
 
 
 def _by_cell(close, schema: pa.Schema):
@@ -225,44 +300,59 @@ def _by_cell(close, schema: pa.Schema):
 
 
 def _close_screen(rows: list) -> list[tuple]:
-    side = np.array([r[5] for r in rows]) if rows[0][6] else None
-    stays = plausible(np.array([r[8] for r in rows]), [np.frombuffer(r[7], "<u4") for r in rows], [r[4] for r in rows], rows[0][1], side)
-    return [(rows[i][1], rows[i][2], rows[i][3]) for i in np.flatnonzero(stays)]
+    side = np.array([r[8] for r in rows]) if rows[0][9] else None
+    stays = plausible(np.array([r[11] for r in rows]), [np.frombuffer(r[10], "<u4") for r in rows], [r[5] for r in rows], rows[0][1], side)
+    return [(*rows[i][1:5], *rows[i][5:8]) for i in np.flatnonzero(stays)]
 
 
 def _close_compare(rows: list) -> list[tuple]:
-    side = np.array([r[5] for r in rows]) if rows[0][6] else None
-    links, roots = compare([np.frombuffer(r[7], np.uint64) for r in rows], np.array([r[8] for r in rows]), [r[4] for r in rows], rows[0][1], side)
-    return [(rows[i][2], int(links[i]), rows[j][2]) for i, j in roots]
+    side = np.array([r[8] for r in rows]) if rows[0][9] else None
+    *counts, roots = compare([np.frombuffer(r[10], np.uint64) for r in rows], np.array([r[11] for r in rows]), [r[5] for r in rows], [r[6] for r in rows], rows[0][1], side)
+    return [(rows[i][2], *(int(c[i]) for c in counts), rows[j][2]) for i, j in roots]
 
 
 def _cells(leaves: DataFrame, facts: DataFrame, close, schema: pa.Schema) -> DataFrame:
-    """Runs close over the cells of leaves (bucket, key, m), with each set's facts (key, payload, number). A large leaf becomes a
-    triangle of cells: each set goes to the cells of its block with every block; in a cell off the diagonal both blocks come
-    with across = true, in one on it all rows are of its block."""
-    lists = leaves.groupBy("key").agg(F.collect_list(F.struct("bucket", "m")).alias("at"))
-    full = lists.join(facts, "key").withColumn("leaves", F.transform("at", lambda x: x["bucket"]))
-    spread = full.select("key", "payload", "number", "leaves", F.explode("at").alias("at")).withColumn("g", F.ceil(F.col("at.m") / F.lit(CELL)).cast("int"))
+    """Runs close over the cells of leaves (bucket, key, m, load, runs), with each set's facts (key, payload, number). A large leaf
+    becomes a triangle of cells: each set goes to the cells of its block with every block; in a cell off the diagonal both blocks
+    come with across = true, in one on it all rows are of its block."""
+    own = F.collect_list(F.struct("bucket", "m", "load", "runs")).alias("at")
+    if "leaves" in leaves.columns:  # screened: a set may have gone from leaves that it was in
+        lists = leaves.groupBy("key").agg(own, F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("leaves", "leaf_runs")))).alias("every"))
+        lists = lists.select("key", "at", F.transform("every", lambda x: x["leaves"]).alias("leaves"), F.transform("every", lambda x: x["leaf_runs"]).alias("leaf_runs"))
+    else:
+        lists = leaves.groupBy("key").agg(own).select("key", "at", F.transform("at", lambda x: x["bucket"]).alias("leaves"), F.transform("at", lambda x: x["runs"]).alias("leaf_runs"))
+    spread = lists.join(facts, "key").select("key", "payload", "number", "leaves", "leaf_runs", F.explode("at").alias("at"))
+    spread = spread.withColumn("g", F.greatest(F.ceil(F.col("at.m") / F.lit(CELL)), F.ceil(F.col("at.load") / F.lit(CELL_SHINGLES))).cast("int"))
     spread = spread.withColumn("block", F.pmod(F.xxhash64("key"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     cell = F.xxhash64("at.bucket", F.least("block", "other"), F.greatest("block", "other"))
-    rows = spread.select(cell.alias("cell"), F.col("at.bucket").alias("bucket"), "key", F.col("at.m").alias("m"), "leaves", "block", (F.col("block") != F.col("other")).alias("across"), "payload", "number")
+    rows = spread.select(cell.alias("cell"), F.col("at.bucket").alias("bucket"), "key", F.col("at.m").alias("m"), F.col("at.load").alias("load"), "leaves", "leaf_runs", F.col("at.runs").alias("runs"), "block", (F.col("block") != F.col("other")).alias("across"), "payload", "number")
     n = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    types = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    types = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
     return rows.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_by_cell(close, schema), ", ".join(f"{f.name} {types[f.type]}" for f in schema))
 
 
-_MEMBER = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("m", pa.int32())])
-_LINKED = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
+_MEMBER = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("m", pa.int32()), ("load", pa.int64()), ("leaves", pa.list_(pa.int64())), ("leaf_runs", pa.list_(pa.int64())), ("runs", pa.int64())])
+_LINKED = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("pairs", pa.int64()), ("once", pa.int64()), ("twice", pa.int64()), ("root", pa.binary())])
 
 
 def _screened(leaves: DataFrame, sets: DataFrame) -> DataFrame:
     return table(_cells(leaves, sets.select("key", F.col("screen").alias("payload"), F.col("size").alias("number")), _close_screen, _MEMBER).distinct(), "jaccard-leaves")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(key, label): the smallest key of each component, for keys with an edge. Edges are (a, b) with a > b."""
+def recall(linked: DataFrame, runs: int) -> float:
+    """Chao's estimate from the linked pairs that met in one run only and in two."""
+    n, once, twice = (x or 0 for x in linked.agg(F.sum("pairs") / 2, F.sum("once") / 2, F.sum("twice") / 2).first())
+    missed = (runs - 1) / runs * (once * once / (2 * twice) if twice else once * (once - 1) / 2)
+    if runs == 1:
+        missed = n  # nothing to compare a single run with
+    return n / (n + missed) if n else 1.0
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(key, label): the smallest key of each component, for keys with an edge. Edges are (a, b) with a > b. Each round at least
+    halves the long paths, so a handful suffices; it ends when a round changes nothing."""
     at, before = table(edges.distinct(), "edges"), None
-    for _ in range(rounds):
+    while True:
         state = at.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             break
@@ -281,14 +371,32 @@ def _with_rid(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("rid"))
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, runs: int | None = None) -> DataFrame:
     """One row per input row: doc_id, rid, key (of its set), label (of its class), n_links, n_copies."""
-    own = _with_rid(docs)
-    rows = table(own.mapInArrow(_sketch, "doc_id long, rid long, key binary, size long, roots array<long>, screen binary"), "jaccard-rows")
+    runs = runs or RUNS
+    rows, sets, linked = _links(_with_rid(docs), runs)
+    while recall(linked, runs) < RECALL:
+        if 2 * runs > MOST_RUNS:
+            raise RuntimeError(f"{runs} runs have not reached a recall of {RECALL}")
+        drop(rows, sets, linked)
+        runs *= 2
+        rows, sets, linked = _links(_with_rid(docs), runs)
+    labels = components(linked.where(F.col("key") > F.col("root")).select(F.col("key").alias("a"), F.col("root").alias("b")))
+    counts = linked.groupBy("key").agg(F.sum("links").alias("links"))
+    facts = sets.select("key", "copies").join(counts, "key", "left").join(labels, "key", "left")
+    facts = facts.select("key", F.coalesce("label", "key").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+    return rows.select("doc_id", "rid", "key").join(facts, "key", "left")
+
+
+def _links(own: DataFrame, runs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with their sets' keys, the distinct sets, and the linked sets with their counts and roots; all written."""
+    rows = table(own.mapInArrow(_sketch(runs), "doc_id long, rid long, key binary, size long, roots array<struct<bucket:long,runs:long>>, screen binary"), "jaccard-rows")
     sets = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("roots").alias("roots"), F.first("screen").alias("screen"))
     sets = table(sets, "jaccard-sets")
-    members = table(_shared(sets.select(F.explode("roots").alias("bucket"), "key", F.lit(1).alias("stands"))), "jaccard-members")
-    leaves, hot = _screened(members.where(F.col("m") <= SMALL), sets), members.where(F.col("m") > SMALL)
+    roots = sets.select("key", "size", F.explode("roots").alias("root")).select("root.bucket", "key", "size", F.lit(1).alias("stands"), "root.runs")
+    members = table(_shared(roots), "jaccard-members")
+    parts, hot = _parted(members, sets, False)
+    leaves = _screened(parts, sets)
     work = [members, leaves]
     met = leaves.select("key").unionByName(hot.select("key")).distinct()
     reps = table(sets.join(met, "key", "left_semi").select(F.col("rep").alias("rid")).distinct(), "jaccard-ids")
@@ -299,23 +407,17 @@ def join(docs: DataFrame) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         if not hot.limit(1).count():
             break
-        if depth == 1:
-            parts = _by_size(hot, sets)
-        else:
-            grown = hot.groupBy("key").agg(F.collect_list(F.struct("bucket", "stands")).alias("paths")).join(held, "key")
-            parts = grown.select("key", "shingles", "paths").mapInArrow(_split, "bucket long, key binary, stands int")
-        members = table(_shared(parts), "jaccard-members")
-        done = _screened(members if depth == DEPTH else members.where(F.col("m") <= SMALL), sets)
+        grown = hot.groupBy("key").agg(F.collect_list(F.struct("bucket", "stands", "runs")).alias("paths")).join(held, "key")
+        split = grown.select("key", "shingles", "paths").mapInArrow(_split, "bucket long, key binary, size long, stands int, runs long")
+        members = table(_shared(split), "jaccard-members")
+        parts, hot = _parted(members, sets, depth == DEPTH)
+        done = _screened(parts, sets)
         work += [members, done]
-        leaves, hot = leaves.unionByName(done.select(*leaves.columns)), members.where(F.col("m") > SMALL)
+        leaves = leaves.unionByName(done.select(*leaves.columns))
     facts = held.join(sets.select("key", F.col("copies").alias("number")), "key").withColumnRenamed("shingles", "payload")
     linked = table(_cells(leaves, facts, _close_compare, _LINKED), "jaccard-links")
     drop(*work, reps, held)  # what follows reads rows, sets, links and labels
-    labels = components(linked.where(F.col("key") > F.col("root")).select(F.col("key").alias("a"), F.col("root").alias("b")))
-    counts = linked.groupBy("key").agg(F.sum("links").alias("links"))
-    facts = sets.select("key", "copies").join(counts, "key", "left").join(labels, "key", "left")
-    facts = facts.select("key", F.coalesce("label", "key").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
-    return rows.select("doc_id", "rid", "key").join(facts, "key", "left")
+    return rows, sets, linked
 
 
 def classes(docs: DataFrame) -> DataFrame:

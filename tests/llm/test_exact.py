@@ -152,11 +152,15 @@ def brute_classes(rows):
     return out
 
 
-@pytest.mark.parametrize("small,cell,ids", [(64, 512, 10**6), (2, 4, 0)])
-def test_classes(spark, monkeypatch, small, cell, ids):
-    """Normal, and with every bucket split, large leaves dealt over cells and ids joined by shuffle."""
+@pytest.mark.parametrize("small,cell,ids,dense", [(64, 512, 10**6, 0.6), (2, 4, 0, 0.6), (2, 4, 0, 2.0)])
+def test_classes(spark, monkeypatch, small, cell, ids, dense):
+    """Normal, and with every bucket split, dense ones too, large leaves dealt over cells and ids joined by shuffle."""
+    monkeypatch.setattr(jaccard, "DENSE", dense)
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "CELL", cell)
+    monkeypatch.setattr(jaccard, "CELL_SHINGLES", 150 * cell)
+    monkeypatch.setattr(jaccard, "ROWS", 7)
+    monkeypatch.setattr(jaccard, "COLUMNS", 64)
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", ids)
     df = messy(spark)
     rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
@@ -172,11 +176,30 @@ def test_classes(spark, monkeypatch, small, cell, ids):
 def test_large_buckets_with_the_same_members(spark, monkeypatch):
     """Templates with a unique field of equal length: the buckets of a group all have the same members."""
     monkeypatch.setattr(jaccard, "SMALL", 6)
+    monkeypatch.setattr(jaccard, "DENSE", 2.0)
     texts = [" ".join([f"g{g}w{i}" for i in range(204)] + [f"g{g}d{d}u{i}" for i in range(16)]) for g in range(60) for d in range(8)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in rows_of(jaccard.classes(df))} == {(i, i - i % 8, 7) for i in range(480)}
 
 
+def test_runs_repeat_until_the_recall_is_reached(spark, monkeypatch):
+    """One pick a run misses many pairs at first; the estimate from the pairs' numbers of runs sees it."""
+    rnd, tried = np.random.default_rng(5), []
+    monkeypatch.setattr(jaccard, "RUNS", 2)
+    monkeypatch.setattr(jaccard, "ROOT_PICKS", 1)
+    links = jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda own, runs: tried.append(runs) or links(own, runs))
+    texts = []
+    for g in range(200):
+        base = [f"g{g}w{i}" for i in range(60)]
+        near = list(base)
+        near[int(rnd.integers(10, 50))] = "edit"
+        texts += [" ".join(base), " ".join(near)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sum(r["n_links"] for r in rows_of(jaccard.classes(df)))
+    assert tried[0] == 2 and len(tried) > 1 and found >= 0.99 * 400
+
+
 # --------------------------------------------------------------------------------------------------------------- 8 lines
 def brute_lines(texts, least):
     def key(line):
