@@ -1,14 +1,13 @@
 """Merging sources: replicas of one group (anti-affinity), the same series across groups (priority dedup), and gap filling.
 
-Replica merging and two-source gap filling are windows over one partitioning by series; only buckets of three sources or more,
-whose gaps are handed from filler to filler, run a per-bucket pandas function.
+All of it is windows over one partitioning by series. Gaps are handed from filler to filler by one pass of windows for each filler,
+over what the passes before have left open.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +30,7 @@ def _merge_two(a: DataFrame, b: DataFrame, buffer_ms: int, dynamic: bool, prefer
     both = rows.withColumn("_na", F.sum(F.when(F.col("_side") == 0, 1).otherwise(0)).over(series)).withColumn("_nb", F.sum("_side").over(series))
     both = both.withColumn("_base", F.col("_side") == F.when(F.col("_nb") > F.col("_na"), 1).otherwise(0)).withColumn("_d", F.lit(buffer_ms).cast("bigint"))
     if dynamic:
-        lag = F.lag("ts_ms").over(Window.partitionBy("lkey", "_h", "_base").orderBy("ts_ms"))
-        both = both.withColumn("_gap", F.col("ts_ms") - lag)
-        own, other = (F.array_sort(F.collect_list(F.when((F.col("_base") == side) & (F.col("_gap") > 0), F.col("_gap"))).over(series)) for side in (True, False))
-        both = both.withColumn("_own", own).withColumn("_gaps", F.when(F.size("_own") >= 3, F.col("_own")).otherwise(F.array_sort(F.concat("_own", other))))
-        both = both.withColumn("_d", F.when(F.size("_gaps") >= 3, F.floor(F.get("_gaps", F.floor(F.size("_gaps") / 2).cast("int")) / 2)).otherwise(F.col("_d"))).drop("_gap", "_own", "_gaps")
+        both = both.drop("_d").join(_half_medians(both, buffer_ms), ["lkey", "_h"])
     base_ts = F.when(F.col("_base"), F.col("ts_ms"))
     up = series.orderBy("ts_ms", F.desc("_base")).rowsBetween(Window.unboundedPreceding, 0)
     down = series.orderBy(F.desc("ts_ms"), F.desc("_base")).rowsBetween(Window.unboundedPreceding, 0)
@@ -54,6 +49,20 @@ def _merge_two(a: DataFrame, b: DataFrame, buffer_ms: int, dynamic: bool, prefer
     return both.where(F.col("_base") | fits).select(*names)
 
 
+def _upper_median(value: str) -> Column:
+    """The element in the middle, the upper of two. A group holds its distinct values only."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
+
+
+def _half_medians(both: DataFrame, buffer_ms: int) -> DataFrame:
+    """(lkey, _h, _d): half the median interval of the base where it has three intervals, else of both sides, else the buffer."""
+    lag = F.lag("ts_ms").over(Window.partitionBy("lkey", "_h", "_base").orderBy("ts_ms"))
+    gaps = both.select("lkey", "_h", "_base", (F.col("ts_ms") - lag).alias("gap")).withColumn("gap", F.when(F.col("gap") > 0, F.col("gap"))).withColumn("own", F.when(F.col("_base"), F.col("gap")))
+    found = gaps.groupBy("lkey", "_h").agg(F.count("own").alias("n_own"), F.count("gap").alias("n"), _upper_median("own").alias("own"), _upper_median("gap").alias("gap"))
+    median = F.when(F.col("n_own") >= 3, F.col("own")).when(F.col("n") >= 3, F.col("gap"))
+    return found.select("lkey", "_h", F.coalesce(F.floor(median / 2), F.lit(buffer_ms)).cast("bigint").alias("_d"))
+
+
 def merge_vectors(vectors: list[DataFrame], prefer_max: bool = False) -> DataFrame:
     """Evaluated vectors (lkey, step, value) of several replicas as one: per series and step the first value that is not zero, in
     the order given, or the largest with prefer_max."""
@@ -94,11 +103,15 @@ def dedup(groups: list[DataFrame], ignore, fill: bool = True, gap_ms: int = 0) -
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), groups)
     if len(groups) == 1:
         return every
-    ranked = priority(every, ignore)
-    rows = every.join(ranked.where("place >= 0").select("lkey", "group_ord", "rkey", "place", F.col("winner.lkey").alias("wkey")), ["lkey", "group_ord"])
+    every = every.withColumn("rkey", reduced_key(ignore))
+    order = Window.partitionBy("rkey").orderBy("group_ord", "lkey")
+    placed = every.withColumn("winner", F.first(F.struct("group_ord", "lkey")).over(order))
+    copy = (F.col("lkey") == F.col("winner.lkey")) & (F.col("group_ord") != F.col("winner.group_ord"))
+    rows = placed.where(~copy).withColumn("place", F.dense_rank().over(order) - 1).withColumn("wkey", F.col("winner.lkey")).drop("winner")
     if not fill:
         return rows.where("place = 0").drop("rkey", "place", "wkey")
-    return fill_gaps(rows, gap_ms)
+    members = priority(every, ignore).where("place >= 0").groupBy("rkey").count().agg(F.max("count")).first()[0] or 1  # reads labels only
+    return fill_gaps(rows, members, gap_ms)
 
 
 def collisions(groups: list[DataFrame], ignore) -> DataFrame:
@@ -109,81 +122,44 @@ def collisions(groups: list[DataFrame], ignore) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------------------------ gap filling
-def _median_gap(place) -> Column:
-    """Upper median of the positive intervals of a member, over its bucket."""
-    own = F.array_sort(F.collect_list(F.when((F.col("place") == place) & (F.col("_step") > 0), F.col("_step"))).over(Window.partitionBy("rkey")))
-    return F.get(own, F.floor(F.size(own) / 2).cast("int"))
-
-
-def fill_gaps(rows: DataFrame, gap_ms: int = 0) -> DataFrame:
-    """rows: samples with rkey, place (0 the base, then the fillers) and wkey. A gap is the span before the base's first sample,
-    after its last, between two at least `gap` apart (twice its median interval by default) or after a stale marker."""
+def _thresholds(rows: DataFrame) -> DataFrame:
+    """(rkey, _gap): twice the median interval of the base, else of the first filler, else 1 ms."""
+    lag = F.lag("ts_ms").over(Window.partitionBy("rkey", "place").orderBy("ts_ms"))
+    steps = rows.where("place < 2").select("rkey", "place", (F.col("ts_ms") - lag).alias("step")).where("step > 0")
+    found = steps.groupBy("rkey").agg(*(_upper_median(f"CASE WHEN place = {p} THEN step END").alias(n) for p, n in ((0, "own"), (1, "other"))))
+    return found.select("rkey", (2 * F.coalesce("own", "other")).cast("bigint").alias("_gap"))
+
+
+def fill_gaps(rows: DataFrame, members: int, gap_ms: int = 0) -> DataFrame:
+    """rows: samples with rkey, place (0 the base, then the fillers, `members` in all) and wkey.
+
+    Every sample carries the span (_low, _high) that is open for its source. Pass by pass, the samples of one place that lie in
+    their span, a quarter of the gap clear of its ends, cut it for the places that follow: the piece between two neighbours (cuts
+    or ends of the span) is a gap if it has no low or no high end, if the cut at its low end is a stale marker, or if its length is
+    the gap's at least. Samples of later places outside any gap are done with. A filler's stale marker stays only after a
+    sample of its own in the span."""
     names = [c for c in rows.columns if c not in ("rkey", "place", "wkey")]
-    bucket = Window.partitionBy("rkey")
-    rows = rows.withColumn("_members", F.max("place").over(bucket))
-    alone = rows.where("_members = 0")
-    two = _fill_from_one(rows.where("_members = 1"), gap_ms)
-    many = rows.where("_members > 1")
-    hist = [c for c in ("hist",) if c in names]
-    schema = many.select(*names, "wkey").schema
-    more = many.groupBy("rkey").applyInPandas(lambda pdf: _fill_bucket(pdf, gap_ms)[[f.name for f in schema.fields]], schema)
-    out = alone.select(*names, "wkey").unionByName(two.select(*names, "wkey")).unionByName(more.select(*names, "wkey"))
+    none = F.lit(None).cast("bigint")
+    rows = rows.withColumn("_gap", F.lit(gap_ms).cast("bigint")) if gap_ms > 0 else rows.join(_thresholds(rows), "rkey", "left").withColumn("_gap", F.coalesce("_gap", F.lit(1).cast("bigint")))
+    rows = rows.withColumns({"_low": none, "_high": none, "_keep": F.col("place") == 0})
+    t, place, gap, margin = F.col("ts_ms"), F.col("place"), F.col("_gap"), F.floor(F.col("_gap") / 4)
+    span = Window.partitionBy("rkey", "_low", "_high")
+    for level in range(members):
+        if level:
+            clear = (F.col("_low").isNull() | (t > F.col("_low") + margin)) & (F.col("_high").isNull() | (t < F.col("_high") - margin))
+            before = F.lag("stale").over(Window.partitionBy("rkey", "_low", "_high", "place").orderBy("ts_ms"))
+            rows = rows.where((place != level) | clear).withColumn("_before", before)
+            rows = rows.withColumn("_keep", F.when(place == level, ~F.col("stale") | F.coalesce(~F.col("_before"), F.lit(False))).otherwise(F.col("_keep"))).drop("_before")
+        if level + 1 < members:
+            cut = F.when(place == level, F.struct("ts_ms", "stale"))
+            below = F.last(cut, True).over(span.orderBy("ts_ms", "place").rowsBetween(Window.unboundedPreceding, 0))
+            above = F.last(cut, True).over(span.orderBy(F.desc("ts_ms"), "place").rowsBetween(Window.unboundedPreceding, 0))
+            rows = rows.withColumns({"_below": below, "_above": above})
+            low, high, later = F.coalesce("_below.ts_ms", "_low"), F.coalesce("_above.ts_ms", "_high"), place > level
+            is_gap = low.isNull() | high.isNull() | F.coalesce(F.col("_below.stale"), F.lit(False)) | (high - low >= gap)
+            rows = rows.where(~later | is_gap).withColumns({"_low": F.when(later, low).otherwise(F.col("_low")), "_high": F.when(later, high).otherwise(F.col("_high"))}).drop("_below", "_above")
     from ..sources.model import labels_of
 
     kept = F.when(F.col("lkey") == F.col("wkey"), F.col("labels")).otherwise(labels_of(F.col("wkey")))
-    return out.withColumn("labels", kept).withColumn("lkey", F.col("wkey")).select(*[c for c in names if c not in hist], *hist)
-
-
-def _fill_from_one(rows: DataFrame, gap_ms: int) -> DataFrame:
-    series = Window.partitionBy("rkey", "place").orderBy("ts_ms")
-    if gap_ms > 0:
-        rows = rows.withColumn("_gap", F.lit(gap_ms).cast("bigint"))
-    else:
-        rows = rows.withColumn("_step", F.col("ts_ms") - F.lag("ts_ms").over(series))
-        rows = rows.withColumn("_gap", F.coalesce(2 * _median_gap(0), 2 * _median_gap(1), F.lit(1)).cast("bigint"))
-    base = F.when(F.col("place") == 0, F.struct("ts_ms", "stale"))
-    up = Window.partitionBy("rkey").orderBy("ts_ms", "place").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("rkey").orderBy(F.desc("ts_ms"), "place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_low", F.last(base, True).over(up)).withColumn("_high", F.last(base, True).over(down))
-    low, high, margin = F.col("_low.ts_ms"), F.col("_high.ts_ms"), F.floor(F.col("_gap") / 4)
-    open_ = low.isNull() | high.isNull() | F.coalesce(F.col("_low.stale"), F.lit(False)) | (high - low >= F.col("_gap"))
-    clear = (low.isNull() | (F.col("ts_ms") > low + margin)) & (high.isNull() | (F.col("ts_ms") < high - margin))
-    inside = rows.where((F.col("place") == 0) | (open_ & clear))
-    before = F.lag("stale").over(Window.partitionBy("rkey", "place", F.col("_low.ts_ms"), F.col("_high.ts_ms")).orderBy("ts_ms"))
-    live = inside.withColumn("_live", ~F.coalesce(before, F.lit(True)))
-    return live.where((F.col("place") == 0) | ~F.col("stale") | F.col("_live"))
-
-
-def _upper_median(times: list[int]) -> int | None:
-    steps = sorted(b - a for a, b in zip(times, times[1:]) if b > a)
-    return steps[len(steps) // 2] if steps else None
-
-
-def _fill_bucket(pdf: pd.DataFrame, gap_ms: int) -> pd.DataFrame:
-    """The samples that stay of one bucket with several fillers. Spans still open are a stack: each is offered to the next
-    source, which keeps its samples clear of the span's ends and passes on what is a gap for it too."""
-    pdf = pdf.sort_values(["place", "ts_ms"], kind="stable").reset_index(drop=True)
-    times = [g["ts_ms"].tolist() for _, g in pdf.groupby("place", sort=True)]
-    firsts = [0]
-    for t in times[:-1]:
-        firsts.append(firsts[-1] + len(t))
-    stale = pdf["stale"].tolist()
-    gap = gap_ms or next((2 * m for t in times[:2] if (m := _upper_median(t))), 1)
-    kept: list[int] = []
-    open_spans = [(0, None, None)]
-    while open_spans:
-        level, low, high = open_spans.pop()
-        margin, edge, after_stale, live = gap // 4, low, False, False
-        for i, t in enumerate(times[level], firsts[level]):
-            if low is not None and t <= low + margin:
-                continue
-            if high is not None and t >= high - margin:
-                break
-            if level + 1 < len(times) and (after_stale or edge is None or t - edge >= gap):
-                open_spans.append((level + 1, edge, t))
-            if not stale[i] or level == 0 or live:
-                kept.append(i)
-            after_stale, live, edge = stale[i], not stale[i], t
-        if level + 1 < len(times) and (after_stale or edge is None or high is None or high - edge >= gap):
-            open_spans.append((level + 1, edge, high))
-    return pdf.iloc[sorted(kept)]
+    hist = [c for c in ("hist",) if c in names]
+    return rows.where("_keep").withColumn("labels", kept).withColumn("lkey", F.col("wkey")).select(*[c for c in names if c not in hist], *hist)
