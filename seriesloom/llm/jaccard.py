@@ -6,11 +6,12 @@ h(v, t) < picks / |set|, so two sets of similarity 0.8 take a common shingle wit
 Each run draws a root of ROOT_PICKS picks; a bucket of at most SMALL sets is a leaf, a larger one is split by SPLIT_PICKS further
 tokens, again and again up to DEPTH. A bucket whose sampled members share DENSE of their tokens on average is a leaf whatever its
 size, since no token would part it. Large buckets with the same members go on as one, which is split by as many independent nodes
-as it stands for (REPEATS at most, where all of them fail a pair with probability exp(-0.8 x 3 x 8) < 1e-8). Leaves are compared
+as it stands for (REPEATS at most, where all of them fail a pair with probability exp(-0.8 x 2 x 8) < 3e-6). Leaves are compared
 exactly: intersections of the whole shingle sets, in numpy.
 
-Recall. A pair at the threshold passes a split with probability 0.91 and all splits with 0.88 at least, so RUNS runs of ROOT_PICKS
-miss it with probability exp(-0.8 x 16 x 0.88) < 2e-5. It is measured too: the leaves say in how many runs each linked pair met,
+Recall. A pair at the threshold passes a split with probability 0.8 and any number of splits with 0.64, so RUNS runs of ROOT_PICKS
+miss it with probability exp(-0.8 x 16) < 3e-6 where its buckets are leaves and exp(-0.8 x 16 x 0.64) < 3e-4 where all are large,
+less for more similar pairs. It is measured too: the leaves say in how many runs each linked pair met,
 and from the pairs met once and twice follows how many were never met (Chao's estimate). While the recall estimated so is below
 RECALL, the join is repeated with twice the runs.
 
@@ -42,8 +43,8 @@ from .shared import Words, chunks, drop, mix, ranges_hash, read_documents, table
 SHINGLE = 5
 #: Similarity as a fraction, compared in integers.
 NUMERATOR, DENOMINATOR = 4, 5
-RUNS, ROOT_PICKS, SPLIT_PICKS, DEPTH = 4, 4, 3, 3
-SMALL = 128
+RUNS, ROOT_PICKS, SPLIT_PICKS, DEPTH = 4, 4, 2, 3
+SMALL = 1024
 #: Sets, and shingles, of a block; a cell compares two blocks, by matrix products of ROWS x COLUMNS.
 CELL, CELL_SHINGLES, ROWS, COLUMNS = 2048, 4_000_000, 512, 2048
 REPEATS = 8
@@ -90,17 +91,16 @@ def picked(values: np.ndarray, bounds: np.ndarray, node: int, picks: float) -> t
 
 
 def _sketch(runs: int):
-    """doc_id, rid, key of the set, its size, (bucket, bit of the run) of its roots, and its sample."""
+    """doc_id, rid, key of the set, its size, its roots' buckets (the run in the low bits), and its sample."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             values, bounds = shingles(Words(*text_buffer(batch.column("text"))))
             found = [picked(values, bounds, r, ROOT_PICKS) for r in range(runs)]
-            at, buckets = (np.concatenate(x) for x in zip(*found))
-            bits = np.repeat(np.int64(1) << np.arange(runs), [len(x[0]) for x in found])
+            at = np.concatenate([x[0] for x in found])
+            buckets = np.concatenate([x[1] & ~(MOST_RUNS - 1) | r for r, x in enumerate(found)])
             order = np.argsort(at, kind="stable")
-            pairs = pa.StructArray.from_arrays([pa.array(buckets[order]), pa.array(bits[order])], names=["bucket", "runs"])
-            roots = pa.ListArray.from_arrays(pa.array(np.searchsorted(at[order], np.arange(batch.num_rows + 1)), pa.int32()), pairs)
+            roots = pa.ListArray.from_arrays(pa.array(np.searchsorted(at[order], np.arange(batch.num_rows + 1)), pa.int32()), pa.array(buckets[order]))
             who, tokens = picked(values, bounds, SCREEN_NODE, SCREEN)
             marks = (tokens.view(np.uint64) >> np.uint64(32)).astype("<u4")
             edges = np.searchsorted(who, np.arange(batch.num_rows + 1)).tolist()
@@ -163,8 +163,8 @@ def _parted(members: DataFrame, sets: DataFrame, last: bool) -> tuple[DataFrame,
     if last:
         return members, members.limit(0)
     hot = members.where(F.col("m") > SMALL)
-    probe = hot.where(F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("m") / F.lit(PROBE))) == 0).select("bucket", "key")
-    samples = probe.join(sets.select("key", "screen"), "key").groupBy("bucket").agg(F.collect_list("screen").alias("screens"))  # about PROBE each
+    probe = table(hot.where(F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("m") / F.lit(PROBE))) == 0).select("bucket", "key"), "jaccard-probe")
+    samples = (F.broadcast(probe) if probe.count() <= BROADCAST_IDS else probe).join(sets.select("key", "screen"), "key").groupBy("bucket").agg(F.collect_list("screen").alias("screens"))  # about PROBE each
     dense = table(samples.mapInArrow(_mean_share, "bucket long"), "jaccard-dense")
     sent = F.broadcast(dense) if dense.count() <= BROADCAST_IDS else dense
     return members.where(F.col("m") <= SMALL).unionByName(hot.join(sent, "bucket", "left_semi")), hot.join(sent, "bucket", "left_anti")
@@ -390,16 +390,17 @@ def join(docs: DataFrame, runs: int | None = None) -> DataFrame:
 
 def _links(own: DataFrame, runs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows with their sets' keys, the distinct sets, and the linked sets with their counts and roots; all written."""
-    rows = table(own.mapInArrow(_sketch(runs), "doc_id long, rid long, key binary, size long, roots array<struct<bucket:long,runs:long>>, screen binary"), "jaccard-rows")
+    rows = table(own.mapInArrow(_sketch(runs), "doc_id long, rid long, key binary, size long, roots array<long>, screen binary"), "jaccard-rows")
     sets = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("roots").alias("roots"), F.first("screen").alias("screen"))
     sets = table(sets, "jaccard-sets")
-    roots = sets.select("key", "size", F.explode("roots").alias("root")).select("root.bucket", "key", "size", F.lit(1).alias("stands"), "root.runs")
+    roots = sets.select("key", "size", F.explode("roots").alias("bucket")).select("bucket", "key", "size", F.lit(1).alias("stands"), F.expr(f"shiftleft(1L, CAST(bucket & {MOST_RUNS - 1} AS INT))").alias("runs"))
     members = table(_shared(roots), "jaccard-members")
     parts, hot = _parted(members, sets, False)
     leaves = _screened(parts, sets)
     work = [members, leaves]
     met = leaves.select("key").unionByName(hot.select("key")).distinct()
-    reps = table(sets.join(met, "key", "left_semi").select(F.col("rep").alias("rid")).distinct(), "jaccard-ids")
+    near = table(sets.join(met, "key", "left_semi").select("key", "rep", "copies", "size", "screen"), "jaccard-near")
+    reps = near.select(F.col("rep").alias("rid"))
     held = own.join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, "rid", "left_semi").select("text").mapInArrow(_sets, "key binary, shingles binary")
     if rows.groupBy("rid").count().where("count > 1").limit(1).count():
         held = held.groupBy("key").agg(F.first("shingles").alias("shingles"))
@@ -410,13 +411,13 @@ def _links(own: DataFrame, runs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         grown = hot.groupBy("key").agg(F.collect_list(F.struct("bucket", "stands", "runs")).alias("paths")).join(held, "key")
         split = grown.select("key", "shingles", "paths").mapInArrow(_split, "bucket long, key binary, size long, stands int, runs long")
         members = table(_shared(split), "jaccard-members")
-        parts, hot = _parted(members, sets, depth == DEPTH)
-        done = _screened(parts, sets)
+        parts, hot = _parted(members, near, depth == DEPTH)
+        done = _screened(parts, near)
         work += [members, done]
         leaves = leaves.unionByName(done.select(*leaves.columns))
-    facts = held.join(sets.select("key", F.col("copies").alias("number")), "key").withColumnRenamed("shingles", "payload")
+    facts = held.join(near.select("key", F.col("copies").alias("number")), "key").withColumnRenamed("shingles", "payload")
     linked = table(_cells(leaves, facts, _close_compare, _LINKED), "jaccard-links")
-    drop(*work, reps, held)  # what follows reads rows, sets, links and labels
+    drop(*work, near, held)  # what follows reads rows, sets, links and labels
     return rows, sets, linked
 
 
