@@ -75,7 +75,8 @@ def test_templates(spark):
 
 
 def test_inconsistent_slots_are_no_hit(spark):
-    item = "give 5 apples to Anna and then 5 pears to Berta because 5 guests come for tea with them this very evening"
+    """No part of it is long enough to count as a copy word by word."""
+    item = "give 5 apples to Anna and then 5 pears to Berta because 5 guests come for tea"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     same, other = item.replace("5", "8"), item.replace("5", "8", 1).replace("5", "9", 1)
     got = {r["doc_id"] for r in rows_of(decontaminate.hits(messy(spark, [same, other]), bench))}
@@ -89,6 +90,83 @@ def test_two_benchmark_values_may_share_a_document_value(spark):
     assert {r["doc_id"] for r in rows_of(decontaminate.hits(messy(spark, texts), bench))} == {0, 1, 2}
 
 
+def test_short_and_slot_dense_items(spark):
+    """Copies of items of any length from SHORTEST on, and of items that are mostly numbers."""
+    items = [
+        "Why did nobody answer the question today?", "What is 7 times 8?", "add the list 12 45 78 33 21 and 9 then give the sum", "Add 12 kg, 5 kg and 7 kg of sand now",
+        "What is the capital of France?", "Name three rivers", "12 15 18 21 24 27 30 33 36 39 42 45 48", "Anna lives in New York and pays 900 dollars rent each month for her small flat",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"Someone asked, {x} and then left the room." for x in items] + [x.upper() for x in items] + [x.lower() for x in items]
+    got = {(r["doc_id"], r["item_id"]) for r in rows_of(decontaminate.hits(messy(spark, texts), bench))}
+    assert {(i, i % len(items)) for i in range(len(texts))} <= got
+    other = ["what is the capital of Italy?", "Bob Smith lives in Paris and pays 700 euros rent each month for her small flat", "12 15 18 21 24 27 30 33 99 39 42 45 48", "what is 9 times 4", "Name three lakes"]
+    got = {(r["doc_id"], r["item_id"]) for r in rows_of(decontaminate.hits(messy(spark, other), bench))}
+    assert got == {(0, 4), (1, 7)}
+
+
+def test_a_value_changed_in_one_place(spark):
+    """The slots contradict each other, but most windows are copied word by word."""
+    item = "a shop sells 5 red hats and 5 blue hats on monday and then the owner counts all of the hats that are left in the big wooden box near the door"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r["doc_id"] for r in rows_of(decontaminate.hits(messy(spark, [item.replace("5 blue", "9 blue")]), bench))] == [0]
+
+
+def brute_hits(texts, items):
+    """All pairs of a document's and an item's windows, in plain Python."""
+    import regex
+
+    def toks(text):
+        text = regex.sub("[\x01-\x05]", " ", text)
+        for pattern, new in ((r"(?<=\d)[.,](?=\d)", ""), (rf"(?<=\d) ?(?=(?i:{decontaminate.UNITS})\b)", " \x03"), (r"(?<![\p{L}\p{N}\x03])\p{Lu}\p{Ll}\p{L}*", "\x02\\g<0>\x05"), ("\x05 \x02", "\x04"), (r"(?<![\p{L}\p{N}])(?=\d)", "\x01")):
+            text = regex.sub(pattern, new, text)
+        return regex.sub("[^\\p{L}\\p{N}\x01-\x04]+", " ", text).strip(" ").lower().split(" ")
+
+    def alike(a, b):
+        typed = [x[:1] if x[:1] <= "\x03" else x for x in a] == [x[:1] if x[:1] <= "\x03" else x for x in b]
+        return a == b or typed and sum(x[:1] > "\x03" for x in a) >= 4
+
+    out = set()
+    for d, text in enumerate(texts):
+        own = toks(text)
+        for i, item in enumerate(items):
+            for form in {item, item[:1].lower() + item[1:], item.lower()}:
+                want = toks(form)
+                n = min(8, len(want))
+                diagonals = collections.defaultdict(list)
+                for p in range(len(own) - n + 1) if n >= 3 else ():
+                    for q in range(len(want) - n + 1):
+                        if alike(want[q : q + n], own[p : p + n]):
+                            diagonals[p - q].append((want[q : q + n], own[p : p + n]))
+                need = min(5, len(want) - n + 1)
+                for found in diagonals.values():
+                    slots = {(a, b) for x, y in found for a, b in zip(x, y) if a[:1] <= "\x03"}
+                    if len(found) >= need and (len(slots) == len({a for a, _ in slots}) or sum(x == y for x, y in found) >= need):
+                        out.add((d, i))
+    return out
+
+
+def test_hits_against_all_pairs_of_windows(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    pool = ["the", "box", "of", "red", "hats", "is", "sold", "for", "and", "then", "Anna", "Bob", "New", "York", "Paris", "3", "17", "2.5", "40", "km", "hours", "dollars", "near", "old"]
+    pick = lambda n: " ".join(rnd.choice(pool, n))
+    items = [pick(int(n)) for n in rnd.integers(2, 24, 25)]
+    texts = []
+    for _ in range(60):
+        item = items[int(rnd.integers(len(items)))].split()
+        for _ in range(int(rnd.integers(0, 3))):
+            item[int(rnd.integers(len(item)))] = str(rnd.choice(pool))
+        texts.append(f"{pick(6)} {' '.join(item)}{rnd.choice(['', ',', '.'])} {pick(5)}")
+    df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = brute_hits(texts, items)
+    assert len(want) > 25
+    for bound in (10**6, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound)
+        assert {(r["doc_id"], r["item_id"]) for r in rows_of(decontaminate.hits(df, bench))} == want
+        assert {r["doc_id"] for r in rows_of(decontaminate.clean(df, bench))} == set(range(60)) - {d for d, _ in want}
+
+
 # -------------------------------------------------------------------------------------------------------------- 4 tokens
 def test_tokens(spark, tmp_path):
     from tokenizers import Tokenizer
