@@ -12,7 +12,7 @@ lines that pass the filters, or all if those are too large too, are joined with
 
 Defined cases: a null or empty text is one empty line; an empty key is never dropped; a document whose lines all go keeps the
 empty text; repeated rows are documents of their own (each counts); null doc_ids are ordinary; an empty table gives no rows;
-other columns stay untouched in `apply`.
+other columns stay untouched in `apply`, and where one has an output's name, the output has "_" appended.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_BYTES, LOWER, chunks, new_path, read_documents, remove, table
+from .shared import CHUNK_BYTES, LOWER, chunks, free_names, new_path, read_documents, remove, table
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -193,9 +193,9 @@ class LineIndex:
             def go(batches):
                 probe = Probe(filters.value)
                 for batch in chunks(batches, limit=CHUNK_BYTES):
-                    yield _dropped(batch, names, [{i for i, k in enumerate(line_keys(t or "")) if k and k in probe and k in exact.value} for t in batch.column("text").to_pylist()], out[1])
+                    yield _dropped(batch, out.fieldNames(), [{i for i, k in enumerate(line_keys(t or "")) if k and k in probe and k in exact.value} for t in batch.column("text").to_pylist()])
 
-            return docs.mapInArrow(go, out[0])
+            return docs.mapInArrow(go, out)
         state = self.filters.agg(F.sum(F.length("state"))).first()[0] or 0
         filters = self.spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in self.filters.toLocalIterator()}) if state <= FILTER_BROADCAST_BYTES else None
         own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.expr("uuid()").alias("rid"))
@@ -212,9 +212,9 @@ class LineIndex:
         def go_joined(batches):
             for batch in batches:
                 rows = pa.RecordBatch.from_struct_array(batch.column("row"))
-                yield _dropped(rows, names, [set(x or ()) for x in batch.column("gone").to_pylist()], out[1])
+                yield _dropped(rows, out.fieldNames(), [set(x or ()) for x in batch.column("gone").to_pylist()])
 
-        return own.join(gone, "rid", "left").select("row", "gone").mapInArrow(go_joined, out[0])
+        return own.join(gone, "rid", "left").select("row", "gone").mapInArrow(go_joined, out)
 
 
 class Probe:
@@ -237,22 +237,24 @@ class Probe:
         return mark in cells[b * 4 : b * 4 + 4]
 
 
-def _schema(docs: DataFrame) -> tuple[str, None]:
-    from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+_OUTPUTS = ("n_lines", "n_dropped", "kept")
 
-    taken = StructType([f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped", "kept")])
-    return StructType([*taken.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept", StringType())]), [f.name for f in taken.fields]
 
+def _schema(docs: DataFrame):
+    """The input's columns and the outputs."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-def _dropped(batch: pa.RecordBatch, names: list[str], gone: list[set[int]], keep: list[str]) -> pa.RecordBatch:
+    return StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(free_names(docs.columns, _OUTPUTS), (LongType(), LongType(), StringType())))])
+
+
+def _dropped(batch: pa.RecordBatch, out: list[str], gone: list[set[int]]) -> pa.RecordBatch:
     kept, n_lines, n_dropped = [], [], []
-    for text, out in zip(batch.column("text").to_pylist(), gone):
+    for text, lost in zip(batch.column("text").to_pylist(), gone):
         text = text or ""
         n_lines.append(text.count("\n") + 1)
-        n_dropped.append(len(out))
-        kept.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in out) if out else text)
-    by = dict(zip(names, batch.columns))
-    return pa.RecordBatch.from_arrays([*(by[k] for k in keep), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=[*keep, "n_lines", "n_dropped", "kept"])
+        n_dropped.append(len(lost))
+        kept.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in lost) if lost else text)
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=out)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

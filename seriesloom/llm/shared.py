@@ -90,6 +90,16 @@ def read_documents(spark: SparkSession, sf_dir: str, name: str = "documents") ->
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(columns: list[str], wanted: tuple[str, ...]) -> list[str]:
+    """The wanted names, each with as many "_" appended as it takes to differ from every input column."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
@@ -125,7 +135,8 @@ def ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     """Hash of values[s:e] for each pair; equal sequences get equal hashes wherever they stand."""
     n = len(values)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(n), out=total[1:])
+    np.multiply(values, powers(n), out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
     return mix((total[ends] - total[starts]) * powers(n + 1, True)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 

@@ -1,25 +1,27 @@
-"""Operator 1: substring dedup over prefix-partitioned suffix subtrees.
-
-A suffix matters only down to LENGTH words: it goes if another suffix of the corpus shares that much of its path. The tree of
-all suffixes is cut into subtrees by prefixes of variable length, chosen by content so that equal suffixes choose alike: the
-prefix of a suffix reaches to the end of the smallest SEED-word hash among its first LENGTH words, so it has SEED to LENGTH
-words. Consecutive suffixes with one smallest seed travel together, as one row with the fingerprints of their LENGTH-word
-paths, to their subtree's task.
-
-1. Census: the seeds of all rows are counted, with partial counts. A prefix that occurs once has no branching below it.
-2. The rows under repeated seeds are dealt to tasks by seed. A seed with more than GROUP rows is too large for one subtree: its
-   prefixes are lengthened to the whole path and dealt by that. A path met twice within a chunk is a deep node already; the
-   chunk resolves its own leaves and sends the node on once, so a passage in a third of all documents is a few rows per task.
-3. A task sorts the paths of its subtrees; a path of LENGTH words with two leaves or more is a deep internal node, and every
-   leaf under it is a repeated window. Neighbouring windows of a document merge into its maximal repeated spans.
-4. Spans meet their document again by the hash of its row.
+"""Operator 1: substring dedup over prefix-partitioned suffix trees.
+
+Suffixes begin at every word that LENGTH words follow. The tree of all suffixes of the corpus is cut into subtrees by prefixes of
+variable length, chosen by content so that equal suffixes choose alike: the prefix of a suffix reaches to the end of the smallest
+SEED-word hash among its first LENGTH words, so it has SEED to LENGTH words. Consecutive suffixes with one smallest seed travel
+together, as one row with the fingerprints of their LENGTH-word paths; a suffix is read on from there fingerprint by fingerprint, a
+word each.
+
+1. Census: rows and suffixes of each seed are counted, with partial counts. A prefix that occurs once has no branching below it.
+2. The rows under repeated seeds are dealt to tasks by seed. A seed with more than GROUP suffixes would not fit the memory set aside
+   for a subtree: its prefixes are lengthened to the whole path and dealt by that. A path met twice within a chunk is a deep node
+   already; the chunk resolves its own leaves and sends the node on once, so a passage in a third of all documents is a few rows
+   per task.
+3. A task sorts the suffixes of its subtrees (prefix doubling) and reads off the longest common prefixes of neighbours, which are
+   the depths of the internal nodes. The deepest node above a suffix, if it is LENGTH words deep, gives a repeat that starts there;
+   one inside the repeat of the suffix before is left out. Overlapping repeats of a document merge into its maximal ones.
+4. Repeats meet their document again by the hash of its row; they are sent to the documents while there are at most BROADCAST_SPANS.
 
 The census goes to the tasks as a sorted array while it has at most BROADCAST_SEEDS repeated seeds; beyond that each document
 gets the repeated seeds of its own rows by a join. Paths are 64-bit fingerprints compared within equal 64-bit seeds.
 
 Defined cases: null or empty texts have no words; a document shorter than LENGTH words keeps all; repeated rows repeat each
 other; a document may repeat itself, overlapping copies included; null doc_ids are ordinary; other columns stay untouched in
-`clean`.
+`clean`, and where one has an output's name, the output has "_" appended.
 """
 
 from __future__ import annotations
@@ -32,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, chunks, drop, mix, ranges_hash, read_documents, table, text_buffer
+from .shared import Words, chunks, drop, free_names, mix, ranges_hash, read_documents, table, text_buffer, trim
 
 LENGTH = 35
 SEED = 16
-GROUP = 1000
+#: Suffixes of a subtree, of about 100 bytes each while it is sorted, and suffixes that a task sorts at once.
+GROUP, FLUSH = 50_000, 400_000
 BROADCAST_SEEDS = 4_000_000
-FLUSH_WINDOWS = 1_000_000
+BROADCAST_SPANS = 2_000_000
+CHUNK = 1 << 20
 
 
 def _smaller(a, ca, b, cb):
@@ -83,13 +87,13 @@ def prefixes(words: Words) -> tuple[np.ndarray, ...]:
 
 
 def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        _, _, seeds, twice, _ = prefixes(Words(*text_buffer(batch.column("text"))))
-        yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(np.where(twice, 2, 1), pa.int64())], names=["seed", "n"])
+    for batch in chunks(batches, limit=CHUNK):
+        _, many, seeds, twice, _ = prefixes(Words(*text_buffer(batch.column("text"))))
+        yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(np.where(twice, 2, 1), pa.int64()), pa.array(many, pa.int64())], names=["seed", "n", "suffixes"])
 
 
 def _seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=CHUNK):
         words = Words(*text_buffer(batch.column("text")))
         first, _, seeds, _, _ = prefixes(words)
         yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), batch.column("rid").take(pa.array(words.doc[first]))], names=["seed", "rid"])
@@ -109,7 +113,7 @@ def _suffixes(shared):
     of words that is decided."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK):
             words = Words(*text_buffer(batch.column("text")))
             first, many, seeds, _, hashes = prefixes(words)
             if shared is not None:
@@ -155,65 +159,93 @@ def _suffixes(shared):
     return go
 
 
+def depths(paths: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Of each suffix paths[i : i + left[i]] the length of its longest common prefix with another one: the depth, in
+    fingerprints, of the deepest internal node above it. Suffixes are ranked by their first 1, 2, 4, ... elements."""
+    n = len(paths)
+    here = np.arange(n)
+    _, rank = np.unique(paths, return_inverse=True)
+    ranks, width = [rank], 1
+    while width < left.max() and ranks[-1].max() + 1 < n:
+        rank = ranks[-1]
+        follow = np.where(left > width, rank[np.minimum(here + width, n - 1)] + 1, 0)
+        ranks.append(np.unique(rank * (n + 1) + follow, return_inverse=True)[1])
+        width *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    common = np.zeros(n + 1, np.int64)  # of neighbours in suffix order, with none before the first and after the last
+    for k, rank in reversed(list(enumerate(ranks))):
+        a, b = order[:-1] + common[1:-1], order[1:] + common[1:-1]
+        fits = (common[1:-1] + (1 << k) <= left[order[:-1]]) & (common[1:-1] + (1 << k) <= left[order[1:]])
+        fits &= rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]
+        common[1:-1] += fits * (1 << k)
+    out = np.zeros(n, np.int64)
+    out[order] = np.maximum(common[:-1], common[1:])
+    return out
+
+
+_SPANS = pa.schema([("rid", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+
+
+def _repeats(rows: pa.Table) -> pa.RecordBatch:
+    """The repeats in whole subtrees: (rid, a, b), words [a, b) of a row."""
+    rows = rows.combine_chunks()
+    part, at = (np.asarray(rows.column(c)) for c in ("part", "at"))
+    node = np.asarray(rows.column("rid").is_null())
+    rid = np.asarray(rows.column("rid").fill_null(0))
+    data = rows.column("paths").combine_chunks() if isinstance(rows.column("paths"), pa.ChunkedArray) else rows.column("paths")
+    bounds = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    paths = np.frombuffer(data.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.uint64)
+    many = np.diff(bounds) // 8
+    owner = np.repeat(np.arange(len(many)), many)
+    ends = np.cumsum(many)
+    step = np.arange(len(paths)) - (ends - many)[owner]
+    depth = depths(paths ^ mix(part.view(np.uint64))[owner], ends[owner] - np.arange(len(paths)))
+    inside = np.zeros(len(paths), bool)  # of the repeat of the suffix before
+    inside[1:] = (owner[1:] == owner[:-1]) & (depth[:-1] > depth[1:])
+    deep = np.flatnonzero((depth > 0) & ~node[owner] & ~inside)
+    a = at[owner[deep]] + step[deep]
+    return pa.RecordBatch.from_arrays([pa.array(rid[owner[deep]]), pa.array(a.astype(np.int32)), pa.array((a + depth[deep] + LENGTH - 1).astype(np.int32))], schema=_SPANS)
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by part to (rid, a, b): spans of repeated words. A flush holds whole parts."""
     held: list[pa.RecordBatch] = []
-    schema = pa.schema([("rid", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
-
-    def spans(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
-        part, at = (np.asarray(rows.column(c)) for c in ("part", "at"))
-        rid = rows.column("rid")
-        node = np.asarray(rid.is_null())
-        rid = np.asarray(rid.fill_null(0))
-        data = rows.column("paths").to_pylist()
-        many = np.array([len(p) // 8 for p in data], np.int64)
-        paths = np.frombuffer(b"".join(data), np.uint64)
-        owner = np.repeat(np.arange(len(many)), many)
-        order = np.arange(len(paths)) - np.repeat(np.cumsum(many) - many, many)
-        _, inverse = np.unique(paths ^ mix(part.view(np.uint64))[owner], return_inverse=True)
-        leaves = np.bincount(inverse, np.where(node, 2, 1)[owner])
-        deep = np.flatnonzero((leaves[inverse] > 1) & ~node[owner])
-        if not len(deep):
-            return pa.RecordBatch.from_pylist([], schema=schema)
-        edge = np.concatenate([[True], (owner[deep][1:] != owner[deep][:-1]) | (order[deep][1:] != order[deep][:-1] + 1)])
-        a, b = deep[edge], deep[np.append(np.flatnonzero(edge)[1:], len(deep)) - 1]
-        return pa.RecordBatch.from_arrays([pa.array(rid[owner[a]]), pa.array((at[owner[a]] + order[a]).astype(np.int32)), pa.array((at[owner[b]] + order[b] + LENGTH).astype(np.int32))], schema=schema)
-
     size = 0
     for batch in batches:
         decided = batch.filter(batch.column("paths").is_null())
         if decided.num_rows:
-            yield pa.RecordBatch.from_arrays([decided.column("rid"), decided.column("at"), decided.column("upto")], schema=schema)
+            yield pa.RecordBatch.from_arrays([decided.column("rid"), decided.column("at"), decided.column("upto")], schema=_SPANS)
         batch = batch.filter(batch.column("paths").is_valid())
         if not batch.num_rows:
             continue
         held.append(batch)
         size += batch.column("paths").nbytes // 8
-        if size > FLUSH_WINDOWS:
+        if size > FLUSH:
             rows = pa.Table.from_batches(held)
             part = np.asarray(rows.column("part"))
             cut = int(np.searchsorted(part, part[-1]))  # the last part may go on
             if cut:
-                yield spans(rows.slice(0, cut))
-                held = rows.slice(cut).to_batches()
+                yield _repeats(rows.slice(0, cut))
+                held = rows.slice(cut).combine_chunks().to_batches()
                 size = sum(b.column("paths").nbytes // 8 for b in held)
+            del rows
+            trim()
     if held:
-        yield spans(pa.Table.from_batches(held))
+        yield _repeats(pa.Table.from_batches(held))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(rid, spans): for each document with any, by the hash of its row, the spans [a, b) of words that occur elsewhere too."""
     spark = docs.sparkSession
     own = docs.select("text", F.xxhash64("doc_id", "text").alias("rid"))
-    census = table(own.select("text").mapInArrow(_census, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1"), "substring-census")
+    census = table(own.select("text").mapInArrow(_census, "seed long, n long, suffixes long").groupBy("seed").agg(F.sum("n").alias("n"), F.sum("suffixes").alias("suffixes")).where("n > 1"), "substring-census")
     if census.count() <= BROADCAST_SEEDS:
-        found = census.withColumn("hot", F.col("n") > GROUP).select("seed", "hot").toArrow().to_pandas()  # Arrow batches: 9 bytes a seed
+        found = census.withColumn("hot", F.col("suffixes") > GROUP).select("seed", "hot").toArrow().to_pandas()  # Arrow batches: 9 bytes a seed
         keys = [np.sort(found["seed"].to_numpy(np.int64)[mine].view(np.uint64)) for mine in (np.ones(len(found), bool), found["hot"].to_numpy(bool))]
         drop(census)
         rows = own.mapInArrow(_suffixes(spark.sparkContext.broadcast(tuple(keys))), "part long, rid long, at int, upto int, paths binary")
     else:
-        mine = own.mapInArrow(_seeds_of, "seed long, rid long").join(census, "seed").groupBy("rid").agg(F.collect_set("seed").alias("seeds"), F.collect_set(F.when(F.col("n") > GROUP, F.col("seed"))).alias("hot"))
+        mine = own.mapInArrow(_seeds_of, "seed long, rid long").join(census, "seed").groupBy("rid").agg(F.collect_set("seed").alias("seeds"), F.collect_set(F.when(F.col("suffixes") > GROUP, F.col("seed"))).alias("hot"))
         rows = own.join(mine, "rid").select("text", "rid", "seeds", "hot").mapInArrow(_suffixes(None), "part long, rid long, at int, upto int, paths binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_subtrees, "rid long, a int, b int")
@@ -234,12 +266,11 @@ def clean(docs: DataFrame) -> DataFrame:
     """docs with n_words, n_removed and kept (the words that stay, joined by one space); the other columns as they were."""
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"), F.xxhash64("doc_id", "text").alias("rid"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"), F.xxhash64("doc_id", "text").alias("rid"))
     out = StructType([StructField("row", own.schema["row"].dataType), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK):
             kept, counts, gone = [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 words = (text or "").encode().split()
@@ -249,8 +280,11 @@ def clean(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(words if out is None else compress(words, (~out).tolist())).decode())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "kept"])
 
-    met = own.join(repeated_spans(docs), "rid", "left").select("row", "text", "spans")
-    return met.mapInArrow(go, out).select("row.*", "n_words", "n_removed", "kept")
+    spans = table(repeated_spans(docs), "substring-spans")
+    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS
+    met = own.join(F.broadcast(spans) if few else spans, "rid", "left").select("row", "text", "spans")
+    wanted = ("n_words", "n_removed", "kept")
+    return met.mapInArrow(go, out).select("row.*", *[F.col(c).alias(n) for c, n in zip(wanted, free_names(docs.columns, wanted))])
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

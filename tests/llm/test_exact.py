@@ -28,9 +28,11 @@ def brute_removed(texts):
 PERIODIC = ["a " * 36, "a " * 35, "b c " * 40, "x y z " * 30 + " ".join(f"q{i}" for i in range(50))]
 
 
-@pytest.mark.parametrize("group,seeds", [(1000, 10**6), (1, 10**6), (1000, 0), (1, 0)])
+@pytest.mark.parametrize("group,seeds", [(50_000, 10**6), (1, 10**6), (50_000, 0), (1, 0)])
 def test_substrings(spark, monkeypatch, group, seeds):
     """Normal, with every seed large, and with the census too large to send."""
+    monkeypatch.setattr(substring, "BROADCAST_SPANS", seeds)
+    monkeypatch.setattr(substring, "FLUSH", 500 if group > 1 else 400_000)
     monkeypatch.setattr(substring, "GROUP", group)
     monkeypatch.setattr(substring, "BROADCAST_SEEDS", seeds)
     df = messy(spark, corpus() + PERIODIC)
@@ -41,6 +43,28 @@ def test_substrings(spark, monkeypatch, group, seeds):
     assert substring.clean(empty(spark)).count() == 0
 
 
+def test_depths():
+    """Longest common prefixes against all pairs, within rows that end at different places."""
+    rnd = np.random.default_rng(2)
+    for size in (1, 2, 30, 200):
+        paths = rnd.integers(0, 3, size).astype(np.uint64)
+        cuts = np.append(np.sort(rnd.choice(np.arange(1, size), min(size // 5, size - 1), replace=False)), size) if size > 1 else np.array([1])
+        left = np.concatenate([np.arange(b - a, 0, -1) for a, b in zip(np.append(0, cuts[:-1]), cuts)])
+        rows = [tuple(paths[i : i + left[i]]) for i in range(size)]
+        common = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+        want = [max((common(rows[i], rows[j]) for j in range(size) if j != i), default=0) for i in range(size)]
+        assert substring.depths(paths, left).tolist() == want
+
+
+def test_input_columns_named_like_outputs_stay(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text, "x", 7), (2, text, "y", 8)], "doc_id long, text string, kept string, n_lines int")
+    got = {r["doc_id"]: r for r in rows_of(substring.clean(df))}
+    assert (got[1]["kept"], got[1]["kept_"], got[2]["n_lines"], got[2]["n_removed"]) == ("x", "", 8, 40)
+    got = {r["doc_id"]: r for r in rows_of(linededup.LineIndex(spark, 2).insert(df).apply(df))}
+    assert (got[1]["kept"], got[1]["kept_"], got[2]["n_lines"], got[2]["n_lines_"]) == ("x", "", 8, 1)
+
+
 def test_periodic_texts(spark):
     """Periods about the number of seeds in a window; each text repeats only itself."""
     texts = [" ".join(f"p{n}r{r}w{i % n}" for i in range(r)) for n in (19, 20, 21) for r in (n + 34, n + 35, 3 * n, 5 * n)]
