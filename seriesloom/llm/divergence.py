@@ -1,16 +1,18 @@
 """Operator 2: quality rules by distribution divergence.
 
-References are counted over all documents that name a language: per language a histogram of character classes and the TOP
-most common words (lower case) with the rest as one more cell. A document is compared with every reference by the
+References are counted over all documents that name a language, for every language with MIN_REFERENCE words (a histogram of fewer
+words says nothing): per language a histogram of character classes and the TOP most common words (lower case) with the rest as one
+more cell. A document is compared with every reference by the
 Jensen-Shannon distance (base 2) of both histograms and fails if, even against its nearest language, one of them is over its
 limit. The squared limit is a base squared plus the divergence that sampling alone gives a text of that length, cells / (8 n ln
 2); texts under the guards' length are not judged by that histogram at all.
 
-Word counts are exact: tasks send each distinct (language, word hash) once with its count and Spark sums them. What is sent to
-the tasks is bounded by MAX_LANGS x (TOP + classes).
+Word counts are exact: tasks send each distinct (language, word hash) once with its count and Spark sums them. The references,
+under 500 bytes a language, are fetched and sent to the tasks after their number is checked; more than MOST_SENT (32 MB), which no
+set of human languages reaches, are refused with an error, not cut.
 
 Defined cases: a null or empty text has no words and fails the base rule (fewer than MIN_WORDS words); documents without a
-language take no part in the references and are judged like others; without any reference only the base rules decide; repeated
+language, or of one too small for a reference, are judged like others; without any reference only the base rules decide; repeated
 rows are judged alike; other columns are ignored.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import LOWER, Words, chunks, ranges_hash, read_documents, text_buffer
 
 TOP = 40
-MAX_LANGS = 64
+MIN_REFERENCE, MOST_SENT = 100, 65_536
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 #: Guards and base limits of the two histograms.
@@ -42,7 +44,7 @@ _CLASS[ord("0") : ord("9") + 1] = 2
 _CLASS[[0x20, *range(9, 14)]] = 3
 _CLASS[list(b".,;:?'\"()-")] = 4
 _CLASS[list(SYMBOLS)] = 5
-_CLASS[ord("!")] = 8
+_CLASS[ord("!")] = 8  # on its own: prose has few, so their share tells shouting from sentences, which other marks would drown
 _CLASS[0xC0:] = 6
 _CLASS[0x80:0xC0] = 255  # continuation
 _SYMBOL = np.zeros(256, bool)
@@ -129,21 +131,20 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
 
     sent = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     counted = sent.mapInArrow(count, "lang string, kind string, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))).where(F.col("place") <= TOP).drop("place")
-    totals = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")).orderBy(F.desc("words"), "lang").limit(MAX_LANGS)
-    words_in = {r["lang"]: r["words"] or 0 for r in totals.collect()}
-    found: dict[str, tuple[list, list]] = {}
-    for r in ranked.collect():
-        found.setdefault(r["lang"], ([], []))[r["kind"] == "word"].append((r["key"], r["n"]))
+    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))).where(F.col("place") <= TOP)
+    totals = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")).where(F.col("words") >= MIN_REFERENCE)
+    rows = ranked.join(totals, "lang").groupBy("lang", "words").agg(*(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n"))).alias(kind) for kind in ("class", "word")))  # TOP and CLASSES at most
+    found = rows.limit(MOST_SENT + 1).collect()
+    if len(found) > MOST_SENT:
+        raise ValueError(f"more than {MOST_SENT} languages have references; lang holds something else")
     out = {}
-    for lang, (classes, common) in sorted(found.items()):
-        if words_in.get(lang) and classes:
-            shares = np.zeros(CLASSES)
-            shares[[k for k, _ in classes]] = [n for _, n in classes]
-            keys = np.array([k for k, _ in common], np.int64).view(np.uint64)
-            order = np.argsort(keys)
-            cells = np.array([n for _, n in common], float)[order] / words_in[lang]
-            out[lang] = shares / shares.sum(), keys[order], np.append(cells, max(0.0, 1 - cells.sum()))
+    for r in sorted(found, key=lambda r: r["lang"]):
+        shares = np.zeros(CLASSES)
+        shares[[x["key"] for x in r["class"]]] = [x["n"] for x in r["class"]]
+        keys = np.array([x["key"] for x in r["word"]], np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        cells = np.array([x["n"] for x in r["word"]], float)[order] / r["words"]
+        out[r["lang"]] = shares / shares.sum(), keys[order], np.append(cells, max(0.0, 1 - cells.sum()))
     return out
 
 
@@ -178,7 +179,7 @@ def distances(words: Words, refs: dict) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def judge(docs: DataFrame, refs: dict) -> DataFrame:
     """doc_id, base columns, base_failed, class_distance, word_distance (null where guarded), kept."""
-    limits = (CLASS_LIMIT, COMMON_LIMIT)
+    limits, sent = (CLASS_LIMIT, COMMON_LIMIT), docs.sparkSession.sparkContext.broadcast(refs)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -186,7 +187,7 @@ def judge(docs: DataFrame, refs: dict) -> DataFrame:
             out = base(words, batch.column("text").to_pylist())
             n = out["n_words"]
             failed = (n < MIN_WORDS) | (100 * out["n_repeat_words"] > REPEAT_PERCENT * n)
-            a, b, n_chars = distances(words, refs)
+            a, b, n_chars = distances(words, sent.value)
             with np.errstate(divide="ignore"):
                 over_a = a**2 > limits[0] ** 2 + CLASSES / (8 * np.log(2) * np.maximum(n_chars, 1))
                 over_b = b**2 > limits[1] ** 2 + (TOP + 1) / (8 * np.log(2) * np.maximum(n, 1))

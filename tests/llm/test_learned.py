@@ -60,6 +60,68 @@ def test_divergent_texts_go(spark):
     assert kept == set(range(60))
 
 
+def brute_verdicts(rows):
+    """kept by the rule in plain Python, from texts and languages."""
+    lower = lambda w: w.translate({c: c + 32 for c in range(65, 91)})
+
+    def kind(c):
+        for k, chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\v\f\r", ".,;:?'\"()-", "#*$%&|<>")):
+            if c in chars:
+                return k
+        return 6 if ord(c) > 127 else 8 if c == "!" else 7
+
+    def js(p, q):
+        part = lambda x, y: sum(a * math.log2(2 * a / (a + b)) for a, b in zip(x, y) if a)
+        return math.sqrt(max(0.0, (part(p, q) + part(q, p)) / 2))
+
+    classes, common, total = (collections.defaultdict(collections.Counter) for _ in range(3))
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            classes[lang].update(map(kind, text))
+            common[lang].update(map(lower, WORD.findall(text)))
+    refs = []
+    for lang in classes:
+        n = sum(common[lang].values())
+        if n >= 100:
+            ranked = sorted(common[lang].items(), key=lambda x: (-x[1], divergence_key(x[0])))[:40]
+            refs.append(([classes[lang][k] / sum(classes[lang].values()) for k in range(9)], [w for w, _ in ranked], [c / n for _, c in ranked] + [1 - sum(c for _, c in ranked) / n]))
+    out = []
+    for text, _ in rows:
+        text = text or ""
+        w, per = list(map(lower, WORD.findall(text))), collections.Counter(map(kind, text))
+        n, chars = len(w), len(text)
+        best = (math.inf, 0, 0)
+        for shares, names, cells in refs:
+            mine = [w.count(x) / max(n, 1) for x in names]
+            a, b = js([per[k] / max(chars, 1) for k in range(9)], shares), js([*mine, (n > 0) * 1 - sum(mine)], cells)
+            best = min(best, (a + b, a, b))
+        over = refs and (chars >= 150 and best[1] ** 2 > 0.22**2 + 9 / (8 * math.log(2) * chars) or n >= 50 and best[2] ** 2 > 0.25**2 + 41 / (8 * math.log(2) * n))
+        out.append(not brute_base(text)[-1] and not over)
+    return out
+
+
+def divergence_key(word):
+    w = shared.Words(*shared.text_buffer(__import__("pyarrow").array([word])))
+    return int(w.hashes(shared.LOWER).view(np.int64)[0])
+
+
+def test_verdicts_against_plain_python(spark):
+    rnd = random.Random(12)
+    frequent = {lang: [f"{lang}{i}" for i in range(60)] for lang in ("en", "de", "xx")}
+    rows = []
+    for i in range(150):
+        lang = rnd.choice(["en", "en", "de", None])
+        text = " ".join(rnd.choice(frequent[lang or "en"]) if rnd.random() < 0.6 else x for x in words(rnd, rnd.choice([5, 30, 60, 200]), 3000))
+        kind = rnd.random()
+        text = text.upper() if kind < 0.1 else "".join(c + rnd.choice(["", "", "#", "!"]) for c in text) if kind < 0.2 else f"{text}. Été, naïve!\n{text[:40]}" if kind < 0.5 else text
+        rows.append((text, lang))
+    rows += [("xx1 xx2 xx3", "xx"), (None, "en"), ("", None), (" ".join(rnd.choice(frequent["xx"]) for _ in range(80)), "xx")]
+    df = spark.createDataFrame([(i, t, lang, "s", 0) for i, (t, lang) in enumerate(rows)], SCHEMA)
+    got = {r["doc_id"]: r["kept"] for r in rows_of(divergence.judge(df, divergence.references(df)))}
+    want = brute_verdicts(rows)
+    assert [got[i] for i in range(len(rows))] == want and 20 < sum(want) < len(rows) - 20
+
+
 def test_js_distance():
     p = np.array([[0.5, 0.5, 0.0], [1.0, 0.0, 0.0]])
     assert np.allclose(divergence.js_distance(p, np.array([0.5, 0.5, 0.0])), [0, math.sqrt(0.5 * (math.log2(1 / 0.75) + 0.5 * math.log2(0.5 / 0.75) + 0.5 * math.log2(0.5 / 0.25)))])
