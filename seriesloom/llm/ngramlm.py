@@ -22,9 +22,6 @@ columns are ignored. Hashes are 64 bits: two of n distinct bigrams share one wit
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, chunks, crc_mod, drop, mix, new_path, read_documents, table, words_of
+from .shared import LOWER, chunks, crc_mod, drop, load, mix, new_path, read_documents, save, table, words_of
 
 END, BEGIN = np.uint64(0xE4D0000000000001), np.uint64(0xBE61000000000001)
 HELD = 1_500_000
@@ -40,47 +37,6 @@ SCORE_CHUNK = 8 << 20
 _U32, _U64 = np.dtype("<u4"), np.dtype("<u8")
 
 
-# ------------------------------------------------------------------------------------------------------- storage
-def save(uri: str, *arrays: np.ndarray) -> None:
-    """Header (number of arrays, then item size and length of each) and the arrays; a retry replaces the file whole."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], _U64)
-    if uri.startswith(("file:", "/")):
-        path = uri.removeprefix("file://").removeprefix("file:")
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(own := f"{path}.{uuid.uuid4().hex}", "wb") as f:
-            for a in (head, *arrays):
-                a.tofile(f)
-        os.replace(own, path)
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    with store.open_output_stream(path) as f:
-        for a in (head, *arrays):
-            f.write(a.tobytes())
-
-
-def load(uri: str) -> list[np.ndarray]:
-    if uri.startswith(("file:", "/")):
-        raw = np.memmap(uri.removeprefix("file://").removeprefix("file:"), np.uint8, "r")
-    else:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(uri)
-        with tempfile.TemporaryFile() as own:
-            with store.open_input_stream(path) as f:
-                while part := f.read(1 << 24):
-                    own.write(part)
-            own.flush()
-            raw = np.memmap(own, np.uint8, "r")
-    n = int(raw[:8].view(_U64)[0])
-    facts, at, out = raw[8 : 8 + 16 * n].view(_U64), 8 + 16 * n, []
-    for size, length in zip(facts[::2].tolist(), facts[1::2].tolist()):
-        out.append(raw[at : at + size * length].view(_U32 if size == 4 else _U64))
-        at += size * length
-    return out
-
-
 # ------------------------------------------------------------------------------------------------------ counting
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)

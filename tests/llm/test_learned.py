@@ -258,15 +258,72 @@ def test_backoff():
     model = langid.Model(["x", "y"], {})
     grams = {"w": ["hello"], 4: ["abcd", " abc"], 3: ["xyz"], 2: ["q "], 1: ["z"]}
     for kind, gs in grams.items():
-        h = langid.gram_hashes(gs)
-        order = np.argsort(h)
-        model.tables[kind] = h[order], np.array([[-1.0, -2.0], [-3.0, -4.0]][: len(gs)], np.float32)
+        h = np.sort(langid.gram_hashes(gs))
+        k = len(gs)
+        model.tables[kind] = langid.Table(h, np.arange(k + 1) * 2, np.tile([0, 1], k), np.array([-1.0, -2.0, -3.0, -4.0], np.float32)[: 2 * k], np.array([-9.0, -9.0]))
     t = langid.Letters(["hello abcd wxyzw mq zzz uuu"])
-    logs, known = model.words(t, np.arange(6))
+    logs, known = model.words(t, np.arange(6), 0, 2)
     assert known.tolist() == [True, True, True, True, True, False]
     assert np.allclose(logs[1], [-2, -3]) and np.allclose(logs[0], [-1, -2])
 
 
+def brute_language(train, text, langs):
+    """The prediction in plain Python: counts of words and grams by language, words first, then longer to shorter grams."""
+    import re
+
+    letters = re.compile(r"[^\W\d_]+")
+    kinds = {"w": lambda w: [w], **{n: (lambda w, n=n: langid.grams(w, n)) for n in langid.LENGTHS}}
+    counts = {k: {x: collections.Counter() for x in langs} for k in kinds}
+    for lang, t in train:
+        for w in letters.findall((t or "").lower()):
+            for k, f in kinds.items():
+                counts[k][lang].update(f(w))
+    logs = {}
+    for k in kinds:
+        kept = {x: {g: n for g, n in c.items() if n >= langid.MIN_COUNT} for x, c in counts[k].items()}
+        every = {g for c in kept.values() for g in c}
+        total = {x: sum(c.values()) + 0.5 * max(len(every), 1) for x, c in kept.items()}
+        logs[k] = {g: [math.log((kept[x].get(g, 0) + 0.5) / total[x]) for x in langs] for g in every}
+    found = letters.findall((text or "").lower())
+    if not found:
+        return "und", 0.0
+    sums, n = [0.0] * len(langs), 0
+    for w in found:
+        for k, f in kinds.items():
+            known = [logs[k][g] for g in f(w) if g in logs[k]]
+            if known:
+                sums, n = [s + sum(x[i] for x in known) / len(known) for i, s in enumerate(sums)], n + 1
+                break
+    sums = [s * min(n, langid.EVIDENCE) / max(n, 1) for s in sums]
+    p = [math.exp(s - max(sums)) for s in sums]
+    return langs[p.index(max(p))], max(p) / sum(p)
+
+
+def test_predictions_against_plain_python(spark, monkeypatch):
+    """Of seventy languages, in blocks of sixteen."""
+    monkeypatch.setattr(langid, "LANG_BLOCK", 16)
+    rnd = random.Random(9)
+    langs = [f"l{i:02}" for i in range(70)]
+    alphabets = {x: rnd.sample("abcdefghijklmnopqrstuvwxyzäöüéñ", 9) for x in langs}
+    make = lambda x: " ".join("".join(rnd.choice(alphabets[x]) for _ in range(rnd.randrange(1, 7))) for _ in range(rnd.randrange(1, 40)))
+    rows = [(i, make(x := rnd.choice(langs)), x) for i in range(400)] + [(400, "12 !", "l00"), (401, None, "l01"), (402, "ЖЖ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", F.col("doc_id") % 4 == 2)
+    got = {r["doc_id"]: r for r in rows_of(langid.predict(df, langid.fit(df, ~F.col("held_out"))))}
+    train = [(x, t) for i, t, x in rows if i % 4 != 2 and x is not None and t is not None]
+    known = sorted({x for x, _ in train if x})
+    for i, t, _ in rows[::9] + rows[-3:]:
+        want = brute_language(train, t, known)
+        assert got[i]["lang_pred"] == want[0] and abs(got[i]["score"] - want[1]) < 1e-3, i
+
+
+def test_language_of_messy_tables(spark):
+    df = messy(spark).drop("held_out").withColumn("held_out", F.lit(False))
+    got = rows_of(langid.predict(df, langid.fit(df, F.lit(True))))
+    assert len(got) == df.count() and all(r["lang_pred"] in ("en", "de", "und") for r in got)
+    none = empty(spark).withColumn("held_out", F.lit(False))
+    assert langid.predict(none, langid.fit(none, F.lit(True))).count() == 0
+
+
 # ------------------------------------------------------------------------------------------------------------ 9 quality
 def test_quality_classifier(spark):
     rnd = random.Random(6)
