@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import histograms, instant, num, ranges
 from ..operators import matching, selectors
-from ..operators.aggregate import aggregate, constant
+from ..operators.aggregate import aggregate
 from ..sources.model import NAME, Grid, key_of, label, labels_of, with_labels, without
 from . import syntax as s
 
@@ -33,6 +33,29 @@ class Vector:
     order: tuple = ()
 
 
+def single_name(node) -> bool:
+    """Whether the series of a node's result stay apart without the metric's name, by the query alone: they have one name, or none."""
+    if isinstance(node, s.Selector):
+        return any(m.name == NAME and m.op == "=" and m.value for m in node.matchers)
+    if isinstance(node, s.Subquery):
+        return single_name(node.expr)
+    if isinstance(node, s.Aggregate):
+        return single_name(node.expr) if node.op in ("topk", "bottomk", "limitk", "limit_ratio") else node.without or NAME not in node.labels
+    if isinstance(node, s.Unary):
+        return node.op == "-" or single_name(node.expr)
+    if isinstance(node, s.Binary):
+        if node.op == "or":
+            return False
+        keeps = node.op in s.SETS or node.op in s.COMPARISONS and not node.bool_
+        return not keeps or (single_name(node.left) and single_name(node.right))
+    if isinstance(node, s.Call):
+        if node.name in ("label_replace", "label_join"):
+            return len(node.args) > 1 and getattr(node.args[1], "value", None) != NAME and single_name(node.args[0])
+        if node.name in ranges.KEEPS_NAME | {"sort", "sort_desc", "sort_by_label", "sort_by_label_desc", "info"}:
+            return bool(node.args) and single_name(node.args[0])
+    return True
+
+
 class Planner:
     """samples(matchers, low, high) gives the raw samples that a selector sees, with ts_ms in (low, high]."""
 
@@ -122,7 +145,7 @@ class Planner:
             return out
         if isinstance(out, Scalar):
             return Scalar(-out.column if out.column is not None else None, None if out.frame is None else out.frame.withColumn("value", -F.col("value")), None if out.constant is None else -out.constant)
-        return Vector(matching.with_scalar("*", out.df, num.lit(-1), False, False))
+        return Vector(self._unique(matching.with_scalar("*", out.df, num.lit(-1), False, False), node.expr))
 
     def _binary(self, node: s.Binary, grid: Grid):
         left, right = self.eval(node.left, grid), self.eval(node.right, grid)
@@ -143,8 +166,27 @@ class Planner:
             scalar, vector = (left, right.df) if scalars[0] else (right, left.df)
             with_it, column = self._joined(vector, scalar)
             out = matching.with_scalar(node.op, with_it, column, scalars[0], node.bool_)
-            return Vector(out.drop("__s"))
-        return Vector(matching.vectors(node.op, left.df, right.df, node.matching, node.bool_))
+            named = node.op in s.COMPARISONS and not node.bool_
+            return Vector(out.drop("__s") if named else self._unique(out.drop("__s"), node.right if scalars[0] else node.left))
+        m = node.matching or s.Matching()
+        out = matching.vectors(node.op, left.df, right.df, m, node.bool_)
+        if m.card == "one-to-one" or node.op in s.SETS:
+            return Vector(out)
+        many = node.left if m.card == "many-to-one" else node.right
+        if not m.include and (single_name(many) or node.op in s.COMPARISONS and not node.bool_):
+            return Vector(out)
+        return Vector(self._checked(out, "multiple matches for labels: grouping labels must ensure unique matches"))
+
+    def _unique(self, df: DataFrame, node) -> DataFrame:
+        """df, whose names were dropped from node's result; an error where that makes two series of a step alike."""
+        return df if single_name(node) else self._checked(df, "vector cannot contain metrics with the same labelset")
+
+    @staticmethod
+    def _checked(df: DataFrame, message: str) -> DataFrame:
+        hist = ["hist"] if "hist" in df.columns else []
+        rows = df.groupBy("lkey", "step").agg(F.count(F.lit(1)).alias("n"), F.any_value(F.struct("value", *hist)).alias("r"))
+        ok = F.when(F.col("n") > 1, F.raise_error(F.lit(message)).cast("double")).otherwise(F.col("r.value"))
+        return rows.select("lkey", "step", ok.alias("value"), *(["r.hist"] if hist else []))
 
     @staticmethod
     def _joined(vector: DataFrame, scalar: Scalar, name: str = "__s") -> tuple[DataFrame, Column]:
@@ -156,11 +198,17 @@ class Planner:
     def _aggregate(self, node: s.Aggregate, grid: Grid):
         if node.op in EXPERIMENTAL and not self.experimental:
             raise s.QueryError(f"{node.op} is experimental")
-        param = None
+        df, param = self.vector(node.expr, grid, node.op), None
         if node.param is not None:
-            got = self.eval(node.param, grid)
-            param = constant(node.op, got if isinstance(got, str) else got.constant if isinstance(got, Scalar) else None)
-        return Vector(aggregate(node, self.vector(node.expr, grid, node.op), param))
+            param = self.eval(node.param, grid)
+            if isinstance(param, str) != (node.op == "count_values") or isinstance(param, Vector):
+                raise s.QueryError(f"wrong kind of parameter in aggregation {node.op}")
+            if isinstance(param, Scalar):
+                if param.constant is not None:
+                    param = param.constant
+                else:
+                    df, param = self._joined(df, param, "__p")
+        return Vector(aggregate(node, df, param).drop("__p"))
 
     # ------------------------------------------------------------------------------------------------------ functions
     def _call(self, node: s.Call, grid: Grid):
@@ -179,7 +227,7 @@ class Planner:
         if name in histograms.NATIVE:
             df = self.vector(self._arg(args, 0, name), grid, name)
             df = df.where(F.col("hist").isNotNull()) if "hist" in df.columns else df.limit(0).withColumn("hist", F.lit(None).cast(_hist()))
-            return Vector(df.select(matching.nameless(F.col("lkey")).alias("lkey"), "step", histograms.NATIVE[name](F.col("hist")).alias("value")))
+            return Vector(self._unique(df.select(matching.nameless(F.col("lkey")).alias("lkey"), "step", histograms.NATIVE[name](F.col("hist")).alias("value")), args[0]))
         method = getattr(self, f"_f_{name}", None)
         if method is None:
             raise s.QueryError(f"unknown function {name!r}")
@@ -194,7 +242,7 @@ class Planner:
     def _mapped(self, node, grid, name, f) -> DataFrame:
         df = self.vector(node, grid, name)
         df = df.where(F.col("hist").isNull()) if "hist" in df.columns else df
-        return df.select(matching.nameless(F.col("lkey")).alias("lkey"), "step", f(F.col("value")).alias("value"))
+        return self._unique(df.select(matching.nameless(F.col("lkey")).alias("lkey"), "step", f(F.col("value")).alias("value")), node)
 
     def _ranged(self, name: str, args, grid: Grid):
         table = ranges.functions()
@@ -205,17 +253,18 @@ class Planner:
         span = getattr(matrix, "range_ms", None)
         if span is None:
             raise s.QueryError(f"expected a range vector in call to {name}")
-        frames = [v for v in values if v.frame is not None]
-        if frames:
-            raise s.QueryError(f"the scalar argument of {name} must not depend on data")
-        aggs, out = table[name](span, *(v.column for v in values))
+        aggs, out = table[name](span, *(F.col(f"__s{i}") if v.frame is not None else v.column for i, v in enumerate(values)))
+        named = name in ranges.KEEPS_NAME
 
         def then(rows: DataFrame) -> DataFrame:
             found = rows.groupBy("lkey", "step").agg(*(c.alias(k) for k, c in aggs.items()))
-            key = F.col("lkey") if name in ranges.KEEPS_NAME else matching.nameless(F.col("lkey"))
+            for i, v in enumerate(values):  # one by step, used after the aggregation
+                found, _ = self._joined(found, v, f"__s{i}")
+            key = F.col("lkey") if named else matching.nameless(F.col("lkey"))
             return found.select(key.alias("lkey"), "step", out.cast("double").alias("value")).where(F.col("value").isNotNull())
 
-        return Vector(self.matrix(matrix, grid, name in ranges.PREVIOUS, then))
+        df = self.matrix(matrix, grid, name in ranges.PREVIOUS, then)
+        return Vector(df if named else self._unique(df, matrix))
 
     def _bounded(self, name, args, grid):
         df = self.vector(self._arg(args, 0, name), grid, name)
@@ -227,7 +276,7 @@ class Planner:
             columns.append(c)
         if name == "clamp":
             df = df.where(~(columns[0] > columns[1]) | F.isnan(columns[0]) | F.isnan(columns[1]))
-        return Vector(df.select(matching.nameless(F.col("lkey")).alias("lkey"), "step", instant.BOUNDED[name](F.col("value"), *columns).alias("value")))
+        return Vector(self._unique(df.select(matching.nameless(F.col("lkey")).alias("lkey"), "step", instant.BOUNDED[name](F.col("value"), *columns).alias("value")), args[0]))
 
     def _f_time(self, args, grid):
         return Scalar(F.col("step") / 1000.0)
@@ -250,7 +299,7 @@ class Planner:
             df = self._instant(node, grid).withColumn("value", F.col("ts") / 1000.0)
         else:
             df = self.vector(node, grid, "timestamp").withColumn("value", F.col("step") / 1000.0)
-        return Vector(df.select(matching.nameless(F.col("lkey")).alias("lkey"), "step", "value"))
+        return Vector(self._unique(df.select(matching.nameless(F.col("lkey")).alias("lkey"), "step", "value"), node))
 
     def _absent(self, node, steps: DataFrame, grid: Grid):
         labels = {}
@@ -273,9 +322,7 @@ class Planner:
     def _relabelled(self, df: DataFrame, labels: Column, check: str) -> Vector:
         """New labels, or an error when two series of a step come to share them."""
         hist = ["hist"] if "hist" in df.columns else []
-        rows = df.select(key_of(labels).alias("lkey"), "step", F.struct("value", *hist).alias("r")).groupBy("lkey", "step").agg(F.count(F.lit(1)).alias("n"), F.any_value("r").alias("r"))
-        ok = F.when(F.col("n") > 1, F.raise_error(F.lit(f"{check}: vector cannot contain metrics with the same labelset")).cast("double")).otherwise(F.col("r.value"))
-        return Vector(rows.select("lkey", "step", ok.alias("value"), *(["r.hist"] if hist else [])))
+        return Vector(self._checked(df.select(key_of(labels).alias("lkey"), "step", "value", *hist), f"{check}: vector cannot contain metrics with the same labelset"))
 
     def _texts(self, args, name) -> list[str]:
         if not all(isinstance(a, s.Text) for a in args):

@@ -19,7 +19,7 @@ def points(text: str):
             out += [float(m[1]) + float(m[2]) * i for i in range(int(m[3]) + 1)]
         elif m := re.fullmatch(r"_x(\d+)", part):
             out += [None] * int(m[1])
-        elif m := re.fullmatch(r"(-?[\d.]+)x(\d+)", part):
+        elif m := re.fullmatch(r"(-?[\d.]+|NaN)x(\d+)", part):
             out += [float(m[1])] * (int(m[2]) + 1)
         else:
             out.append(None if part == "_" else part if part == "stale" else float(part))

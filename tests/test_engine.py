@@ -179,3 +179,44 @@ def test_bad_queries(spark, http, bad):
 def test_parse_precedence():
     assert parse("a + b * c").right.op == "*" and parse("a ^ b ^ c").right.op == "^" and parse("a or b and c").right.op == "and"
     assert parse("sum(rate(x[5m] offset 1h)) by (l)").labels == ("l",)
+
+
+TWO = 'a_total{x="1"} 1+1x10\nb_total{x="1"} 2+2x10\na_total{x="2"} 5+1x10\n'
+
+
+@pytest.mark.parametrize("query", [
+    'rate({__name__=~"a_total|b_total"}[5m])', 'abs({__name__=~"a_total|b_total"})', '-{__name__=~"a_total|b_total"}', '{__name__=~".*_total"} * 2', '2 < bool {__name__=~".*_total"}',
+    'clamp({__name__=~".*_total"}, 1, 2)', 'timestamp({__name__=~".*_total"})', 'max_over_time({__name__=~".*_total"}[5m:1m])', 'day_of_week(a_total or on (__name__) b_total)',
+    '{__name__=~".*_total"} * on (x) group_left () sum by (x) (a_total)', 'a_total * on () group_left (x) label_replace(sum(a_total), "x", "1", "", "")',
+])
+def test_series_that_become_alike_are_an_error(spark, query):
+    e = engine(spark, load(spark, "1m", TWO))
+    with pytest.raises(Exception, match="same labelset|unique matches"):
+        at(e, query, "5m")
+
+
+def test_names_that_stay_or_are_single_are_no_error(spark):
+    e = engine(spark, load(spark, "1m", TWO))
+    assert len(at(e, '{__name__=~"a_total|b_total"} > 0', "5m")) == 3
+    assert len(at(e, 'last_over_time({__name__=~"a_total|b_total"}[5m])', "5m")) == 3
+    assert len(at(e, 'abs(a_total)', "5m")) == 2 and len(at(e, 'abs({__name__=~"a_.*"})', "5m")) == 2
+    assert len(at(e, 'sum by (x) ({__name__=~"a_total|b_total"}) * 2', "5m")) == 2
+
+
+def test_parameters_that_depend_on_data(spark):
+    e = engine(spark, load(spark, "1m", 'm{i="1"} 1x20\nm{i="2"} 2x20\nm{i="3"} 3x20\nm{i="4"} NaNx20\nk 1 1 1 1 1 2x20\nq 0x4 0.5x20\n'))
+    steps = ("0s", "10m", "5m")
+    assert {k: [t for t, _ in v] for k, v in over(e, "topk(scalar(k), m)", *steps).items()} == {'m{i="3"}': [0, 300, 600], 'm{i="2"}': [300, 600]}
+    assert {k: [t for t, _ in v] for k, v in over(e, "bottomk(scalar(k), m)", *steps).items()} == {'m{i="1"}': [0, 300, 600], 'm{i="2"}': [300, 600]}
+    assert {t: n for t, n in over(e, "count(limitk(scalar(k), m))", *steps)[""]} == {0: 1.0, 300: 2.0, 600: 2.0}
+    assert over(e, 'quantile(scalar(q), m{i!="4"})', *steps)[""] == [(0, 1.0), (300, 2.0), (600, 2.0)]
+    assert over(e, "quantile_over_time(scalar(q), m{i=\"1\"}[5m])", *steps) == {'{i="1"}': [(0, 1.0), (300, 1.0), (600, 1.0)]}
+    assert over(e, "predict_linear(m{i=\"2\"}[5m], scalar(k))", *steps) == {'{i="2"}': [(300, 2.0), (600, 2.0)]}
+    assert over(e, "limit_ratio(scalar(q) * 2, m)", *steps).keys() == {f'm{{i="{i}"}}' for i in range(1, 5)}
+
+
+def test_quantile_of_series(spark):
+    e = engine(spark, load(spark, "1m", "\n".join(f'm{{i="{i}"}} {v}' for i, v in enumerate((4, 1, "NaN", 9, 2)))))
+    for q, want in ((0.5, 2.0), (0.75, 4.0), (1, 9.0), (0.6, 2.8), (-1, -float("inf")), (2, float("inf"))):
+        assert at(e, f"quantile({q}, m)")[""] == pytest.approx(want)
+    assert at(e, "quantile(0.1, m)")[""] != at(e, "quantile(0.1, m)")[""]  # NaN sorts first
