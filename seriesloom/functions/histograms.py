@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.model import NAME, key_of, label, labels_of, without
@@ -95,9 +95,14 @@ def native_quantile(q: Column, h: Column) -> Column:
 
 
 def native_fraction(low: Column, high: Column, h: Column) -> Column:
+    """Inside a bucket linear for custom bounds and around zero, else on the logarithm, as bounds grow exponentially."""
+
     def share(x):
         a, b = F.greatest(x["lower"], low), F.least(x["upper"], high)
-        return F.when(b <= a, num.lit(0)).otherwise(x["count"] * F.coalesce(F.try_divide(b - a, x["upper"] - x["lower"]), num.lit(1)))
+        linear = (h["schema"] == -53) | ((x["lower"] <= 0) & (x["upper"] >= 0))
+        on_line = F.coalesce(F.try_divide(b - a, x["upper"] - x["lower"]), num.lit(1))
+        on_log = F.coalesce(F.try_divide(F.log2(b / a), F.log2(x["upper"] / x["lower"])), num.lit(1))
+        return F.when(b <= a, num.lit(0)).when(linear, x["count"] * on_line).otherwise(x["count"] * on_log)
 
     total = F.aggregate(_all_buckets(h), num.lit(0), lambda s, x: s + share(x))
     return F.when(F.isnan(low) | F.isnan(high) | (h["count"] == 0), num.lit(num.NAN)).when(low >= high, num.lit(0)).otherwise(total / h["count"])
@@ -109,16 +114,88 @@ NATIVE = {
 }
 
 
-def native_sum(rows: DataFrame, mean: bool = False) -> DataFrame:
-    """Bucket-wise sum (or mean) of histograms by lkey and step; buckets meet on equal bounds."""
-    h = F.col("hist")
-    heads = rows.where(h.isNotNull()).groupBy("lkey", "step").agg(
-        F.min("hist.schema").alias("schema"), F.sum("hist.count").alias("count"), F.sum("hist.sum").alias("sum"), F.max("hist.zero_threshold").alias("zero_threshold"), F.sum("hist.zero_count").alias("zero_count"), F.count(F.lit(1)).alias("n")
+def native_sum(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Weighted sum of the histograms of each (lkey, step). Those of one schema and zero threshold are added first, bucket by
+    bucket, with partial sums; what is left meets on the coarsest schema and the widest zero bucket, which takes in the buckets it
+    reaches into. Custom bounds (schema -53) meet where they are equal; with exponential ones they give no result."""
+    rows = rows.where(F.col("hist").isNotNull()).select("lkey", "step", "hist", (num.lit(1) if weight is None else weight).alias("w"))
+    kind = ["lkey", "step", F.col("hist.schema").alias("schema"), F.col("hist.zero_threshold").alias("zero_threshold")]
+    names = ["lkey", "step", "schema", "zero_threshold"]
+    heads = rows.groupBy(*kind).agg(*(F.sum(F.col(f"hist.{x}") * F.col("w")).alias(x) for x in ("count", "sum", "zero_count")))
+    none = F.lit(None).cast("double")
+    parts = rows.select(*kind, "w", F.explode("hist.buckets").alias("b")).groupBy(*names, F.col("b.lower").alias("lower"), F.col("b.upper").alias("upper")).agg(F.sum(F.col("b.count") * F.col("w")).alias("n"))
+    both = heads.select(*names, "count", "sum", "zero_count", none.alias("lower"), none.alias("upper"), none.alias("n")).unionByName(parts.select(*names, none.alias("count"), none.alias("sum"), none.alias("zero_count"), "lower", "upper", "n"))
+    group = Window.partitionBy("lkey", "step")
+    near, far = F.least(F.abs("lower"), F.abs("upper")), F.greatest(F.abs("lower"), F.abs("upper"))
+    both = both.withColumn("coarse", F.min("schema").over(group)).withColumn("fine", F.max("schema").over(group)).withColumn("zt", F.max("zero_threshold").over(group))
+    both = both.where(~((F.col("coarse") == -53) & (F.col("fine") != -53)))
+    index = F.ceil(F.round(F.log2(far) * F.pow(num.lit(2), F.col("schema"))) / F.pow(num.lit(2), F.col("schema") - F.col("coarse")))
+    moved = (F.col("coarse") != F.col("fine")) & F.col("n").isNotNull()
+    size = F.pow(num.lit(2), F.col("coarse"))
+    both = both.withColumn("far", F.when(moved, F.pow(num.lit(2), index / size)).otherwise(far)).withColumn("near", F.when(moved, F.pow(num.lit(2), (index - 1) / size)).otherwise(near))
+    both = both.withColumn("zt", F.greatest("zt", F.coalesce(F.max(F.when((F.col("coarse") != -53) & (F.col("near") < F.col("zt")) & (F.col("n") != 0), F.col("far"))).over(group), F.col("zt"))))
+    in_zero = (F.col("coarse") != -53) & (F.col("far") <= F.col("zt"))
+    below = F.col("upper") <= 0
+    plain = (F.col("coarse") == -53) | ~moved
+    both = both.withColumn("lower", F.when(plain, F.col("lower")).when(below, -F.col("far")).otherwise(F.col("near"))).withColumn("upper", F.when(plain, F.col("upper")).when(below, -F.col("near")).otherwise(F.col("far")))
+    both = both.withColumn("zero_count", F.when(F.col("n").isNotNull() & in_zero, F.col("n")).otherwise(F.col("zero_count"))).withColumn("in", F.col("n").isNotNull() & ~in_zero)
+    merged = both.groupBy("lkey", "step", F.when(F.col("in"), F.col("lower")).alias("lower"), F.when(F.col("in"), F.col("upper")).alias("upper")).agg(
+        *(F.sum(x).alias(x) for x in ("count", "sum", "zero_count")), F.sum(F.when(F.col("in"), F.col("n"))).alias("n"), F.max("coarse").alias("schema"), F.max("zt").alias("zero_threshold")
+    )
+    bucket = F.struct("lower", "upper", F.col("n").alias("count"))
+    whole = merged.groupBy("lkey", "step").agg(
+        *(F.sum(x).alias(x) for x in ("count", "sum")), F.coalesce(F.sum("zero_count"), num.lit(0)).alias("zero_count"), F.max("schema").alias("schema"), F.max("zero_threshold").alias("zero_threshold"),
+        F.array_sort(F.collect_list(F.when(F.col("lower").isNotNull() & (F.col("n") != 0), bucket))).alias("buckets"),
     )
-    parts = rows.where(h.isNotNull()).select("lkey", "step", F.explode("hist.buckets").alias("b")).groupBy("lkey", "step", F.col("b.lower").alias("lower"), F.col("b.upper").alias("upper")).agg(F.sum("b.count").alias("count"))
-    buckets = parts.groupBy("lkey", "step").agg(F.array_sort(F.collect_list(F.struct("lower", "upper", "count"))).alias("buckets"))
-    by = F.col("n") if mean else F.lit(1)
-    full = heads.join(buckets, ["lkey", "step"], "left")
-    scaled = F.transform(F.coalesce("buckets", F.array().cast("array<struct<lower:double,upper:double,count:double>>")), lambda x: F.struct(x["lower"].alias("lower"), x["upper"].alias("upper"), (x["count"] / by).alias("count")))
-    out = F.struct("schema", (F.col("count") / by).alias("count"), (F.col("sum") / by).alias("sum"), "zero_threshold", (F.col("zero_count") / by).alias("zero_count"), scaled.alias("buckets"))
-    return full.select("lkey", "step", F.lit(None).cast("double").alias("value"), out.alias("hist"))
+    return whole.select("lkey", "step", F.lit(None).cast("double").alias("value"), F.struct("schema", "count", "sum", "zero_threshold", "zero_count", "buckets").alias("hist"))
+
+
+def native_mean(rows: DataFrame) -> DataFrame:
+    """Mean of the histograms of each (lkey, step)."""
+    from ..operators.matching import scaled
+
+    n = rows.where(F.col("hist").isNotNull()).groupBy("lkey", "step").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return native_sum(rows).join(n, ["lkey", "step"]).select("lkey", "step", "value", scaled(F.col("hist"), lambda x: x / F.col("n")).alias("hist"))
+
+
+def lost_counts(before: Column, now: Column) -> Column:
+    """Whether a histogram has less than the one before in any of its counts: a counter reset. Of unlike schemas the totals tell."""
+    counts = F.map_from_entries(F.transform(now["buckets"], lambda x: F.struct(x["lower"], x["count"])))
+    fewer = F.exists(before["buckets"], lambda x: x["count"] > F.coalesce(F.try_element_at(counts, x["lower"]), num.lit(0)))
+    return (now["count"] < before["count"]) | (now["zero_count"] < before["zero_count"]) | ((now["schema"] == before["schema"]) & fewer)
+
+
+#: Functions of windows of histograms; those in ALONE give nothing for a window that holds floats as well.
+ALONE = {"rate", "increase", "delta", "irate", "idelta", "sum_over_time", "avg_over_time"}
+RANGED = ALONE | {"count_over_time", "present_over_time", "last_over_time", "first_over_time"}
+
+
+def over_windows(name: str, rows: DataFrame, span: int) -> DataFrame:
+    """A function of RANGED over windows of histograms (lkey, step, ets, hist, nets, nlost: the next sample's time, and whether it
+    lost counts): each is a weighted sum of the window's samples. An increase takes the last, gives back the first and adds the
+    sample before every reset, times the factor that extrapolates to the window's ends."""
+    window = Window.partitionBy("lkey", "step")
+    rows = rows.withColumns({"ft": F.min("ets").over(window), "lt": F.max("ets").over(window), "n": F.count(F.lit(1)).over(window)})
+    ets, step = F.col("ets"), F.col("step")
+    first, last = (ets == F.col("ft")).cast("double"), (ets == F.col("lt")).cast("double")
+    inside = F.coalesce(F.col("nets") <= step, F.lit(False))
+    reset = F.when(inside & F.col("nlost"), num.lit(1)).otherwise(num.lit(0))
+    if name in ("last_over_time", "first_over_time"):
+        return native_sum(rows.where(last == 1 if name == "last_over_time" else first == 1))
+    if name == "sum_over_time":
+        return native_sum(rows)
+    if name == "avg_over_time":
+        return native_mean(rows)
+    rows = rows.where("n > 1")
+    if name in ("irate", "idelta"):
+        before = inside & (F.col("nets") == F.col("lt"))
+        lost = F.col("nlost") if name == "irate" else F.lit(False)
+        gap = (F.col("nets") - ets) / 1000.0 if name == "irate" else num.lit(1)
+        latest = rows.withColumn("gap", F.max(F.when(before, gap)).over(window))
+        return native_sum(latest, (last - F.when(before & ~lost, num.lit(1)).otherwise(num.lit(0))) / F.col("gap"))
+    sampled = ((F.col("lt") - F.col("ft")) / 1000.0).cast("double")
+    mean = sampled / (F.col("n") - 1)
+    ends = ((F.col("ft") - step + span) / 1000.0, (step - F.col("lt")) / 1000.0)
+    factor = F.try_divide(sampled + sum((F.when(e >= mean * 1.1, mean / 2).otherwise(e) for e in ends), num.lit(0)), sampled) / (span / 1000.0 if name == "rate" else 1.0)
+    weight = (last - first + (reset if name != "delta" else num.lit(0))) * factor
+    return native_sum(rows.withColumn("weight", weight).where("weight <> 0 OR ets = lt"), F.col("weight"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import num
-from ..functions.histograms import native_sum
+from ..functions.histograms import native_mean, native_sum
 from ..plans.syntax import Aggregate
 from ..sources.model import NAME, key_of, labels_of, only, with_labels, without
 
@@ -38,7 +38,7 @@ def aggregate(node: Aggregate, vector: DataFrame, param: float | str | Column |
     if hist and op in ("sum", "avg"):
         rows = vector.select(key.alias("lkey"), "step", "value", "hist")
         floats = rows.where(F.col("hist").isNull()).groupBy("lkey", "step").agg(_aggregates(op).alias("value"))
-        return floats.withColumn("hist", F.lit(None).cast(vector.schema["hist"].dataType)).unionByName(native_sum(rows, op == "avg"))
+        return floats.withColumn("hist", F.lit(None).cast(vector.schema["hist"].dataType)).unionByName(native_mean(rows) if op == "avg" else native_sum(rows))
     if hist and op not in ("count", "group"):
         vector = vector.where(F.col("hist").isNull())
     if op == "quantile":

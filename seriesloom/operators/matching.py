@@ -31,11 +31,16 @@ def with_scalar(op: str, vector: DataFrame, scalar: Column, swapped: bool, bool_
     if hist and op in ("*", "/") and not (swapped and op == "/"):
         h = F.col("hist")
         f = (lambda x: x * scalar) if op == "*" else (lambda x: num.div(x, scalar))
-        scaled = F.struct(h["schema"].alias("schema"), f(h["count"]).alias("count"), f(h["sum"]).alias("sum"), h["zero_threshold"].alias("zero_threshold"), f(h["zero_count"]).alias("zero_count"), F.transform(h["buckets"], lambda x: F.struct(x["lower"].alias("lower"), x["upper"].alias("upper"), f(x["count"]).alias("count"))).alias("buckets"))
-        return vector.select(*out, F.when(h.isNotNull(), scaled).alias("hist"))
+        return vector.select(*out, F.when(h.isNotNull(), scaled(h, f)).alias("hist"))
     return (vector.where(F.col("hist").isNull()) if hist else vector).select(*out)
 
 
+def scaled(h: Column, f) -> Column:
+    """A native histogram with f applied to all its counts and its sum."""
+    buckets = F.transform(h["buckets"], lambda x: F.struct(x["lower"].alias("lower"), x["upper"].alias("upper"), f(x["count"]).alias("count")))
+    return F.struct(h["schema"].alias("schema"), f(h["count"]).alias("count"), f(h["sum"]).alias("sum"), h["zero_threshold"].alias("zero_threshold"), f(h["zero_count"]).alias("zero_count"), buckets.alias("buckets"))
+
+
 def match_key(m: Matching) -> Column:
     labels = labels_of(F.col("lkey"))
     return key_of(only(labels, m.labels) if m.on else without(labels, (*m.labels, NAME)))

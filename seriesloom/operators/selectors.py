@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.histograms import lost_counts
 from ..plans.syntax import Matcher, QueryError
 from ..sources.model import Grid, label
 
@@ -73,16 +74,23 @@ def instant(samples: DataFrame, grid: Grid, lookback: int, offset: int = 0) -> D
     return newest.where(~F.col("stale")).select("lkey", "step", "value", "ts")
 
 
-def windows(samples: DataFrame, grid: Grid, span: int, offset: int = 0, previous: bool = False) -> DataFrame:
+def windows(samples: DataFrame, grid: Grid, span: int, offset: int = 0, previous: bool = False, native: bool = False) -> DataFrame:
     """Samples in each left-open window: lkey, step, ts, ets (on the steps' clock), value[, pv, pts: the sample before, where
-    it is in the window too]. previous adds a sort by series; the aggregation that follows reuses its partitioning."""
+    it is in the window too]. previous adds a sort by series; the aggregation that follows reuses its partitioning. With native
+    the windows hold histograms as well: hist, and of the series' next histogram its time and whether it lost counts (nets,
+    nlost); without it, or where the samples have none, floats only."""
     live = samples.where(~F.col("stale"))
-    if "hist" in live.columns:
+    native = native and "hist" in live.columns
+    if "hist" in live.columns and not native:
         live = live.where(F.col("hist").isNull())
     live = live.where((F.col("ts_ms") > F.lit(grid.start - offset - span)) & (F.col("ts_ms") <= F.lit(grid.last - offset)))
     cols = [F.col("lkey"), F.col("ts_ms"), F.col("value")]
+    w = Window.partitionBy("lkey", F.col("hist").isNull()).orderBy("ts_ms") if native else Window.partitionBy("lkey").orderBy("ts_ms")
+    if native:
+        following = F.lead("hist").over(w)
+        lost = F.when(F.col("hist").isNotNull() & following.isNotNull(), lost_counts(F.col("hist"), following))
+        cols += [F.col("hist"), (F.lead("ts_ms").over(w) + F.lit(offset)).alias("nets"), F.coalesce(lost, F.lit(False)).alias("nlost")]
     if previous:
-        w = Window.partitionBy("lkey").orderBy("ts_ms")
         cols += [F.lag("value").over(w).alias("pv"), F.lag("ts_ms").over(w).alias("pts")]
     rows = seen(live.select(*cols), grid, span, offset).withColumn("ets", F.col("ts_ms") + F.lit(offset)).withColumnRenamed("ts_ms", "ts")
     if previous:

@@ -110,12 +110,12 @@ class Planner:
     def _instant(self, node: s.Selector, grid: Grid) -> DataFrame:
         return self._held(node.shift, grid, lambda g, off: selectors.instant(self.samples(node.matchers, g.start - off - self.lookback, g.last - off), g, self.lookback, off))
 
-    def matrix(self, node, grid: Grid, previous: bool, then) -> DataFrame:
+    def matrix(self, node, grid: Grid, previous: bool, then, native: bool = False) -> DataFrame:
         """then(windows) for a range selector or subquery, on the pinned time if there is one."""
         if isinstance(node, s.Selector) and node.range_ms is not None:
-            return self._held(node.shift, grid, lambda g, off: then(selectors.windows(self.samples(node.matchers, g.start - off - node.range_ms, g.last - off), g, node.range_ms, off, previous)))
+            return self._held(node.shift, grid, lambda g, off: then(selectors.windows(self.samples(node.matchers, g.start - off - node.range_ms, g.last - off), g, node.range_ms, off, previous, native)))
         if isinstance(node, s.Subquery):
-            return self._held(node.shift, grid, lambda g, off: then(selectors.windows(self._subsamples(node, g, off), g, node.range_ms, off, previous)))
+            return self._held(node.shift, grid, lambda g, off: then(selectors.windows(self._subsamples(node, g, off), g, node.range_ms, off, previous, native)))
         raise s.QueryError("expected a range vector")
 
     def _subsamples(self, node: s.Subquery, grid: Grid, offset: int) -> DataFrame:
@@ -257,13 +257,28 @@ class Planner:
         named = name in ranges.KEEPS_NAME
 
         def then(rows: DataFrame) -> DataFrame:
+            if "hist" not in rows.columns or name in ("count_over_time", "present_over_time"):
+                return floats(rows)
+            of_floats, own = rows.where(F.col("hist").isNull()), histograms.over_windows(name, rows.where(F.col("hist").isNotNull()), span)
+            key = F.col("lkey") if named else matching.nameless(F.col("lkey"))
+            if name in histograms.ALONE:  # a window of both gives nothing
+                kinds = rows.groupBy("lkey", "step").agg(F.min(F.col("hist").isNull()).alias("f"), F.max(F.col("hist").isNull()).alias("t")).where("f <> t").select("lkey", "step")
+                own, of_floats = (x.join(kinds, ["lkey", "step"], "left_anti") for x in (own, of_floats))
+            else:  # first or last, whichever kind it is
+                at = (F.max if name == "last_over_time" else F.min)("ts")
+                ends = rows.groupBy("lkey", "step").agg(at.alias("at"))
+                picked = rows.join(ends, ["lkey", "step"]).where("ts = at")
+                of_floats, own = picked.where(F.col("hist").isNull()), histograms.over_windows(name, picked.where(F.col("hist").isNotNull()), span)
+            return floats(of_floats).withColumn("hist", F.lit(None).cast(_hist())).unionByName(own.select(key.alias("lkey"), "step", "value", "hist"))
+
+        def floats(rows: DataFrame) -> DataFrame:
             found = rows.groupBy("lkey", "step").agg(*(c.alias(k) for k, c in aggs.items()))
             for i, v in enumerate(values):  # one by step, used after the aggregation
                 found, _ = self._joined(found, v, f"__s{i}")
             key = F.col("lkey") if named else matching.nameless(F.col("lkey"))
             return found.select(key.alias("lkey"), "step", out.cast("double").alias("value")).where(F.col("value").isNotNull())
 
-        df = self.matrix(matrix, grid, name in ranges.PREVIOUS, then)
+        df = self.matrix(matrix, grid, name in ranges.PREVIOUS, then, name in histograms.RANGED)
         return Vector(df if named else self._unique(df, matrix))
 
     def _bounded(self, name, args, grid):

@@ -220,3 +220,69 @@ def test_quantile_of_series(spark):
     for q, want in ((0.5, 2.0), (0.75, 4.0), (1, 9.0), (0.6, 2.8), (-1, -float("inf")), (2, float("inf"))):
         assert at(e, f"quantile({q}, m)")[""] == pytest.approx(want)
     assert at(e, "quantile(0.1, m)")[""] != at(e, "quantile(0.1, m)")[""]  # NaN sorts first
+
+
+def hist(count, total, buckets, schema=0, zero=(0.001, 0.0)):
+    """A native histogram from (lower, upper, count) triples, as SQL."""
+    inner = ", ".join(f"named_struct('lower', {a}D, 'upper', {b}D, 'count', {n}D)" for a, b, n in buckets)
+    typed = f"array({inner})" if inner else "cast(array() as array<struct<lower:double,upper:double,count:double>>)"
+    return f"named_struct('schema', {schema}, 'count', {count}D, 'sum', {total}D, 'zero_threshold', {zero[0]}D, 'zero_count', {zero[1]}D, 'buckets', {typed})"
+
+
+def native(spark, series):
+    """{labels text: [(minute, SQL of a histogram or a float)]} as samples."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from seriesloom.sources.model import HIST
+
+    parts = []
+    for name, points in series.items():
+        for minute, h in points:
+            df = load(spark, "1m", f"{name} {'_ ' * minute}{h if isinstance(h, (int, float)) else 1}", hist=True)
+            if isinstance(h, str):
+                df = df.withColumn("hist", F.expr(h).cast(HIST)).withColumn("value", F.lit(None).cast("double"))
+            parts.append(df)
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def test_ranges_over_native_histograms(spark):
+    grow = [(0, hist(2, 2, [(1, 2, 2)])), (1, hist(5, 8, [(1, 2, 3), (2, 4, 2)])), (2, hist(1, 1, [(1, 2, 1)])), (3, hist(4, 9, [(1, 2, 1), (2, 4, 3)]))]
+    e = engine(spark, native(spark, {'h{i="0"}': grow}))
+    # from 2, reset after 5, at the end 4: 5 - 2 + 4 = 7 over 180 s, extrapolated to the left edge and the window of 240 s
+    factor = (180 + 60) / 180
+    same(at(e, "histogram_count(increase(h[4m]))", "3m"), {'{i="0"}': 7 * factor})
+    same(at(e, "histogram_count(rate(h[4m]))", "3m"), {'{i="0"}': 7 * factor / 240})
+    same(at(e, "histogram_sum(delta(h[4m]))", "3m"), {'{i="0"}': 7 * factor})
+    same(at(e, "histogram_count(irate(h[4m]))", "3m"), {'{i="0"}': 3 / 60})
+    same(at(e, "histogram_count(irate(h[4m]))", "2m"), {'{i="0"}': 1 / 60})
+    same(at(e, "histogram_count(idelta(h[4m]))", "2m"), {'{i="0"}': -4.0})
+    same(at(e, "histogram_count(sum_over_time(h[4m]))", "3m"), {'{i="0"}': 12.0})
+    same(at(e, "histogram_sum(avg_over_time(h[4m]))", "3m"), {'{i="0"}': 5.0})
+    same(at(e, "count_over_time(h[4m])", "3m"), {'{i="0"}': 4.0})
+    same(at(e, "histogram_count(last_over_time(h[4m]))", "3m"), {'{i="0"}': 4.0})
+    same(at(e, "histogram_quantile(0.5, increase(h[4m]))", "3m"), {'{i="0"}': 2 * 2 ** ((3.5 - 2) / 5)})
+    assert at(e, "max_over_time(h[4m])", "3m") == {}
+    assert len(over(e, "histogram_count(rate(h[2m]))", "1m", "3m", "1m")['{i="0"}']) == 3
+
+
+def test_windows_of_floats_and_histograms(spark):
+    e = engine(spark, native(spark, {'h{i="0"}': [(0, 1), (1, hist(3, 3, [(1, 2, 3)])), (2, hist(6, 6, [(1, 2, 6)]))], 'h{i="1"}': [(0, 1), (2, 5)]}))
+    assert at(e, "sum_over_time(h[5m])", "2m") == {'{i="1"}': 6.0}
+    assert at(e, "count_over_time(h[5m])", "2m") == {'{i="0"}': 3.0, '{i="1"}': 2.0}
+    assert at(e, "first_over_time(h[5m])", "2m") == {'h{i="0"}': 1.0, 'h{i="1"}': 1.0}
+    same(at(e, "histogram_count(last_over_time(h[5m]))", "2m"), {'{i="0"}': 6.0})
+
+
+def test_sums_of_unlike_histograms(spark):
+    r = 2**0.5
+    fine = hist(6, 9, [(1, r, 1), (r, 2, 2), (2, 2 * r, 3)], schema=1)
+    coarse = hist(5, 8, [(1, 2, 1), (2, 4, 4)], schema=0)
+    e = engine(spark, native(spark, {'h{i="0"}': [(0, fine)], 'h{i="1"}': [(0, coarse)], 'w{i="0"}': [(0, hist(4, 4, [(0.5, 1, 2), (1, 2, 2)]))], 'w{i="1"}': [(0, hist(5, 5, [(2, 4, 2)], zero=(0.75, 3.0)))]}))
+    rows = e.query("sum(h)", 0).collect()
+    assert [(round(b["lower"], 9), round(b["upper"], 9), b["count"]) for b in rows[0]["hist"]["buckets"]] == [(1.0, 2.0, 4.0), (2.0, 4.0, 7.0)]
+    assert (rows[0]["hist"]["schema"], rows[0]["hist"]["count"]) == (0, 11.0)
+    h = e.query("sum(w)", 0).collect()[0]["hist"]  # the wider zero bucket reaches into (0.5, 1] and takes it in
+    assert (h["zero_threshold"], h["zero_count"], [tuple(b) for b in h["buckets"]]) == (1.0, 5.0, [(1.0, 2.0, 2.0), (2.0, 4.0, 2.0)])
+    same(at(e, "histogram_fraction(1, 1.4142135623730951, h{i=\"1\"})"), {'{i="1"}': 0.1})
