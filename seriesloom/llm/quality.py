@@ -7,8 +7,9 @@ one before. A text is the mean vector of its words beside that of its shapes, th
 a logistic output give the logit, which a temperature fitted on a validation fold turns into a probability.
 
 The whole classifier is fitted on a bounded sample: about MAX_DOCS labelled rows chosen by the hash of their id (all if there
-are fewer), whole texts, MAX_VOCABULARY tokens. Scoring reads every whole text; it sends the tasks the model, whose size the
-parameters bound.
+are fewer), whole texts, MAX_VOCABULARY tokens. The sample is written once, in SAMPLE_PARTS parts, so documents are read once to
+learn and once to score. Neighbours' index vectors are added as integers, in the tasks and then in Spark: the model does not depend
+on how rows are dealt. Scoring reads every whole text; it sends the tasks the model, whose size the parameters bound.
 
 Defined cases: null and empty texts are scored (all features zero); labels repeated for a document are averaged and rounded,
 null labels ignored; without both labels the score is the share of label 1, or 0.5; a null doc_id hashes as the empty text and
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import _CODES, LOWER, Words, chunks, crc_mod, mix, powers, ranges_hash, read_documents, text_buffer
+from .shared import _CODES, LOWER, Words, chunks, crc_mod, drop, mix, ranges_hash, read_documents, table, text_buffer
 
-MAX_DOCS = 12_000
+MAX_DOCS, SAMPLE_PARTS = 12_000, 16
 MAX_VOCABULARY = 30_000
 MIN_COUNT = 5
 DIM = 24
@@ -35,6 +36,8 @@ SPAN = 2
 HIDDEN = 32
 EPOCHS = 60
 THRESHOLD = 0.3
+#: Index vectors in integers of 2 ** -FIXED.
+FIXED = 20
 _REPEAT = np.uint64(0x5265706561740001)
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[ord("a") : ord("z") + 1] = ord("a")
@@ -114,7 +117,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, wanted) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, wanted) -> Model:
-    sample = labelled_sample(docs, labels, wanted)
+    spark = docs.sparkSession
+    sample = table(labelled_sample(docs, labels, wanted).repartition(SAMPLE_PARTS, F.xxhash64("doc_id", "text")), "quality-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -128,48 +132,53 @@ def fit(docs: DataFrame, labels: DataFrame, wanted) -> Model:
     keys, freq = keys[order], counts["n"].to_numpy()[order].astype(float)
     weight = (1 / np.sqrt(freq)).astype(np.float32)[:, None]
     drawn = np.concatenate([index_vectors(keys) * weight, np.zeros((1, DIM), np.float32)])
-    bare = docs.sparkSession.sparkContext.broadcast(Model(keys, drawn))
+    bare = spark.sparkContext.broadcast(Model(keys, np.rint(drawn * (1 << FIXED)).astype(np.int64)))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = bare.value, None
         for batch in chunks(batches):
             words = Words(*text_buffer(batch.column("text")))
             streams = [model.rows(h) for h in token_hashes(words)]
-            total = np.zeros((len(model.keys) + 1, DIM), np.float32) if total is None else total
+            total = np.zeros((len(model.keys) + 1, DIM), np.int64) if total is None else total
             for mine in streams:
                 for other in streams:
                     for gap in range(-SPAN, SPAN + 1):
                         a = np.arange(max(0, -gap), len(words) - max(0, gap))
                         a = a[words.doc[a] == words.doc[a + gap]] if gap else (a if mine is not other else a[:0])
-                        np.add.at(total, mine[a], model.vectors[other[a + gap]]) if len(a) < 64 else _add(total, mine[a], model.vectors, other[a + gap])
+                        _add(total, mine[a], model.vectors, other[a + gap])
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([b]) for b in [total.tobytes()]], names=["total"])
+            rows = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(total[rows, i]) for i in range(DIM))], names=["row", *(f"v{i}" for i in range(DIM))])
 
+    parts = sample.mapInArrow(contexts, "row long, " + ", ".join(f"v{i} long" for i in range(DIM)))
+    sums = parts.groupBy("row").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM))).toArrow()  # MAX_VOCABULARY x DIM at most
     total = np.zeros((len(keys) + 1, DIM), np.float64)
-    parts = sample.mapInArrow(contexts, "total binary")
-    for row in parts.toLocalIterator():  # bounded: MAX_VOCABULARY x DIM for each task of the sample
-        total += np.frombuffer(row[0], np.float32).reshape(total.shape)
+    if sums.num_rows:
+        total[sums.column("row").to_numpy()] = np.stack([sums.column(f"v{i}").to_numpy() for i in range(DIM)], axis=1)
     vectors = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     vectors[-1] = 0
     model = Model(keys, vectors)
-    ready = docs.sparkSession.sparkContext.broadcast(model)
+    ready = spark.sparkContext.broadcast(model)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             x = ready.value.features(Words(*text_buffer(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "quality", "x"])
 
-    rows = sample.mapInArrow(pooled, "doc_id long, quality int, x array<float>").orderBy("doc_id").toPandas()
+    rows = sample.mapInArrow(pooled, "doc_id long, quality int, x array<float>").orderBy("doc_id", "x").toPandas()
+    drop(sample)
     train(model, np.stack(rows["x"]) if len(rows) else np.zeros((0, 2 * DIM + 3), np.float32), rows["quality"].to_numpy(float))
     return model
 
 
 def _add(total: np.ndarray, rows: np.ndarray, vectors: np.ndarray, others: np.ndarray) -> None:
     """total[rows] += vectors[others], by pairs counted first."""
+    if not len(rows):
+        return
     pair, n = np.unique(rows * len(vectors) + others, return_counts=True)
     row, other = np.divmod(pair, len(vectors))
     firsts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-    total[row[firsts]] += np.add.reduceat(vectors[other] * n[:, None].astype(np.float32), firsts, axis=0)
+    total[row[firsts]] += np.add.reduceat(vectors[other] * n[:, None], firsts, axis=0)
 
 
 def train(model: Model, x: np.ndarray, y: np.ndarray, seed: int = 1) -> None:
