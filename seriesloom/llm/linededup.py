@@ -1,14 +1,16 @@
 """Operator 8: reversible line dedup by sharded cuckoo filters over exact reference counts.
 
-`LineIndex` keeps, in the shared folder, an exact table (shard, key, n_docs) of how many documents hold each line key, and per
-shard a cuckoo filter of the keys that have reached `min_docs`. Inserting or deleting documents adds or subtracts their counts,
-and the filters take in or delete exactly the keys that cross the threshold, so a deletion leaves the state that would have
-been had the document never come. Applying it probes the filters first; what they pass is confirmed against the exact table,
-so a false positive costs a lookup and never a line.
+`LineIndex` keeps, in the shared folder, an exact table (key, n_docs) of how many documents hold each line key, and a cuckoo filter
+per shard of the keys that have reached `min_docs`. Inserting or deleting documents adds or subtracts their counts, and the filters
+take in or delete exactly the keys that cross the threshold, so a deletion leaves the state that would have been had the document
+never come. Applying it probes the filters first; what they pass is confirmed against the exact table, so a false positive costs
+a lookup and never a line.
 
 Counting is a Spark aggregate with partial counts, so a line that stands in a third of all documents is one row per task. The
-filters and the exact droppable keys go to every task only after their size is checked (`BROADCAST_KEYS`); beyond it the
-lines that pass the filters, or all if those are too large too, are joined with the exact table by key.
+number of shards is set by the first insertion, about SHARD_KEYS droppable keys each; a shard's keys stream to its task, sorted, and
+fill its filter in bulk. Workers map the filters' files into memory. The exact droppable keys go to every task while there are at
+most BROADCAST_KEYS; beyond it only the most frequent do, those above a number of documents that so many keys reach, and the lines
+with a rarer key that pass the filters are joined with the exact table, where no key has a hot group any more.
 
 Defined cases: a null or empty text is one empty line; an empty key is never dropped; a document whose lines all go keeps the
 empty text; repeated rows are documents of their own (each counts); null doc_ids are ordinary; an empty table gives no rows;
@@ -23,17 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_BYTES, LOWER, chunks, free_names, new_path, read_documents, remove, table
+from .shared import CHUNK_BYTES, LOWER, chunks, free_names, load, new_path, read_documents, remove, save, table
 
 MIN_DOCS = 10
 MIN_CHARS = 1
-SHARDS = 64
-#: Droppable keys (16 bytes each, and 2 to 4 in the filters) up to which they are sent to the tasks.
+SHARDS, MOST_SHARDS, SHARD_KEYS = 16, 1 << 16, 500_000
+#: Droppable keys of 16 bytes that are sent to the tasks.
 BROADCAST_KEYS = 2_000_000
-FILTER_BROADCAST_BYTES = 64 << 20
 _BLANKS = b" \t\n\x0b\x0c\r"
 _LOWER = LOWER.tobytes()
 _UPPER_AZ, _LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,8 +45,11 @@ class CuckooFilter:
 
     SLOTS, KICKS = 4, 500
 
-    def __init__(self, capacity: int = 0, state: bytes | None = None):
-        if state is not None:
+    def __init__(self, capacity: int = 0, state: bytes | None = None, arrays: list[np.ndarray] | None = None):
+        if arrays is not None:
+            self.n, self.size = (int(x) for x in arrays[0])
+            self.cells = np.array(arrays[1])
+        elif state is not None:
             self.n, self.size = struct.unpack("<QQ", state[:16])
             self.cells = np.frombuffer(state[16:], "<u2").copy()
         else:
@@ -85,6 +89,20 @@ class CuckooFilter:
                 return True
         return False
 
+    def insert_many(self, keys: list[bytes]) -> bool:
+        """Into an empty filter: four keys a bucket by sorting, the rest one by one."""
+        if not keys:
+            return True
+        raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
+        first = np.ascontiguousarray(raw[:, :8]).view("<u8").ravel() & np.uint64(self.size - 1)
+        marks = np.ascontiguousarray(raw[:, 8:10]).view("<u2").ravel() % 65535 + 1
+        order = np.argsort(first, kind="stable")
+        place = np.arange(len(order)) - np.searchsorted(first[order], first[order])
+        fits = place < self.SLOTS
+        self.cells[first[order][fits].astype(np.int64) * self.SLOTS + place[fits]] = marks[order][fits]
+        self.n += int(fits.sum())
+        return all(self.insert(keys[i]) for i in order[~fits].tolist())
+
     def delete(self, key: bytes) -> bool:
         a, b, mark = self.places(key)
         for bucket in (a, b):
@@ -107,7 +125,7 @@ def built(keys: list[bytes]) -> CuckooFilter:
     capacity = len(keys)
     while True:
         out = CuckooFilter(capacity)
-        if all(out.insert(k) for k in keys):
+        if out.insert_many(keys):
             return out
         capacity = capacity * 2 + 8
 
@@ -129,8 +147,8 @@ def reference_counts(docs: DataFrame) -> DataFrame:
     return lines.select(F.unhex(F.md5(F.col("line").cast("binary"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def _shard(key):
-    return F.conv(F.hex(F.substring(key, 16, 1)), 16, 10).cast("int") % SHARDS
+def _shard(key: Column, shards: int) -> Column:
+    return F.conv(F.hex(F.substring(key, 15, 2)), 16, 10).cast("int") % shards
 
 
 class LineIndex:
@@ -139,8 +157,8 @@ class LineIndex:
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS):
         self.spark, self.min_docs = spark, min_docs
         self.counts: DataFrame | None = None
-        self.filters: DataFrame | None = None
         self.paths: list[str] = []
+        self.shards = 0
 
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._change(reference_counts(docs))
@@ -149,85 +167,119 @@ class LineIndex:
         return self._change(reference_counts(docs).withColumn("n_docs", -F.col("n_docs")))
 
     def _change(self, delta: DataFrame) -> LineIndex:
-        old, least, before = self.paths, self.min_docs, self.filters
+        old, least = self.paths, self.min_docs
         self.paths = [new_path(self.spark, "lines"), new_path(self.spark, "filters")]
         if self.counts is None:
             rows = delta.select("key", F.lit(0).cast("long").alias("was"), F.col("n_docs").alias("now"))
         else:
             both = self.counts.select("key", F.col("n_docs").alias("was"), F.col("n_docs").alias("now")).unionByName(delta.select("key", F.lit(0).cast("long").alias("was"), F.col("n_docs").alias("now")))
             rows = both.groupBy("key").agg(F.sum("was").alias("was"), F.sum("now").alias("now"))
-        state = table(rows.where((F.col("now") != 0) | (F.col("was") != 0)).withColumn("shard", _shard(F.col("key"))), "lines", self.paths[0])
-        crossing = state.where((F.col("was") >= least) != (F.col("now") >= least)).groupBy("shard").agg(F.collect_list(F.when(F.col("now") >= least, F.col("key"))).alias("add"), F.collect_list(F.when(F.col("now") < least, F.col("key"))).alias("drop"))
-        merged = crossing.withColumn("state", F.lit(None).cast("binary")) if before is None else crossing.join(before, "shard", "full_outer").select("shard", "add", "drop", "state")
-
-        def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    add, drop = row["add"] or [], row["drop"] or []
-                    have = CuckooFilter(state=row["state"]) if row["state"] is not None else built(add)
-                    fits = row["state"] is None or all(have.insert(k) for k in add)
-                    for k in drop:
-                        have.delete(k)
-                    yield pa.RecordBatch.from_pylist([{"shard": row["shard"], "state": have.to_bytes() if fits else None}], schema=pa.schema([("shard", pa.int32()), ("state", pa.binary())]))
-
-        fresh = merged.mapInArrow(update, "shard int, state binary")
-        self.filters = table(fresh, "filters", self.paths[1])
-        if self.filters.where(F.col("state").isNull()).limit(1).count():  # a filter ran full: built anew from the exact table
-            full = state.where(F.col("now") >= least).groupBy("shard").agg(F.collect_list("key").alias("add"), F.array().cast("array<binary>").alias("drop"), F.lit(None).cast("binary").alias("state"))
-            remove(self.spark, self.paths[1])
-            self.filters = table(full.mapInArrow(update, "shard int, state binary"), "filters", self.paths[1])
+        state = table(rows.where((F.col("now") != 0) | (F.col("was") != 0)), "lines", self.paths[0])
+        if not self.shards:
+            heavy = state.where(F.col("now") >= least).count()
+            self.shards = min(MOST_SHARDS, max(SHARDS, 1 << (heavy // SHARD_KEYS).bit_length()))
+        crossing = state.where((F.col("was") >= least) != (F.col("now") >= least)).select("key", (F.col("now") >= least).alias("add"))
+        full = self._update(crossing, old[1] if old else None, range(self.shards))
+        if full:  # built anew from the exact table
+            every = state.where((F.col("now") >= least) & _shard(F.col("key"), self.shards).isin(full)).select("key", F.lit(True).alias("add"))
+            self._update(every, None, full)
         self.counts = state.where(F.col("now") != 0).select("key", F.col("now").alias("n_docs"))
         for p in old:
             remove(self.spark, p)
         return self
 
+    def _update(self, keys: DataFrame, before: str | None, shards) -> list[int]:
+        """Writes the filters of these shards, with the keys added or taken out; gives the shards whose filter ran full."""
+        path = self.paths[1]
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def close(shard: int, add: list[bytes], drop: list[bytes]) -> bool:
+                have = built(add) if before is None else CuckooFilter(arrays=load(f"{before}/{shard}"))
+                fits = before is None or all(have.insert(k) for k in add)
+                for k in drop:
+                    have.delete(k)
+                save(f"{path}/{shard}", np.array([have.n, have.size], np.uint64), have.cells)
+                return not fits
+
+            full: list[int] = []
+            at, lists = None, {True: [], False: []}
+            for batch in batches:
+                for shard, key, add in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "add"))):
+                    if shard != at:
+                        if at is not None and close(at, lists[True], lists[False]):
+                            full.append(at)
+                        at, lists = shard, {True: [], False: []}
+                    if key is not None:
+                        lists[add].append(key)
+            if at is not None and close(at, lists[True], lists[False]):
+                full.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32())], names=["shard"])
+
+        every = self.spark.createDataFrame([(i, None, True) for i in shards], "shard int, key binary, add boolean")  # unchanged ones too
+        rows = keys.select(_shard(F.col("key"), self.shards).alias("shard"), "key", "add").unionByName(every)
+        n = min(self.shards, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return [r[0] for r in rows.repartition(n, "shard").sortWithinPartitions("shard", "key").mapInArrow(go, "shard int").collect()]
+
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs with n_lines, n_dropped and kept (the text that stays); the other columns as they were."""
-        heavy = self.counts.where(F.col("n_docs") >= self.min_docs).select("key")
-        names = docs.columns
-        out = _schema(docs)
+        heavy = self.counts.where(F.col("n_docs") >= self.min_docs)
+        out, path, shards = _schema(docs), self.paths[1], self.shards
         if heavy.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-            exact = self.spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in heavy.toLocalIterator()))
-            filters = self.spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in self.filters.toLocalIterator()})
+            known = self.spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in heavy.select("key").toLocalIterator()))
 
             def go(batches):
-                probe = Probe(filters.value)
+                probe = Probe(path, shards)
                 for batch in chunks(batches, limit=CHUNK_BYTES):
-                    yield _dropped(batch, out.fieldNames(), [{i for i, k in enumerate(line_keys(t or "")) if k and k in probe and k in exact.value} for t in batch.column("text").to_pylist()])
+                    yield _dropped(batch, out.fieldNames(), [{i for i, k in enumerate(line_keys(t or "")) if k and k in probe and k in known.value} for t in batch.column("text").to_pylist()])
 
             return docs.mapInArrow(go, out)
-        state = self.filters.agg(F.sum(F.length("state"))).first()[0] or 0
-        filters = self.spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in self.filters.toLocalIterator()}) if state <= FILTER_BROADCAST_BYTES else None
-        own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.expr("uuid()").alias("rid"))
+        sizes = {r[0]: r[1] for r in heavy.groupBy(F.floor(F.log2("n_docs")).cast("int")).count().collect()}  # a row for each power of two
+        least = next(p for p in range(65) if sum(n for q, n in sizes.items() if q >= p) <= BROADCAST_KEYS)
+        common = self.spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in heavy.where(F.col("n_docs") >= F.lit(2.0**least)).select("key").toLocalIterator()))
+        rare = heavy.where(F.col("n_docs") < F.lit(2.0**least)).select("key")
+        own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.expr("uuid()").alias("rid"))
         own = table(own, "lines-rows")  # uuid() must be drawn once
 
         def passing(batches):
-            probe = Probe(filters.value) if filters is not None else None
+            probe = Probe(path, shards)
             for batch in chunks(batches, limit=CHUNK_BYTES):
-                found = [(r, i, k) for r, t in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist()) for i, k in enumerate(line_keys(t)) if k and (probe is None or k in probe)]
+                found = [(r, i, k) for r, t in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist()) for i, k in enumerate(line_keys(t)) if k and k not in common.value and k in probe]
                 yield pa.RecordBatch.from_pydict({"rid": [x[0] for x in found], "line": pa.array([x[1] for x in found], pa.int32()), "key": pa.array([x[2] for x in found], pa.binary())}, schema=pa.schema([("rid", pa.string()), ("line", pa.int32()), ("key", pa.binary())]))
 
-        gone = own.select("rid", "text").mapInArrow(passing, "rid string, line int, key binary").join(heavy, "key").groupBy("rid").agg(F.collect_list("line").alias("gone"))
+        gone = own.select("rid", "text").mapInArrow(passing, "rid string, line int, key binary").join(rare, "key").groupBy("rid").agg(F.collect_list("line").alias("gone"))
 
         def go_joined(batches):
             for batch in batches:
                 rows = pa.RecordBatch.from_struct_array(batch.column("row"))
-                yield _dropped(rows, out.fieldNames(), [set(x or ()) for x in batch.column("gone").to_pylist()])
+                lost = [set(x or ()) | {i for i, k in enumerate(line_keys(t or "")) if k in common.value} for x, t in zip(batch.column("gone").to_pylist(), rows.column("text").to_pylist())]
+                yield _dropped(rows, out.fieldNames(), lost)
 
         return own.join(gone, "rid", "left").select("row", "gone").mapInArrow(go_joined, out)
 
 
+_PROBED: dict[str, tuple[int, memoryview]] = {}
+
+
 class Probe:
-    """The filters of all shards, read once per task."""
+    """The filters in their files, each mapped when it is first asked."""
+
+    def __init__(self, path: str, shards: int):
+        self.path, self.shards, self.marks = path, shards, {}
 
-    def __init__(self, states: dict[int, bytes]):
-        self.filters = {shard: CuckooFilter(state=s) for shard, s in states.items()}
-        self.marks = {shard: (f.size, memoryview(f.cells)) for shard, f in self.filters.items()}
+    def _open(self, shard: int) -> tuple[int, memoryview]:
+        uri = f"{self.path}/{shard}"
+        if uri not in _PROBED:
+            if len(_PROBED) > MOST_SHARDS:
+                _PROBED.clear()
+            head, cells = load(uri)
+            _PROBED[uri] = int(head[1]), memoryview(cells)
+        return _PROBED[uri]
 
     def __contains__(self, key: bytes) -> bool:
-        found = self.marks.get(key[15] % SHARDS)
+        shard = (key[14] << 8 | key[15]) % self.shards
+        found = self.marks.get(shard)
         if found is None:
-            return False
+            found = self.marks[shard] = self._open(shard)
         size, cells = found
         mark = int.from_bytes(key[8:10], "little") % 65535 + 1
         a = int.from_bytes(key[:8], "little") & (size - 1)

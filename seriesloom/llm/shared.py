@@ -106,11 +106,12 @@ def crc_mod(col: str, n: int) -> Column:
 
 
 # -------------------------------------------------------------------------------------------------- files of arrays
-_U32, _U64 = np.dtype("<u4"), np.dtype("<u8")
+_U64 = np.dtype("<u8")
 
 
 def save(uri: str, *arrays: np.ndarray) -> None:
-    """Header (number of arrays, then item size and length of each) and the arrays; a retry replaces the file whole."""
+    """Header (number of arrays, then item size and length of each) and the arrays, of unsigned integers; a retry replaces the file
+    whole."""
     head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], _U64)
     if uri.startswith(("file:", "/")):
         path = uri.removeprefix("file://").removeprefix("file:")
@@ -145,7 +146,7 @@ def load(uri: str) -> list[np.ndarray]:
     n = int(raw[:8].view(_U64)[0])
     facts, at, out = raw[8 : 8 + 16 * n].view(_U64), 8 + 16 * n, []
     for size, length in zip(facts[::2].tolist(), facts[1::2].tolist()):
-        out.append(raw[at : at + size * length].view(_U32 if size == 4 else _U64))
+        out.append(raw[at : at + size * length].view(f"<u{size}"))
         at += size * length
     return out
 

@@ -316,11 +316,12 @@ def brute_lines(texts, least):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("limit,filter_bytes", [(10**6, 10**6), (0, 10**6), (0, 0)])
-def test_lines(spark, monkeypatch, limit, filter_bytes):
+@pytest.mark.parametrize("limit,shard_keys", [(10**6, 10**6), (0, 10**6), (1, 1)])
+def test_lines(spark, monkeypatch, limit, shard_keys):
+    """Keys sent to the tasks; joined; and the most frequent sent, the others joined, over many shards."""
     monkeypatch.setattr(linededup, "BROADCAST_KEYS", limit)
-    monkeypatch.setattr(linededup, "FILTER_BROADCAST_BYTES", filter_bytes)
-    df = messy(spark)
+    monkeypatch.setattr(linededup, "SHARD_KEYS", shard_keys)
+    df = messy(spark, corpus() + [f"own line {i}\nTwelve times\nthirteen times" for i in range(12)] + ["thirteen TIMES "])
     texts = [r[0] for r in df.select("text").collect()]
     out = linededup.LineIndex(spark).insert(df).apply(df)
     assert collections.Counter((r["n_lines"], r["n_dropped"], r["kept"]) for r in rows_of(out)) == brute_lines(texts, 10)
@@ -340,6 +341,15 @@ def test_lines_are_reversible(spark):
     assert linededup.LineIndex(spark).insert(empty(spark)).apply(empty(spark)).count() == 0
 
 
+def test_a_full_filter_is_built_anew(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARDS", 2)
+    first = spark.createDataFrame([(0, "a\nb")], "doc_id long, text string")
+    many = spark.createDataFrame([(i, "\n".join(f"line {j}" for j in range(400))) for i in range(1, 3)], "doc_id long, text string")
+    both = first.unionByName(many)
+    index = linededup.LineIndex(spark, 1).insert(first).insert(many)
+    assert collections.Counter((r["n_lines"], r["n_dropped"], r["kept"]) for r in rows_of(index.apply(both))) == brute_lines([r[1] for r in both.collect()], 1)
+
+
 def test_cuckoo_filter():
     keys = [hashlib.md5(str(i).encode()).digest() for i in range(3000)]
     f = linededup.built(keys)
