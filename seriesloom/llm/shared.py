@@ -26,7 +26,11 @@ _CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LIBC = ctypes.CDLL(None)
-pa.set_memory_pool(pa.system_memory_pool())  # the default pool never shrinks; see trim()
+# Where operators run, memory is to go back when it is free: workers live on between tasks, and what they keep counts against their
+# executor. The default Arrow pool never shrinks, and glibc by itself soon keeps all but the largest arrays; see trim() too.
+pa.set_memory_pool(pa.system_memory_pool())
+if hasattr(_LIBC, "mallopt"):
+    _LIBC.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
 WORD = r"[^\x20\x09-\x0D]+"
 
 

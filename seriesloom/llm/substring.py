@@ -38,8 +38,8 @@ from .shared import Words, chunks, drop, free_names, mix, ranges_hash, read_docu
 
 LENGTH = 35
 SEED = 16
-#: Suffixes of a subtree, of about 100 bytes each while it is sorted, and suffixes that a task sorts at once.
-GROUP, FLUSH = 50_000, 400_000
+#: Suffixes of a subtree, of about 500 bytes each while it is sorted, and suffixes that a task sorts at once.
+GROUP, FLUSH = 50_000, 100_000
 BROADCAST_SEEDS = 4_000_000
 BROADCAST_SPANS = 2_000_000
 CHUNK = 1 << 20
@@ -108,6 +108,12 @@ def _known(keys: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 _ROWS = pa.schema([("part", pa.int64()), ("rid", pa.int64()), ("at", pa.int32()), ("upto", pa.int32()), ("paths", pa.binary())])
 
 
+def _lists(paths: np.ndarray, ends: np.ndarray | None = None) -> pa.Array:
+    """Runs of paths, up to each end, or one by one, as a binary array (made from buffers: from memoryviews Arrow keeps them)."""
+    bounds = np.append(0, np.arange(1, len(paths) + 1) if ends is None else ends).astype(np.int32) * 8
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(paths)])
+
+
 def _suffixes(shared):
     """Rows (part, rid, at, upto, paths): windows from at on under one prefix; a null rid for a deep node; with null paths a span
     of words that is decided."""
@@ -130,9 +136,8 @@ def _suffixes(shared):
                 total = many[normal]
                 ends = np.cumsum(total)
                 spots = np.repeat(first[normal] - (ends - total), total) + np.arange(ends[-1])
-                raw = memoryview(ranges_hash(hashes, spots, spots + LENGTH)).cast("B")
                 docs = words.doc[first[normal]]
-                out.append((seeds[normal].view(np.int64), rids[docs], first[normal] - base[docs], np.zeros(len(normal)), [raw[8 * (e - t) : 8 * e] for e, t in zip(ends.tolist(), total.tolist())]))
+                out.append((seeds[normal].view(np.int64), rids[docs], first[normal] - base[docs], np.zeros(len(normal)), _lists(ranges_hash(hashes, spots, spots + LENGTH), ends)))
             large = np.flatnonzero(hot)
             if len(large):
                 total = many[large]
@@ -143,9 +148,9 @@ def _suffixes(shared):
                 docs = words.doc[spots]
                 met = counts[inverse] > 1
                 single = np.flatnonzero(~met)
-                out.append((mix(paths[single]).view(np.int64), rids[docs[single]], spots[single] - base[docs[single]], np.zeros(len(single)), [p.tobytes() for p in paths[single]]))
+                out.append((mix(paths[single]).view(np.int64), rids[docs[single]], spots[single] - base[docs[single]], np.zeros(len(single)), _lists(paths[single])))
                 deep = node[counts > 1]
-                out.append((mix(deep).view(np.int64), None, np.zeros(len(deep)), np.zeros(len(deep)), [p.tobytes() for p in deep]))
+                out.append((mix(deep).view(np.int64), None, np.zeros(len(deep)), np.zeros(len(deep)), _lists(deep)))
                 done = np.flatnonzero(met)
                 if len(done):
                     edge = np.concatenate([[True], (spots[done][1:] != spots[done][:-1] + 1) | (docs[done][1:] != docs[done][:-1])])
@@ -154,7 +159,7 @@ def _suffixes(shared):
                     out.append((rids[docs[a]], rids[docs[a]], spots[a] - base[docs[a]], spots[b] + LENGTH - base[docs[b]], None))
             for part, rid, at, upto, paths in out:
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(n, pa.int64()) if rid is None else pa.array(rid), pa.array(at.astype(np.int32)), pa.array(upto.astype(np.int32)), pa.nulls(n, pa.binary()) if paths is None else pa.array(paths, pa.binary())], schema=_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(n, pa.int64()) if rid is None else pa.array(rid), pa.array(at.astype(np.int32)), pa.array(upto.astype(np.int32)), pa.nulls(n, pa.binary()) if paths is None else paths], schema=_ROWS)
 
     return go
 
@@ -165,11 +170,11 @@ def depths(paths: np.ndarray, left: np.ndarray) -> np.ndarray:
     n = len(paths)
     here = np.arange(n)
     _, rank = np.unique(paths, return_inverse=True)
-    ranks, width = [rank], 1
+    ranks, width = [rank.astype(np.int32)], 1
     while width < left.max() and ranks[-1].max() + 1 < n:
-        rank = ranks[-1]
+        rank = ranks[-1].astype(np.int64)
         follow = np.where(left > width, rank[np.minimum(here + width, n - 1)] + 1, 0)
-        ranks.append(np.unique(rank * (n + 1) + follow, return_inverse=True)[1])
+        ranks.append(np.unique(rank * (n + 1) + follow, return_inverse=True)[1].astype(np.int32))
         width *= 2
     order = np.argsort(ranks[-1], kind="stable")
     common = np.zeros(n + 1, np.int64)  # of neighbours in suffix order, with none before the first and after the last
