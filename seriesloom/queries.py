@@ -6,6 +6,8 @@ Labels come out as flat columns and values rounded, so both sides compare by val
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from .sources.groups import SourceGroup, TimeRange
 from .sources.model import epoch_ms, events_samples, events_source, label, labels_of
 
 DAY = 86_400_000
-START, END = 1_704_153_600_000, 1_706_572_800_000  # 2024-01-02 and 2024-01-30, UTC
+START, END = 1_704_153_600_000, 1_706_659_200_000  # 2024-01-02 and 2024-01-31, UTC: the events' days end there
 LOOKBACK = 2 * DAY
 
 
@@ -79,6 +81,17 @@ def _pairs(fn: str, sql: str, arg: str = SEL) -> tuple:
     return promql(f"{fn}({arg})", *UT), inst(f"SELECT event_type, user_id, step, round(({sql})::DOUBLE, 6) AS value FROM i")
 
 
+def info_join(spark, sf_dir: str) -> DataFrame:
+    """A label that only the info series has, by instance and job."""
+    from .sources.model import NAME, TableSource
+
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    own = {"job": F.col("event_type"), "instance": F.col("user_id")}
+    v = TableSource(ev, {NAME: F.lit("v"), **own}, "ts", F.col("value"))
+    info = TableSource(ev, {NAME: F.lit("target_info"), **own, "tier": F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string"))}, "ts", F.lit(1.0))
+    return flat(_engine(spark, sf_dir, [SourceGroup([v]), SourceGroup([info])], mode="union").query_range("sum by (tier) (info(v))", START, END, DAY), "tier")
+
+
 TABLE: dict[str, tuple] = {
     # selectors
     "promql_sum_count_over_time": (
@@ -119,7 +132,10 @@ TABLE: dict[str, tuple] = {
     "range_ts_of_last": (promql("ts_of_last_over_time(events_value[7d])", *UT), over("max(ts) / 1000.0")),
     "range_ts_of_max": (promql("ts_of_max_over_time(events_value[7d])", *UT), over("max((v, ts))[2] / 1000.0")),
     "range_ts_of_min": (promql("ts_of_min_over_time(events_value[7d])", *UT), over("-min((v, -ts))[2] / 1000.0")),
-    "range_smoothing": (promql("double_exponential_smoothing(events_value[14d], 0.5, 0.3)", *UT), None),
+    "range_smoothing": (promql("double_exponential_smoothing(events_value[14d], 0.5, 0.3)", *UT), f"""WITH RECURSIVE {window(14)}, o AS (SELECT event_type, user_id, step, v, row_number() OVER (PARTITION BY event_type, user_id, step ORDER BY ts) n, count(*) OVER (PARTITION BY event_type, user_id, step) m FROM w),
+      f AS (SELECT a.event_type, a.user_id, a.step, a.m, 1::BIGINT n, a.v s, b.v - a.v b FROM o a JOIN o b USING (event_type, user_id, step) WHERE a.n = 1 AND b.n = 2
+        UNION ALL SELECT f.event_type, f.user_id, f.step, f.m, o.n, 0.5 * o.v + 0.5 * (f.s + f.b), 0.3 * (0.5 * o.v + 0.5 * (f.s + f.b) - f.s) + 0.7 * f.b FROM f JOIN o ON o.event_type = f.event_type AND o.user_id = f.user_id AND o.step = f.step AND o.n = f.n + 1)
+      SELECT event_type, user_id, step, round(s, 6) AS value FROM f WHERE n = m"""),
     "absent_over_time": (promql('absent_over_time(events_value{event_type="error",user_id="1"}[1d])', *UT), f"WITH {GRID}, {EV} SELECT 'error' AS event_type, '1' AS user_id, step, 1.0::DOUBLE AS value FROM g WHERE NOT EXISTS (SELECT 1 FROM e WHERE event_type = 'error' AND user_id = '1' AND ts > step - {DAY} AND ts <= step)"),
     # aggregations
     **{f"agg_{op}_by": (promql(f"{op} by (event_type) (events_value)", "event_type"), inst(f"SELECT event_type, step, round(({sql})::DOUBLE, 6) AS value FROM i GROUP BY ALL")) for op, sql in {"sum": "sum(v)", "avg": "avg(v)", "min": "min(v)", "max": "max(v)", "count": "count(*)", "stddev": "stddev_pop(v)", "stdvar": "var_pop(v)"}.items()},
@@ -133,7 +149,11 @@ TABLE: dict[str, tuple] = {
     "agg_count_values": (promql('count_values by (event_type) ("v", floor(events_value / 10))', "event_type", "v"), inst("SELECT event_type, floor(v / 10)::BIGINT::VARCHAR AS v, step, count(*)::DOUBLE AS value FROM i GROUP BY event_type, floor(v / 10)::BIGINT::VARCHAR, step")),
     "agg_count_distinct": (promql("count(count by (user_id) (events_value))"), inst("SELECT step, count(DISTINCT user_id)::DOUBLE AS value FROM i GROUP BY ALL")),
     "agg_limitk": (promql("count by (event_type) (limitk by (event_type) (4, events_value))", "event_type"), inst("SELECT event_type, step, least(count(*), 4)::DOUBLE AS value FROM i GROUP BY ALL")),
-    "agg_limit_ratio": (promql("count by (event_type) (limit_ratio(1, events_value))", "event_type"), inst("SELECT event_type, step, count(*)::DOUBLE AS value FROM i GROUP BY ALL")),
+    "agg_limit_ratio": (promql("count(limit_ratio(0.4, events_value)) + count(limit_ratio(-0.6, events_value))"), inst("SELECT step, count(*)::DOUBLE AS value FROM i GROUP BY ALL")),  # a share and its complement
+    "agg_limit_ratio_share": (promql("abs(count(limit_ratio(0.4, events_value)) / count(events_value) - 0.4) < bool 0.15"), inst("SELECT DISTINCT step, 1.0::DOUBLE AS value FROM i")),
+    "agg_bottomk_scalar": (promql('bottomk by (event_type) (scalar(count(events_value)) % 3 + 1, events_value)', *UT), inst("SELECT event_type, user_id, step, round(v, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, step ORDER BY v, '\"' || event_type || '\"},{\"key\":\"user_id\",\"value\":\"' || user_id || '\"') r, count(*) OVER (PARTITION BY step) n FROM i) WHERE r <= n % 3 + 1")),
+    "agg_quantile_scalar": (promql('quantile by (event_type) (scalar(count(events_value{event_type="view"}) / count(events_value)), events_value)', "event_type"), inst("""SELECT event_type, step, round(l[floor(r)::INT + 1] * (1 - (r - floor(r))) + l[least(len(l), floor(r)::INT + 2)] * (r - floor(r)), 6) AS value FROM (SELECT *, q * (len(l) - 1) r
+      FROM (SELECT event_type, step, list_sort(list(v)) l FROM i GROUP BY ALL) JOIN (SELECT step, count(*) FILTER (event_type = 'view') / count(*)::DOUBLE q FROM i GROUP BY ALL) USING (step))""")),
     # operators
     "op_arithmetic": (promql("(events_value + 1) * 2 - 3 / 4", *UT), inst("SELECT event_type, user_id, step, round((v + 1) * 2 - 0.75, 6) AS value FROM i")),
     "op_modulo_power": (promql("events_value % 7 + events_value ^ 2", *UT), inst("SELECT event_type, user_id, step, round(v % 7 + v ^ 2, 6) AS value FROM i")),
@@ -148,11 +168,12 @@ TABLE: dict[str, tuple] = {
     "join_on": (promql('events_value{event_type="view"} + on(user_id) events_value{event_type="click"}', "user_id"), inst("SELECT a.user_id, step, round(a.v + b.v, 6) AS value FROM i a JOIN i b USING (user_id, step) WHERE a.event_type = 'view' AND b.event_type = 'click'")),
     "join_ignoring": (promql('events_value{event_type="view"} - ignoring(event_type) events_value{event_type="click"}', "user_id"), inst("SELECT a.user_id, step, round(a.v - b.v, 6) AS value FROM i a JOIN i b USING (user_id, step) WHERE a.event_type = 'view' AND b.event_type = 'click'")),
     "join_group_left": (promql("events_value / on(event_type) group_left() sum by (event_type) (events_value)", *UT), inst("SELECT i.event_type, user_id, i.step, round(v / s, 6) AS value FROM i JOIN (SELECT event_type, step, sum(v) s FROM i GROUP BY ALL) t ON t.event_type = i.event_type AND t.step = i.step")),
+    "join_group_left_label": (promql('events_value{event_type="view"} * on(user_id) group_left(kind) label_replace(events_value{event_type="click"}, "kind", "k$1", "user_id", "(.).*")', *UT, "kind"), inst("SELECT 'view' AS event_type, a.user_id, 'k' || a.user_id[1:1] AS kind, a.step, round(a.v * b.v, 6) AS value FROM i a JOIN i b USING (user_id, step) WHERE a.event_type = 'view' AND b.event_type = 'click'")),
     "join_group_right": (promql("count by (event_type) (events_value) * on(event_type) group_right() events_value", *UT), inst("SELECT i.event_type, user_id, i.step, round(v * n, 6) AS value FROM i JOIN (SELECT event_type, step, count(*) n FROM i GROUP BY ALL) t ON t.event_type = i.event_type AND t.step = i.step")),
     "set_and": (promql('events_value and on(user_id) events_value{event_type="error"}', *UT), inst("SELECT event_type, user_id, step, round(v, 6) AS value FROM i WHERE EXISTS (SELECT 1 FROM i b WHERE b.event_type = 'error' AND b.user_id = i.user_id AND b.step = i.step)")),
     "set_unless": (promql('events_value unless on(user_id) events_value{event_type="error"}', *UT), inst("SELECT event_type, user_id, step, round(v, 6) AS value FROM i WHERE NOT EXISTS (SELECT 1 FROM i b WHERE b.event_type = 'error' AND b.user_id = i.user_id AND b.step = i.step)")),
     "set_or": (promql('events_value{event_type="view"} or on(user_id) events_value{event_type="click"}', *UT), inst("SELECT event_type, user_id, step, round(v, 6) AS value FROM i WHERE event_type = 'view' OR event_type = 'click' AND NOT EXISTS (SELECT 1 FROM i b WHERE b.event_type = 'view' AND b.user_id = i.user_id AND b.step = i.step)")),
-    "info_join": (lambda spark, d: flat(_engine(spark, d, [SourceGroup([events_source(spark, d)])]).query_range('count by (event_type) (info(events_value, {__name__="events_value"}))', START, END, DAY), "event_type"), inst("SELECT event_type, step, count(*)::DOUBLE AS value FROM i GROUP BY ALL")),
+    "info_join": (info_join, inst("SELECT 't' || (user_id::BIGINT % 3) AS tier, step, round(sum(v), 6) AS value FROM i GROUP BY ALL")),
     # instant functions
     **{f"fn_{f}": _pairs(f, sql) for f, sql in {"abs": "abs(v)", "ceil": "ceil(v)", "floor": "floor(v)", "sqrt": "CASE WHEN v < 0 THEN 'nan'::DOUBLE ELSE sqrt(v) END", "ln": "CASE WHEN v > 0 THEN ln(v) WHEN v = 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END", "log2": "CASE WHEN v > 0 THEN log2(v) WHEN v = 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END", "log10": "CASE WHEN v > 0 THEN log10(v) WHEN v = 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END", "sgn": "sign(v)", "deg": "degrees(v)", "rad": "radians(v)", "sin": "sin(v)", "cos": "cos(v)", "tan": "tan(v)", "atan": "atan(v)", "asinh": "asinh(v)"}.items()},
     **{f"fn_{f}": _pairs(f, sql, "events_value / 1000") for f, sql in {"exp": "exp(v / 1000)", "sinh": "sinh(v / 1000)", "cosh": "cosh(v / 1000)", "tanh": "tanh(v / 1000)", "atanh": "CASE WHEN abs(v / 1000) < 1 THEN atanh(v / 1000) WHEN v = 1000 THEN 'inf'::DOUBLE WHEN v = -1000 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END", "acos": "CASE WHEN abs(v / 1000) <= 1 THEN acos(v / 1000) ELSE 'nan'::DOUBLE END", "asin": "CASE WHEN abs(v / 1000) <= 1 THEN asin(v / 1000) ELSE 'nan'::DOUBLE END"}.items()},
@@ -206,6 +227,20 @@ def gap_fill(spark, sf_dir):
     return _raw(_engine(spark, sf_dir, split(spark, sf_dir), gap_ms=3 * DAY).samples(()), "backend", *UT)
 
 
+def gap_fill_auto(spark, sf_dir):
+    """With the automatic threshold: twice the median interval of the winner, else of the filler."""
+    return _raw(_engine(spark, sf_dir, split(spark, sf_dir)).samples(()), "backend", *UT)
+
+
+def exact_mode_filled(spark, sf_dir):
+    return flat(_engine(spark, sf_dir, split(spark, sf_dir), gap_ms=_GAP).query_range("sum by (event_type) (events_value)", START, END, DAY), "event_type")
+
+
+def ha_merge_dynamic(spark, sf_dir):
+    a, b = (g.replicas[0] for g in split(spark, sf_dir, labels=False))
+    return _raw(SourceGroup([a, b], anti_affinity_ms=6 * 3_600_000, anti_affinity_dynamic=True).samples(), *UT)
+
+
 def ha_merge(spark, sf_dir):
     a, b = (g.replicas[0] for g in split(spark, sf_dir, labels=False))
     return _raw(SourceGroup([a, b], anti_affinity_ms=6 * 3_600_000).samples(), *UT)
@@ -289,6 +324,40 @@ def native(fn: str):
     return run
 
 
+def native_days(query: str):
+    """query over native histograms h of each type's events up to the end of each day, and d of each day's own."""
+
+    def run(spark, sf_dir: str) -> DataFrame:
+        from pyspark.sql import Window
+
+        from .sources.model import HIST, NAME, key_of
+
+        ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+        ev = ev.select("event_type", (F.floor(epoch_ms(ev, "ts") / DAY) * DAY + DAY).cast("bigint").alias("ts_ms"), (F.floor(F.col("value") / 20) * 20.0).alias("low"), "value")
+        days = ev.select("event_type", "ts_ms").distinct()
+        own = ev.groupBy("event_type", "ts_ms", "low").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("s"))
+        every = days.join(ev.select("event_type", "low").distinct(), "event_type").join(own, ["event_type", "ts_ms", "low"], "left")
+        sofar = Window.partitionBy("event_type", "low").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
+        grown = every.select("event_type", "ts_ms", "low", F.sum("n").over(sofar).alias("n"), F.sum("s").over(sofar).alias("s")).where("n IS NOT NULL")
+
+        def samples_of(rows: DataFrame, name: str) -> DataFrame:
+            one = F.struct(F.col("low").alias("lower"), (F.col("low") + 20.0).alias("upper"), F.col("n").alias("count"))
+            by = rows.groupBy("event_type", "ts_ms").agg(F.sum("n").alias("count"), F.sum("s").alias("sum"), F.array_sort(F.collect_list(one)).alias("buckets"))
+            hist = F.struct(F.lit(-53).alias("schema"), "count", "sum", F.lit(0.0).alias("zero_threshold"), F.lit(0.0).alias("zero_count"), "buckets").cast(HIST)
+            labels = F.create_map(F.lit(NAME), F.lit(name), F.lit("event_type"), F.col("event_type"))
+            out = by.select(F.lit(0).alias("group_ord"), F.lit(0).alias("replica"), labels.alias("labels"), "ts_ms", F.lit(None).cast("double").alias("value"), F.lit(False).alias("stale"), hist.alias("hist"))
+            return out.withColumn("lkey", key_of(F.col("labels")))
+
+        source = samples_of(grown, "h").unionByName(samples_of(own, "d"))
+        return flat(_engine(spark, sf_dir, [SourceGroup([source])]).query_range(query, START, END, DAY), "event_type")
+
+    return run
+
+
+_NDAYS = f"""WITH {GRID}, o AS (SELECT event_type, (epoch_us(ts) // 1000) // {DAY} * {DAY} + {DAY} ts, count(*)::DOUBLE n, sum(value) s FROM events GROUP BY ALL),
+c AS (SELECT event_type, ts, sum(n) OVER (PARTITION BY event_type ORDER BY ts) n, sum(s) OVER (PARTITION BY event_type ORDER BY ts) s FROM o)"""
+
+
 def synthetic_source(spark, sf_dir):
     from .sources.formats import synthetic
     from .sources.model import Grid
@@ -310,6 +379,14 @@ def meta_series(spark, sf_dir):
     return out.select(label(F.col("labels"), "user_id").alias("user_id"))
 
 
+def cardinality_tables(spark, sf_dir):
+    """All five tables, one under another."""
+    found = _engine(spark, sf_dir).cardinality(10, "event_type")
+    totals = found.pop("totals").select("group_ord", F.explode(F.create_map(F.lit("series"), F.col("series"), F.lit("label_pairs"), F.col("label_pairs"))).alias("name", "n"))
+    parts = [t.select(F.lit(k).alias("what"), "group_ord", "name", F.col("n").cast("bigint").alias("n")) for k, t in {"totals": totals, **found}.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def cardinality_top(spark, sf_dir):
     return _engine(spark, sf_dir).cardinality(10)["series_by_pair"]
 
@@ -322,7 +399,7 @@ def federate_latest(spark, sf_dir):
 def exposition_lines(spark, sf_dir):
     from .sources.formats import exposition
 
-    ev = events_samples(spark, sf_dir).where("value = floor(value) OR value < 1e6").withColumn("value", F.floor("value").cast("double"))
+    ev = events_samples(spark, sf_dir).withColumn("value", F.floor("value").cast("double"))
     return exposition(ev).withColumnRenamed("value", "line")
 
 
@@ -348,10 +425,22 @@ def source_stats(spark, sf_dir):
 _DEDUP = f"WITH {_AB}, ka AS (SELECT DISTINCT event_type, user_id FROM a), d AS (SELECT 'a' backend, * FROM a UNION ALL SELECT 'b', b.* FROM b ANTI JOIN ka USING (event_type, user_id))"
 _INST_D = f"{GRID}, i AS (SELECT backend, event_type, user_id, step, arg_max(v, ts) v FROM g JOIN d ON ts > step - {LOOKBACK} AND ts <= step GROUP BY ALL)"
 _GAP = 3 * DAY
+#: Samples of b beside a's of the same series, with a's neighbours.
+_FILLED = f"""{_DEDUP}, n AS (SELECT b.*, (SELECT max(ts) FROM a WHERE a.event_type = b.event_type AND a.user_id = b.user_id AND a.ts <= b.ts) lo, (SELECT min(ts) FROM a WHERE a.event_type = b.event_type AND a.user_id = b.user_id AND a.ts >= b.ts) hi FROM b SEMI JOIN ka USING (event_type, user_id))"""
+_MEDIANS = ", ".join(f"m{t} AS (SELECT event_type, user_id, list_sort(list(g))[count(*) // 2 + 1] g FROM (SELECT event_type, user_id, ts - lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts) g FROM {t}) WHERE g > 0 GROUP BY ALL)" for t in "ab")
 OTHERS: dict[str, tuple] = {
     "dedup_groups": (dedup_groups, f"{_DEDUP} SELECT backend, event_type, user_id, ts, round(v, 6) AS value FROM d"),
-    "gap_fill": (gap_fill, f"""{_DEDUP}, n AS (SELECT b.*, (SELECT max(ts) FROM a WHERE a.event_type = b.event_type AND a.user_id = b.user_id AND a.ts <= b.ts) lo, (SELECT min(ts) FROM a WHERE a.event_type = b.event_type AND a.user_id = b.user_id AND a.ts >= b.ts) hi FROM b SEMI JOIN ka USING (event_type, user_id))
+    "gap_fill": (gap_fill, f"""{_FILLED}
       SELECT backend, event_type, user_id, ts, round(v, 6) AS value FROM d UNION ALL SELECT 'a', event_type, user_id, ts, round(v, 6) FROM n WHERE (lo IS NULL OR hi IS NULL OR hi - lo >= {_GAP}) AND (lo IS NULL OR ts > lo + {_GAP // 4}) AND (hi IS NULL OR ts < hi - {_GAP // 4})"""),
+    "gap_fill_auto": (gap_fill_auto, f"""{_FILLED}, {_MEDIANS}, t AS (SELECT n.*, coalesce(2 * ma.g, 2 * mb.g, 1) gap FROM n LEFT JOIN ma USING (event_type, user_id) LEFT JOIN mb USING (event_type, user_id))
+      SELECT backend, event_type, user_id, ts, round(v, 6) AS value FROM d UNION ALL SELECT 'a', event_type, user_id, ts, round(v, 6) FROM t WHERE (lo IS NULL OR hi IS NULL OR hi - lo >= gap) AND (lo IS NULL OR ts > lo + gap // 4) AND (hi IS NULL OR ts < hi - gap // 4)"""),
+    "exact_mode_filled": (exact_mode_filled, f"""{_FILLED}, x AS (SELECT * FROM d UNION ALL SELECT 'a', event_type, user_id, ts, v FROM n WHERE (lo IS NULL OR hi IS NULL OR hi - lo >= {_GAP}) AND (lo IS NULL OR ts > lo + {_GAP // 4}) AND (hi IS NULL OR ts < hi - {_GAP // 4})),
+      {_INST_D.replace("JOIN d ON", "JOIN x ON")} SELECT event_type, step, round(sum(v), 6) AS value FROM i GROUP BY ALL"""),
+    "ha_merge_dynamic": (ha_merge_dynamic, f"""WITH {_AB}, u AS (SELECT 0 s, * FROM a UNION ALL SELECT 1, * FROM b), c AS (SELECT *, sum(1 - s) OVER w na, sum(s) OVER w nb FROM u WINDOW w AS (PARTITION BY event_type, user_id)), k AS (SELECT *, s = CASE WHEN nb > na THEN 1 ELSE 0 END base FROM c),
+      q AS (SELECT event_type, user_id, base, ts - lag(ts) OVER (PARTITION BY event_type, user_id, base ORDER BY ts) g FROM k), z AS (SELECT event_type, user_id, list_sort(coalesce(list(g) FILTER (base AND g > 0), [])) own, list_sort(coalesce(list(g) FILTER (g > 0), [])) every FROM q GROUP BY ALL),
+      y AS (SELECT event_type, user_id, CASE WHEN len(own) >= 3 THEN own[len(own) // 2 + 1] // 2 WHEN len(every) >= 3 THEN every[len(every) // 2 + 1] // 2 ELSE 21600000 END dd FROM z),
+      x AS (SELECT *, max(CASE WHEN base THEN ts END) OVER (PARTITION BY event_type, user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) p, min(CASE WHEN base THEN ts END) OVER (PARTITION BY event_type, user_id ORDER BY ts DESC RANGE UNBOUNDED PRECEDING) n FROM k JOIN y USING (event_type, user_id))
+      SELECT event_type, user_id, ts, round(v, 6) AS value FROM x WHERE base OR CASE WHEN p IS NULL AND n IS NULL THEN true WHEN p IS NULL THEN ts < n - dd WHEN n IS NULL THEN ts > p + dd ELSE n - p > 2 * dd AND ts > p + dd AND ts < n - dd END"""),
     "ha_merge": (ha_merge, f"""WITH {_AB}, u AS (SELECT 0 s, * FROM a UNION ALL SELECT 1, * FROM b), c AS (SELECT *, sum(1 - s) OVER w na, sum(s) OVER w nb FROM u WINDOW w AS (PARTITION BY event_type, user_id)), k AS (SELECT *, s = CASE WHEN nb > na THEN 1 ELSE 0 END base FROM c),
       x AS (SELECT *, max(CASE WHEN base THEN ts END) OVER (PARTITION BY event_type, user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) p, min(CASE WHEN base THEN ts END) OVER (PARTITION BY event_type, user_id ORDER BY ts DESC RANGE UNBOUNDED PRECEDING) n FROM k)
       SELECT event_type, user_id, ts, round(v, 6) AS value FROM x WHERE base OR CASE WHEN p IS NULL AND n IS NULL THEN true WHEN p IS NULL THEN ts < n - 21600000 WHEN n IS NULL THEN ts > p + 21600000 ELSE n - p > 43200000 AND ts > p + 21600000 AND ts < n - 21600000 END"""),
@@ -373,11 +462,20 @@ OTHERS: dict[str, tuple] = {
     "hist_native_fraction": (native("histogram_fraction(20, 60, v)"), f"SELECT event_type, {START}::BIGINT AS step, round(count(*) FILTER (value >= 20 AND value < 60) / count(*), 6) AS value FROM events GROUP BY event_type"),
     "hist_native_quantile": (native("histogram_quantile(0.5, v)"), f"""WITH b AS (SELECT event_type, floor(value / 20) * 20 lo, count(*) n FROM events GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY lo) u, sum(n) OVER (PARTITION BY event_type) t FROM b)
       SELECT event_type, {START}::BIGINT AS step, round(lo + 20 * (0.5 * t - (u - n)) / n, 6) AS value FROM c WHERE u >= 0.5 * t QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY lo) = 1"""),
+    "hist_native_increase": (native_days("histogram_count(increase(h[7d]))"), f"""{_NDAYS}, w AS (SELECT event_type, step, arg_max(n, ts) - arg_min(n, ts) d, (max(ts) - min(ts))::DOUBLE s, (max(ts) - min(ts)) / (count(*) - 1)::DOUBLE m, min(ts) - step + {7 * DAY} h, step - max(ts) t FROM g JOIN c ON ts > step - {7 * DAY} AND ts <= step GROUP BY event_type, step HAVING count(*) > 1)
+      SELECT event_type, step, round(d * (s + CASE WHEN h >= m * 1.1 THEN m / 2 ELSE h END + CASE WHEN t >= m * 1.1 THEN m / 2 ELSE t END) / s, 6) AS value FROM w"""),
+    "hist_native_sum_over_time": (native_days("histogram_sum(sum_over_time(d[7d]))"), f"{_NDAYS} SELECT event_type, step, round(sum(s), 6) AS value FROM g JOIN o ON ts > step - {7 * DAY} AND ts <= step GROUP BY ALL"),
+    "hist_native_avg_over_time": (native_days("histogram_count(avg_over_time(d[7d]))"), f"{_NDAYS} SELECT event_type, step, round(avg(n), 6) AS value FROM g JOIN o ON ts > step - {7 * DAY} AND ts <= step GROUP BY ALL"),
+    "hist_native_idelta": (native_days("histogram_count(idelta(d[7d]))"), f"{_NDAYS} SELECT event_type, step, round(list(n ORDER BY ts DESC)[1] - list(n ORDER BY ts DESC)[2], 6) AS value FROM g JOIN o ON ts > step - {7 * DAY} AND ts <= step GROUP BY ALL HAVING count(*) > 1"),
     "synthetic_source": (synthetic_source, f"SELECT 'r-' || (i % 4) AS region, t::BIGINT AS step, round(sum(i % 1000 + ((t // 1000) % 60) / 4.0), 6)::DOUBLE AS value FROM range(200) s(i), range({START}, {START} + 600001, 60000) g(t) GROUP BY ALL"),
     "meta_names": (meta_names, "SELECT unnest(['__name__', 'event_type', 'user_id']) AS name"),
     "meta_values": (meta_values, "SELECT DISTINCT event_type AS value FROM events WHERE user_id::VARCHAR LIKE '1%'"),
     "meta_series": (meta_series, "SELECT DISTINCT user_id::VARCHAR AS user_id FROM events WHERE event_type = 'view'"),
     "cardinality_top": (cardinality_top, "WITH s AS (SELECT DISTINCT event_type, user_id::VARCHAR u FROM events), p AS (SELECT '__name__=events_value' AS name FROM s UNION ALL SELECT 'event_type=' || event_type FROM s UNION ALL SELECT 'user_id=' || u FROM s) SELECT 0 AS group_ord, name, count(*) AS n FROM p GROUP BY name ORDER BY n DESC, name LIMIT 10"),
+    "cardinality_tables": (cardinality_tables, """WITH s AS (SELECT DISTINCT event_type, user_id::VARCHAR u FROM events), p AS (SELECT '__name__' k, 'events_value' v, event_type, u FROM s UNION ALL SELECT 'event_type', event_type, event_type, u FROM s UNION ALL SELECT 'user_id', u, event_type, u FROM s),
+      f AS (SELECT 'totals' what, 'series' AS name, count(*) n FROM s UNION ALL SELECT 'totals', 'label_pairs', count(DISTINCT (k, v)) FROM p UNION ALL SELECT 'series_by_metric', 'events_value', count(*) FROM s UNION ALL SELECT 'values_by_label', k, count(DISTINCT v) FROM p GROUP BY k
+        UNION ALL SELECT 'series_by_focus', event_type, count(*) FROM s GROUP BY event_type UNION ALL (SELECT 'series_by_pair', k || '=' || v AS name, count(*) n FROM p GROUP BY 2 ORDER BY n DESC, name LIMIT 10))
+      SELECT what, 0 AS group_ord, name, n FROM f"""),
     "federate_latest": (federate_latest, f"WITH {EV} SELECT event_type, user_id, 'c1' AS cluster, max(ts) AS ts, round(arg_max(v, ts), 6) AS value FROM e WHERE ts > {END} - {LOOKBACK} AND ts <= {END} AND event_type IN ('view', 'click') GROUP BY event_type, user_id"),
     "exposition_lines": (exposition_lines, "SELECT 'events_value{event_type=\"' || event_type || '\",user_id=\"' || user_id || '\"} ' || floor(value)::BIGINT || ' ' || (epoch_us(ts) // 1000) AS line FROM events"),
     "metadata_first": (metadata_first, "SELECT n_name AS metric, CASE WHEN n_nationkey % 2 = 0 THEN 'counter' ELSE 'gauge' END AS type, CASE WHEN n_nationkey % 2 = 0 THEN 'first' ELSE 'second' END AS help, '' AS unit FROM nation"),
