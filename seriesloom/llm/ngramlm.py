@@ -1,23 +1,30 @@
-"""Operator 6: interpolated modified Kneser-Ney bigram model, counted in Spark, memory-mapped by the workers.
+"""Operator 6: interpolated modified Kneser-Ney trigram model, counted in Spark, memory-mapped by the workers.
 
-Counting. Tasks reduce their texts to distinct hashes with counts and send one binary row per (flush, bucket): sorted unigram
-hashes, or bigrams as runs of (context, following words). A bucket's group merges them in numpy. Buckets are ranges of the
-context's hash, so a context's statistics are complete in one bucket, except that contexts with more than 1/(2 buckets) of all
-tokens (at most 2 x buckets of them) are spread over all buckets by the whole bigram's hash and their statistics added up at
-the end. The number of buckets is spark.sql.shuffle.partitions, so a group's size is set by the cluster's configuration.
+Words. Tasks send distinct word hashes with counts; a bucket of hashes becomes a file, sorted by hash. A word's id is its rank by
+count in the bucket times the number of buckets plus the bucket, so frequent words have small ids. Counting trigrams and scoring look
+words up in the mapped files.
 
-Storage. Each bucket is a file in the shared folder, arrays one after another: sorted bigram hashes with counts, sorted contexts
-with totals and numbers of words seen once, twice and oftener, sorted words with counts and continuation counts. Workers
-map the files into memory and search them with each chunk's sorted keys; pages are shared by all workers of a machine. Where
-the folder is not a mounted file system a worker fetches a file once into an anonymous temporary file and maps that.
+Trigrams. Tasks reduce their texts to distinct trigrams (u, v, w) with counts and send one row per (flush, bucket): ids in byte planes,
+compressed. Buckets are dealt by the middle word v. So one shuffle brings together all of a context (u, v) with its followers, all
+left neighbours of a pair (v, w), and all pairs of v: whatever the model needs but for two sums. Middle words with more than 1 / (2
+buckets) of all tokens, 2 x buckets of them at most, are spread by (v, u), which keeps their contexts whole; their pairs' left
+neighbours are added up in a second, small shuffle. The numbers of words before each word are the other. The number of buckets is
+SPREAD x spark.sql.shuffle.partitions, so a group's size is set by the cluster's configuration.
 
-    p(w|h) = (c(hw) - D(c(hw))) / c(h) + gamma(h) p(w),  p(w) = (N1+(.w) - D'(..)) / N1+(..) + gamma' / (V + 1)
+Storage. A bucket's trigrams, contexts and pairs are sorted hash arrays in files of the shared folder: 48 bits of the hash, which
+in a bucket of n entries mistakes an absent one for a present one with probability n / 2^48; entries counted once as keys alone, the
+others with their counts, which are exact however large. Workers map the files into memory and search them with each chunk's sorted
+keys; pages are shared by all workers of a machine. Where the folder is not a mounted file system a worker fetches a file once.
 
-with modified discounts D1, D2, D3+ from the counts of counts of each order. An unseen context leaves p(w).
+    p(w|u,v) = (c(uvw) - D3) / c(uv) + gamma(uv) p(w|v),   p(w|v) = (N1+(.vw) - D2) / N1+(.v.) + gamma(v) p(w),
+    p(w) = (N1+(.w) - D1) / N1+(..) + gamma / (V + 1)
+
+with modified discounts for counts 1, 2 and 3 or more from the counts of counts of each order. Two marks precede a text; they have no
+left neighbours, so its first word's p(w|u,v) is interpolated with p(w). An unseen context leaves the lower order.
 
 Defined cases: a null or empty text is the end token alone (scored, and a training text if not held out); without training text
 every probability is 1 / (V + 1) = 1; repeated rows count and are scored each; a null doc_id hashes as the empty text; other
-columns are ignored. Hashes are 64 bits: two of n distinct bigrams share one with probability n^2 / 2^65.
+columns are ignored. Words are told apart by 64-bit hashes: two of n share one with probability n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -29,12 +36,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, chunks, crc_mod, drop, load, mix, new_path, read_documents, save, table, words_of
+from .shared import LOWER, chunks, crc_mod, drop, load, mix, new_path, read_documents, save, table, trim, words_of
+
+END = np.uint64(0xE4D0000000000001)
+HELD = 1_000_000
+SPREAD = 2
+#: Ids from which 32 bits are not enough.
+WIDE = (1 << 32) - 2
+SCORE_CHUNK = 4 << 20
+#: Statistics of an entry that is stored as a key alone.
+SINGLE = {"tri": (1,), "ctx": (1, 1, 0, 0), "pair": (1,), "hot": (1,)}
+_U64 = np.dtype("<u8")
+_MAPPED: dict[str, list[np.ndarray]] = {}
+
+
+# ------------------------------------------------------------------------------------------------------- storage
+def small(counts: np.ndarray) -> list[np.ndarray]:
+    """Counts as bytes; the places and values of those from 255 on."""
+    large = np.flatnonzero(counts >= 255)
+    return [np.minimum(counts, 255).astype(np.uint8), large.astype(_U64), counts[large].astype(_U64)]
+
+
+def value(stored: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    out = stored[0][at].astype(np.float64)
+    large = np.flatnonzero(out == 255)
+    if len(large):
+        out[large] = stored[2][np.searchsorted(stored[1], at[large].astype(_U64))]
+    return out
+
 
-END, BEGIN = np.uint64(0xE4D0000000000001), np.uint64(0xBE61000000000001)
-HELD = 1_500_000
-SCORE_CHUNK = 8 << 20
-_U32, _U64 = np.dtype("<u4"), np.dtype("<u8")
+def save_table(uri: str, kind: str, hashes: np.ndarray, *stats: np.ndarray) -> None:
+    keys = hashes >> np.uint64(16)
+    order = np.argsort(keys, kind="stable")
+    keys, stats = keys[order], [s[order] for s in stats]
+    alone = np.logical_and.reduce([s == x for s, x in zip(stats, SINGLE[kind])]) if len(keys) else np.zeros(0, bool)
+    halves = [x for k in (keys[alone], keys[~alone]) for x in ((k >> np.uint64(16)).astype("<u4"), k.astype("<u2"))]
+    save(uri, *halves, *(x for s in stats for x in small(s[~alone])))
+
+
+def _place(high: np.ndarray, low: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands, and which do."""
+    a, b = (keys >> np.uint64(16)).astype(np.uint32), keys.astype(np.uint16)
+    at = np.searchsorted(high, a)
+    hit = np.zeros(len(keys), bool)
+    left = np.flatnonzero(at < len(high))
+    while len(left):
+        same = high[at[left]] == a[left]
+        found = same & (low[at[left]] == b[left])
+        hit[left[found]] = True
+        left = left[same & ~found]
+        at[left] += 1
+        left = left[at[left] < len(high)]
+    return at, hit
+
+
+def mapped(uri: str) -> list[np.ndarray]:
+    if uri not in _MAPPED:
+        if len(_MAPPED) > 8192:
+            _MAPPED.clear()
+        _MAPPED[uri] = load(uri)
+    return _MAPPED[uri]
 
 
 # ------------------------------------------------------------------------------------------------------ counting
@@ -42,45 +103,68 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(mix(h) + w * np.uint64(0x9E3779B97F4A7C15))
+def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a.astype(_U64) + np.uint64(0xBE61)) + b.astype(_U64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def token_stream(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all documents in order (words, then the end), the token before each, and the first token of each document."""
+def token_stream(words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all documents in order (words, then the end), and the first token of each document."""
     n = len(words.counts)
     tokens = np.empty(len(words) + n, np.uint64)
     tokens[np.arange(len(words)) + words.doc] = words.hashes(LOWER)
-    firsts = words.first[:-1] + np.arange(n)
     tokens[words.first[1:] + np.arange(n)] = END
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[firsts] = BEGIN
-    return tokens, before, firsts
+    return tokens, words.first[:-1] + np.arange(n)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    first = _starts(keys)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    return np.array([len(a) for a in arrays], _U64).tobytes() + b"".join(a.tobytes() for a in arrays)
-
-
-def unpack(data: bytes, *types) -> list[np.ndarray]:
-    lengths = np.frombuffer(data, _U64, len(types)).tolist()
-    out, at = [], 8 * len(types)
-    for n, t in zip(lengths, types):
-        out.append(np.frombuffer(data, t, n, at))
-        at += n * np.dtype(t).itemsize
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(np.append(True, new))
+
+
+def _order(*columns: np.ndarray) -> np.ndarray:
+    """Sorted order of rows, the first column first; two columns of 32 bits are compared as one."""
+    keys: list[np.ndarray] = []
+    i = 0
+    while i < len(columns):
+        if i + 1 < len(columns) and columns[i].dtype.itemsize <= 4 and columns[i + 1].dtype.itemsize == 4:
+            keys.append(columns[i].astype(_U64) << np.uint64(32) | columns[i + 1])
+            i += 2
+        else:
+            keys.append(columns[i])
+            i += 1
+    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+
+
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays in byte planes, compressed."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], _U64).tobytes()
+    return head + pa.compress(b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes() for a in arrays), "zstd", asbytes=True)
+
+
+def expand(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, _U64, 1)[0])
+    facts = np.frombuffer(data, _U64, 2 * n, 8).astype(np.int64).reshape(n, 2)
+    raw = pa.decompress(data[8 + 16 * n :], int(facts.prod(axis=1).sum()), "zstd", asbytes=True)
+    out, at = [], 0
+    for size, length in facts.tolist():
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * length, at).reshape(size, length).T).view(f"<u{size}").ravel())
+        at += size * length
     return out
 
 
 _ROW = "kind int, bucket int, data binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
+WORDS, TRIGRAMS, BEFORE, HOT, TRI_COUNTS, PAIR_COUNTS, WORD_COUNTS, OPENING, HOT_STATS, SIZES = range(10)
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -89,59 +173,128 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _dealt(kind: int, buckets: np.ndarray, *arrays: np.ndarray) -> list[tuple[int, int, bytes]]:
     """One row per bucket of arrays that are sorted by bucket."""
-    firsts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])) if len(buckets) else []
-    return [(kind, int(buckets[a]), pack(*(x[a:b] for x in arrays))) for a, b in zip(firsts, np.append(firsts[1:], len(buckets)))] if len(buckets) else []
+    first = _starts(buckets)
+    return [(kind, int(buckets[a]), squeeze(*(x[a:b] for x in arrays))) for a, b in zip(first, np.append(first[1:], len(buckets)))]
 
 
 def _unigrams(buckets: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
-        def flush():
-            keys, counts = summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-            return _rows(_dealt(0, bucket_of(keys, buckets), keys, counts))
+        def merged():
+            return summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
 
         for batch in chunks(batches):
-            tokens, _, _ = token_stream(words_of(batch))
-            keys, n = np.unique(tokens, return_counts=True)
+            keys, n = np.unique(token_stream(words_of(batch))[0], return_counts=True)
             held.append((keys, n.astype(_U64)))
             if sum(len(x[0]) for x in held) > HELD:
-                held = [summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))]
+                held = [merged()]
                 if len(held[0][0]) > HELD // 2:
-                    yield flush()
+                    yield _rows(_dealt(WORDS, bucket_of(held[0][0], buckets), *held[0]))
                     held = []
         if held:
-            yield flush()
+            keys, n = merged()
+            yield _rows(_dealt(WORDS, bucket_of(keys, buckets), keys, n))
 
     return go
 
 
-def _bigrams(buckets: int, hot: np.ndarray):
+def _merge_words(path: str):
+    """The words of a bucket to their file: hashes, ranks by count, counts."""
+
+    def go(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        parts = [expand(x.as_py()) for x in group.column("data")]
+        keys, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        rank = np.empty(len(keys), np.uint32)
+        rank[np.lexsort((keys, -counts.astype(np.int64)))] = np.arange(len(keys), dtype=np.uint32)
+        save(f"{path}/word-{bucket}", keys, rank, *small(counts))
+        return pa.Table.from_batches([_rows([(SIZES, bucket, squeeze(np.array([len(keys), counts.sum()], _U64)))])])
+
+    return go
+
+
+class Vocabulary:
+    """Ids and counts of words, from the mapped files. wide: ids of 64 bits, where 32 are not enough."""
+
+    def __init__(self, path: str, buckets: int, have: set[int], wide: bool):
+        self.path, self.buckets, self.have, self.type = path, buckets, have, np.uint64 if wide else np.uint32
+        self.begin, self.unknown = self.type(np.iinfo(self.type).max), self.type(np.iinfo(self.type).max - 1)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct, sorted hashes: ids (unknown where absent) and counts."""
+        ids, counts = np.full(len(hashes), self.unknown), np.zeros(len(hashes))
+        edges = np.searchsorted(bucket_of(hashes, self.buckets), np.arange(self.buckets + 1)).tolist()
+        for b, (low, high) in enumerate(zip(edges, edges[1:])):
+            if low < high and b in self.have:
+                keys, rank, *n = mapped(f"{self.path}/word-{b}")
+                at = np.minimum(np.searchsorted(keys, hashes[low:high]), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == hashes[low:high])
+                ids[low + hit] = rank[at[hit]].astype(self.type) * self.type(self.buckets) + self.type(b)
+                counts[low + hit] = value(n, at[hit])
+        return ids, counts
+
+    def triples(self, words) -> tuple[np.ndarray, ...]:
+        """u, v, w of every token, the words' counts, and the first token of each document."""
+        tokens, firsts = token_stream(words)
+        known, inverse = np.unique(tokens, return_inverse=True)
+        ids, counts = self.find(known)
+        w = ids[inverse]
+        v = np.empty_like(w)
+        v[1:] = w[:-1]
+        v[firsts] = self.begin
+        u = np.empty_like(w)
+        u[1:] = v[:-1]
+        u[firsts] = self.begin
+        return u, v, w, counts[inverse], firsts
+
+    def spots(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Buckets of trigrams: by v; by (v, u) for a hot v; the opening of a text by its word."""
+        out = bucket_of(mix(v.astype(_U64)), self.buckets)
+        mine = np.flatnonzero(np.isin(v, hot))
+        out[mine] = bucket_of(mix(hashed(v[mine], u[mine])), self.buckets)
+        mine = np.flatnonzero(v == self.begin)
+        out[mine] = bucket_of(mix(hashed(v[mine], w[mine])), self.buckets)
+        return out
+
+
+def _hot_words(vocabulary: Vocabulary, least: float):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column("bucket").to_pylist():
+                keys, rank, *n = mapped(f"{vocabulary.path}/word-{b}")
+                mine = np.flatnonzero(value(n, np.arange(len(keys))) > least)
+                ids = rank[mine].astype(np.uint64) * np.uint64(vocabulary.buckets) + np.uint64(b)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64))], names=["id"])
+
+    return go
+
+
+def _trigrams(vocabulary: Vocabulary, hot: np.ndarray):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
         def flush():
-            h, w, n = (np.concatenate([x[i] for x in held]) for i in range(3))
-            g = pair_hash(h, w)
-            spot = np.where(np.isin(h, hot), bucket_of(mix(g), buckets), bucket_of(h, buckets))
-            order = np.lexsort((g, h, spot))
-            h, w, n, g, spot = h[order], w[order], n[order], g[order], spot[order]
-            first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            h, w, spot, n = h[first], w[first], spot[first], np.add.reduceat(n, first)
-            run = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (spot[1:] != spot[:-1])))
-            length = np.diff(np.append(run, len(h))).astype(_U32)
-            rows, edges = [], np.flatnonzero(np.append(True, spot[1:] != spot[:-1]))
-            for a, b in zip(edges, np.append(edges[1:], len(h))):
-                x, y = np.searchsorted(run, (a, b))
-                rows.append((1, int(spot[a]), pack(h[run[x:y]], length[x:y], w[a:b], n[a:b].astype(_U32))))
+            u, v, w = (np.concatenate([x[i] for x in held]) for i in range(3))
+            spot = vocabulary.spots(u, v, w, hot).astype(np.uint32)
+            order = _order(spot, v, u, w)
+            u, v, w, spot = u[order], v[order], w[order], spot[order]
+            first = _starts(v, u, w, spot)
+            n = np.diff(np.append(first, len(u)))
+            u, v, w, spot = u[first], v[first], w[first], spot[first]
+            rows, edges = [], _starts(spot)
+            for a, b in zip(edges, np.append(edges[1:], len(u))):
+                run = _starts(v[a:b])
+                more = np.flatnonzero(n[a:b] > 1)
+                rows.append((TRIGRAMS, int(spot[a]), squeeze(v[a:b][run], np.diff(np.append(run, b - a)).astype(np.uint32), u[a:b], w[a:b], more.astype(np.uint32), n[a:b][more].astype(np.uint32))))
             return _rows(rows)
 
         for batch in chunks(batches):
-            tokens, before, _ = token_stream(words_of(batch))
-            held.append((before, tokens, np.ones(len(tokens), np.uint64)))
+            held.append(vocabulary.triples(words_of(batch))[:3])
             if sum(len(x[0]) for x in held) > HELD:
                 yield flush()
                 held = []
+                trim()
         if held:
             yield flush()
 
@@ -152,68 +305,104 @@ def _counts_of_counts(c: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(c, 5).astype(np.int64), minlength=6)[1:6].astype(_U64)
 
 
-def _context_stats(h: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """Of each context (h sorted): hash, total, and numbers of words seen once, twice, oftener."""
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    if not len(first):
-        return [h[:0], *(np.zeros(0, _U64),) * 4]
-    return [h[first], *(np.add.reduceat(x.astype(_U64), first) for x in (c, c == 1, c == 2, c > 2))]
+def _stats(first: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """Of each run: total, and numbers of entries counted once, twice, oftener."""
+    return [np.add.reduceat(x.astype(_U64), first) if len(first) else np.zeros(0, _U64) for x in (c, c == 1, c == 2, c > 2)]
 
 
-def _merge_bigrams(buckets: int, hot: np.ndarray, path: str):
+def _merge_trigrams(vocabulary: Vocabulary, hot: np.ndarray):
+    path, buckets = vocabulary.path, vocabulary.buckets
+
     def go(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        parts = [unpack(x.as_py(), _U64, _U32, _U64, _U32) for x in group.column("data")]
-        h = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        w, n = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]).astype(_U64)
-        del parts
-        g = pair_hash(h, w)
-        order = np.argsort(g, kind="stable")
-        g, h, w, n = g[order], h[order], w[order], n[order]
-        first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        g, h, w, n = g[first], h[first], w[first], np.add.reduceat(n, first)
-        save(f"{path}/pair-{bucket}", g, np.minimum(n, 2**32 - 1).astype(_U32))
-        rows = [(3, bucket, pack(_counts_of_counts(n)))]
-        words, seen = np.unique(w, return_counts=True)
-        rows += _dealt(1, bucket_of(words, buckets), words, seen.astype(_U64))
-        order = np.argsort(h, kind="stable")
-        h, n = h[order], n[order]
-        stats = _context_stats(h, n)
-        shared = np.isin(stats[0], hot)
-        save(f"{path}/context-{bucket}", *(x[~shared] for x in stats))
+        us, vs, ws, ns = [], [], [], []
+        for x in group.column("data"):
+            run, length, u, w, more, n = expand(x.as_py())
+            count = np.ones(len(u), np.uint64)
+            count[more] = n
+            us.append(u), vs.append(np.repeat(run, length)), ws.append(w), ns.append(count)
+        u, v, w, n = (np.concatenate(x) for x in (us, vs, ws, ns))
+        del us, vs, ws, ns
+        order = _order(v, u, w)
+        u, v, w, n = u[order], v[order], w[order], n[order]
+        first = _starts(v, u, w)
+        u, v, w, n = u[first], v[first], w[first], np.add.reduceat(n, first)
+        save_table(f"{path}/tri-{bucket}", "tri", hashed(hashed(u, v), w), n)
+        rows = [(TRI_COUNTS, bucket, squeeze(_counts_of_counts(n)))]
+        context = _starts(v, u)
+        stats = _stats(context, n)
+        opening = v[context] == vocabulary.begin
+        if opening.any():
+            rows.append((OPENING, bucket, squeeze(*(s[opening] for s in stats))))
+        context, stats = context[~opening], [s[~opening] for s in stats]
+        save_table(f"{path}/ctx-{bucket}", "ctx", hashed(u[context], v[context]), *stats)
+        del u, n, stats
+        order = _order(v, w)
+        v, w = v[order], w[order]
+        first = _starts(v, w)
+        left = np.diff(np.append(first, len(v))).astype(_U64)
+        v, w = v[first], w[first]
+        shared = np.isin(v, hot)
         if shared.any():
-            rows.append((2, bucket, pack(*(x[shared] for x in stats))))
+            spot = bucket_of(mix(hashed(v[shared], w[shared])), buckets)
+            order = np.argsort(spot, kind="stable")
+            rows += _dealt(HOT, spot[order], *(x[shared][order] for x in (v, w, left)))
+        v, w, left = v[~shared], w[~shared], left[~shared]
+        rows += _before(w, buckets)
+        inner = v != vocabulary.begin
+        v, w, left = v[inner], w[inner], left[inner]
+        rows.append((PAIR_COUNTS, bucket, squeeze(_counts_of_counts(left))))
+        save_table(f"{path}/pair-{bucket}", "pair", hashed(v, w), left)
+        run = _starts(v)
+        save(f"{path}/one-{bucket}", v[run], *_stats(run, left))
         return pa.Table.from_batches([_rows(rows)])
 
     return go
 
 
-def _merge_words(path: str):
+def _before(w: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Rows of how many pairs end in each word."""
+    ids, n = np.unique(w, return_counts=True)
+    spot = (ids % ids.dtype.type(buckets)).astype(np.int64)
+    order = np.argsort(spot, kind="stable")
+    return _dealt(BEFORE, spot[order], ids[order], n[order].astype(_U64))
+
+
+def _merge_hot(vocabulary: Vocabulary):
+    """The pairs of hot middle words: left neighbours added up over the buckets of (v, u)."""
+
     def go(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        parts = [(k.as_py(), *unpack(x.as_py(), _U64, _U64)) for k, x in zip(group.column("kind"), group.column("data"))]
-        keys = np.concatenate([p[1] for p in parts])
-        counts = np.concatenate([np.stack([p[2] * (p[0] == 0), p[2] * (p[0] == 1)], axis=1) for p in parts]).astype(_U64)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        keys, counts = keys[first], np.add.reduceat(counts, first, axis=0)
-        c, seen = np.ascontiguousarray(counts[:, 0]), np.ascontiguousarray(counts[:, 1])
-        save(f"{path}/word-{bucket}", keys, c, seen)
-        return pa.Table.from_batches([_rows([(4, bucket, pack(np.append(_counts_of_counts(seen[seen > 0]), seen.sum()).astype(_U64)))])])
+        v, w, left = (np.concatenate(x) for x in zip(*(expand(x.as_py()) for x in group.column("data"))))
+        order = _order(v, w)
+        v, w, left = v[order], w[order], left[order]
+        first = _starts(v, w)
+        v, w, left = v[first], w[first], np.add.reduceat(left, first)
+        save_table(f"{vocabulary.path}/hot-{bucket}", "hot", hashed(v, w), left)
+        run = _starts(v)
+        rows = [(PAIR_COUNTS, bucket, squeeze(_counts_of_counts(left))), (HOT_STATS, bucket, squeeze(v[run].astype(_U64), *_stats(run, left)))]
+        return pa.Table.from_batches([_rows(rows + _before(w, vocabulary.buckets))])
 
     return go
 
 
-def _merge_counts(most: int):
-    """Unigram rows of a bucket into one, and the words with more than `most` as row kind 5."""
+def _hot_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column("data").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in expand(data)], names=["v", "s0", "s1", "s2", "s3"])
+
+
+def _merge_before(vocabulary: Vocabulary):
+    """The numbers of words before each word of a bucket, by rank."""
 
     def go(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        parts = [unpack(x.as_py(), _U64, _U64) for x in group.column("data")]
-        keys, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        top = np.argsort(-counts.astype(np.int64))[:most]
-        return pa.Table.from_batches([_rows([(0, bucket, pack(keys, counts)), (5, bucket, pack(keys[top], counts[top])), (6, bucket, pack(np.array([len(keys), counts.sum()], _U64)))])])
+        seen = np.zeros(len(mapped(f"{vocabulary.path}/word-{bucket}")[0]), _U64)
+        for x in group.column("data"):
+            ids, n = expand(x.as_py())
+            seen[(ids // ids.dtype.type(vocabulary.buckets)).astype(np.int64)] += n
+        save(f"{vocabulary.path}/seen-{bucket}", *small(seen))
+        return pa.Table.from_batches([_rows([(WORD_COUNTS, bucket, squeeze(np.append(_counts_of_counts(seen[seen > 0]), seen.sum()).astype(_U64)))])])
 
     return go
 
@@ -227,100 +416,143 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What the driver knows of a model: the folder, sizes, discounts and the shared contexts; workers map the files."""
+    """What the driver knows of a model: sizes, discounts, the hot words with their statistics; workers map the files."""
 
-    def __init__(self, path, buckets, have, n_tokens, n_words, hot, d_pair, d_word, total_seen, spread):
-        self.path, self.buckets, self.have, self.n_tokens, self.n_words, self.hot, self.d_pair, self.d_word, self.total_seen, self.spread = path, buckets, have, n_tokens, n_words, hot, d_pair, d_word, total_seen, spread
+    def __init__(self, vocabulary: Vocabulary, have: dict[str, set[int]], n_tokens: int, n_words: int, hot: np.ndarray, hot_stats: list[np.ndarray], opening: np.ndarray, d: list[np.ndarray], total: float, spread: float):
+        self.vocabulary, self.have, self.n_tokens, self.n_words, self.hot, self.hot_stats, self.opening, self.d, self.total, self.spread = vocabulary, have, n_tokens, n_words, hot, hot_stats, opening, d, total, spread
 
-    def find(self, kind: str, keys: np.ndarray, spots: np.ndarray) -> list[np.ndarray]:
-        """The values stored for each key (0 where absent); keys in any order, spots their buckets."""
+    def _stored(self, kind: str, hashes: np.ndarray, spots: np.ndarray) -> list[np.ndarray]:
+        """The statistics of each hash (0 where absent), in the buckets given."""
+        out = [np.zeros(len(hashes)) for _ in SINGLE[kind]]
+        keys = hashes >> np.uint64(16)
         order = np.lexsort((keys, spots))
-        out: list[np.ndarray] = [np.zeros(len(keys), np.float64) for _ in range({"pair": 1, "context": 4, "word": 2}[kind])]
-        edges = np.searchsorted(spots[order], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            mine = order[edges[b] : edges[b + 1]]
-            if len(mine) and (kind, b) in self.have:
-                stored, *values = _mapped(f"{self.path}/{kind}-{b}")
-                if not len(stored):
-                    continue
-                at = np.minimum(np.searchsorted(stored, keys[mine]), len(stored) - 1)
-                hit = stored[at] == keys[mine]
-                for o, v in zip(out, values):
-                    o[mine[hit]] = v[at[hit]]
+        edges = np.searchsorted(spots[order], np.arange(self.vocabulary.buckets + 1)).tolist()
+        for b, (low, high) in enumerate(zip(edges, edges[1:])):
+            if low < high and b in self.have[kind]:
+                mine = order[low:high]
+                files = mapped(f"{self.vocabulary.path}/{kind}-{b}")
+                _, hit = _place(files[0], files[1], keys[mine])
+                for o, x in zip(out, SINGLE[kind]):
+                    o[mine[hit]] = x
+                mine = mine[~hit]
+                at, hit = _place(files[2], files[3], keys[mine])
+                for i, o in enumerate(out):
+                    o[mine[hit]] = value(files[4 + 3 * i : 7 + 3 * i], at[hit])
         return out
 
-    def score(self, words) -> dict[str, np.ndarray]:
-        tokens, before, firsts = token_stream(words)
-        known, inverse = np.unique(tokens, return_inverse=True)
-        c, seen = (x[inverse] for x in self.find("word", known, bucket_of(known, self.buckets)))
-        contexts, of = np.unique(before, return_inverse=True)
-        stats = self.find("context", contexts, bucket_of(contexts, self.buckets))
-        if len(self.hot[0]):
-            at = np.minimum(np.searchsorted(self.hot[0], contexts), len(self.hot[0]) - 1)
-            hit = self.hot[0][at] == contexts
-            for s, v in zip(stats, self.hot[1:]):
-                s[hit] = v[at[hit]]
-        total, n1, n2, n3 = (x[of] for x in stats)
-        g = pair_hash(before, tokens)
-        spots = np.where(np.isin(before, self.hot[0]), bucket_of(mix(g), self.buckets), bucket_of(before, self.buckets))
-        pair = self.find("pair", g, spots)[0]
-        d, e = self.d_pair, self.d_word
-        lower = np.maximum(seen - e[np.minimum(seen, 3).astype(np.int64)], 0) / max(self.total_seen, 1) + self.spread / (self.n_words + 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.maximum(pair - d[np.minimum(pair, 3).astype(np.int64)], 0) / total + (d[1] * n1 + d[2] * n2 + d[3] * n3) / total * lower
-        p = np.where(total > 0, p, lower)
-        base = np.log10((c + 1) / (self.n_tokens + self.n_words + 1))
-        return {"n_tokens": words.counts + 1, "n_known": np.add.reduceat((c > 0).astype(np.int64), firsts), "base_score": np.add.reduceat(base, firsts), "score": np.add.reduceat(np.log10(p), firsts)}
+    def _before(self, w: np.ndarray) -> np.ndarray:
+        """N1+(.w) of distinct words."""
+        out, buckets = np.zeros(len(w)), self.vocabulary.type(self.vocabulary.buckets)
+        known = np.flatnonzero(w < self.vocabulary.unknown)
+        spots = (w[known] % buckets).astype(np.int64)
+        for b in np.unique(spots).tolist():
+            if b in self.have["seen"]:
+                mine = known[spots == b]
+                out[mine] = value(mapped(f"{self.vocabulary.path}/seen-{b}"), (w[mine] // buckets).astype(np.int64))
+        return out
 
+    def _middle(self, v: np.ndarray) -> list[np.ndarray]:
+        """N1+(.v.) and the numbers of pairs (v, w) with one, two and more left neighbours, of distinct words."""
+        out = [np.zeros(len(v)) for _ in range(4)]
+        spots = bucket_of(mix(v.astype(_U64)), self.vocabulary.buckets)
+        for b in np.unique(spots).tolist():
+            if b in self.have["one"]:
+                words, *stats = mapped(f"{self.vocabulary.path}/one-{b}")
+                mine = np.flatnonzero(spots == b)
+                at = np.searchsorted(words, v[mine])
+                hit = at < len(words)
+                hit[hit] = words[at[hit]] == v[mine[hit]]
+                for o, s in zip(out, stats):
+                    o[mine[hit]] = s[at[hit]]
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, v), len(self.hot) - 1)
+            hit = self.hot[at] == v
+            for o, s in zip(out, self.hot_stats):
+                o[hit] = s[at[hit]]
+        return out
 
-_OPEN: dict[str, list[np.ndarray]] = {}
+    def tokens(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability and count of every token, and the first token of each document."""
+        u, v, w, c, firsts = self.vocabulary.triples(words)
+        d3, d2, d1 = self.d
+        used = lambda x, d: np.maximum(x - d[np.minimum(x, 3).astype(np.int64)], 0)
+
+        def once(find, *columns):
+            """find over distinct rows, dealt back to all."""
+            key = columns[0] if len(columns) == 1 else hashed(*columns)
+            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            found = find(*(x[first] for x in columns))
+            return [x[inverse] for x in found]
+
+        p = used(once(lambda x: [self._before(x)], w)[0], d1) / max(self.total, 1) + self.spread / (self.n_words + 1)
+        total, *rest = once(self._middle, v)
+
+        def pairs(a, b):
+            is_hot, out = np.isin(a, self.hot), np.zeros(len(a))
+            plain = np.flatnonzero(~is_hot)
+            out[plain] = self._stored("pair", hashed(a[plain], b[plain]), bucket_of(mix(a[plain].astype(_U64)), self.vocabulary.buckets))[0]
+            mine = np.flatnonzero(is_hot)
+            h = hashed(a[mine], b[mine])
+            out[mine] = self._stored("hot", h, bucket_of(mix(h), self.vocabulary.buckets))[0]
+            return [out]
 
+        with np.errstate(divide="ignore", invalid="ignore"):
+            higher = used(once(pairs, v, w)[0], d2) / total + sum(x * y for x, y in zip(d2[1:], rest)) / total * p
+            p = np.where(total > 0, higher, p)
 
-def _mapped(uri: str) -> list[np.ndarray]:
-    if uri not in _OPEN:
-        if len(_OPEN) > 4096:
-            _OPEN.clear()
-        _OPEN[uri] = load(uri)
-    return _OPEN[uri]
+        def contexts(a, b):
+            return self._stored("ctx", hashed(a, b), self.vocabulary.spots(a, b, b, self.hot))
+
+        total, *rest = once(contexts, u, v)
+        start = v == self.vocabulary.begin
+        for x, y in zip((total, *rest), self.opening):
+            x[start] = y
+        n = self._stored("tri", hashed(hashed(u, v), w), self.vocabulary.spots(u, v, w, self.hot))[0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            higher = used(n, d3) / total + sum(x * y for x, y in zip(d3[1:], rest)) / total * p
+            return np.where(total > 0, higher, p), c, firsts
+
+    def score(self, words) -> dict[str, np.ndarray]:
+        p, c, firsts = self.tokens(words)
+        base = np.log10((c + 1) / (self.n_tokens + self.n_words + 1))
+        return {"n_tokens": words.counts + 1, "n_known": np.add.reduceat((c > 0).astype(np.int64), firsts), "base_score": np.add.reduceat(base, firsts), "score": np.add.reduceat(np.log10(p), firsts)}
 
 
 def fit(docs: DataFrame) -> Model:
     """The model of all texts of docs."""
     spark = docs.sparkSession
     texts = docs.select("text")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = new_path(spark, "lm")
-    counts = table(texts.mapInArrow(_unigrams(buckets), _ROW).groupBy("bucket").applyInArrow(_merge_counts(2 * buckets), _ROW), "lm-counts")
-    sizes = np.array([unpack(bytes(r[0]), _U64)[0] for r in counts.where("kind = 6").select("data").collect()], _U64).reshape(-1, 2)
-    n_words, n_tokens = (int(x) for x in sizes.sum(axis=0))
-    hot = [BEGIN]
-    for r in counts.where("kind = 5").select("data").toLocalIterator():
-        keys, n = unpack(bytes(r[0]), _U64, _U64)
-        hot.extend(keys[n > n_tokens / (2 * buckets)])
-    hot = np.unique(np.array(hot, np.uint64))
-    pairs = table(texts.mapInArrow(_bigrams(buckets, hot), _ROW).groupBy("bucket").applyInArrow(_merge_bigrams(buckets, hot, path), _ROW), "lm-pairs")
-    words = table(counts.where("kind = 0").unionByName(pairs.where("kind = 1")).groupBy("bucket").applyInArrow(_merge_words(path), _ROW), "lm-words")
-    n_pair = sum((unpack(bytes(r[0]), _U64)[0] for r in pairs.where("kind = 3").select("data").toLocalIterator()), np.zeros(5, _U64))
-    n_seen = sum((unpack(bytes(r[0]), _U64)[0] for r in words.select("data").toLocalIterator()), np.zeros(6, _U64))
-    stats: list[np.ndarray] = [np.zeros((0, 4))]
-    keys: list[np.ndarray] = [np.zeros(0, np.uint64)]
-    for r in pairs.where("kind = 2").select("data").toLocalIterator():
-        h, *values = unpack(bytes(r[0]), *(_U64,) * 5)
-        keys.append(h)
-        stats.append(np.stack(values, axis=1).astype(float))
-    found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.zeros((len(found), 4))
-    np.add.at(sums, inverse, np.concatenate(stats))
-    have = {("pair", r[0]) for r in pairs.where("kind = 3").select("bucket").collect()}
-    have |= {("context", b) for _, b in have} | {("word", r[0]) for r in words.select("bucket").collect()}
-    drop(counts, pairs, words)
-    d_pair, d_word, total = discounts(n_pair), discounts(n_seen), float(n_seen[5])
-    spread = float(d_word[1] * n_seen[0] + d_word[2] * n_seen[1] + d_word[3] * n_seen[2:5].sum()) / total if total else 1.0
-    return Model(path, buckets, have, n_tokens, n_words, [found, *sums.T], d_pair, d_word, total, spread)
+    found = texts.mapInArrow(_unigrams(buckets), _ROW).groupBy("bucket").applyInArrow(_merge_words(path), _ROW).collect()  # a row for each bucket
+    sizes = {r["bucket"]: [int(x) for x in expand(bytes(r["data"]))[0]] for r in found}
+    n_words, n_tokens = (sum(x[i] for x in sizes.values()) for i in (0, 1))
+    vocabulary = Vocabulary(path, buckets, set(sizes), max((x[0] for x in sizes.values()), default=0) * buckets >= WIDE)
+    each = spark.createDataFrame([(b,) for b in sizes], "bucket int").repartition(max(1, min(len(sizes), buckets // SPREAD)))
+    hot = np.sort(np.array([r[0] for r in each.mapInArrow(_hot_words(vocabulary, n_tokens / (2 * buckets)), "id long").collect()], np.int64).view(np.uint64).astype(vocabulary.type))
+    pairs = table(texts.mapInArrow(_trigrams(vocabulary, hot), _ROW).groupBy("bucket").applyInArrow(_merge_trigrams(vocabulary, hot), _ROW), "lm-trigrams")
+    warm = table(pairs.where(F.col("kind") == HOT).groupBy("bucket").applyInArrow(_merge_hot(vocabulary), _ROW), "lm-hot")
+    every = pairs.unionByName(warm)
+    before = table(every.where(F.col("kind") == BEFORE).groupBy("bucket").applyInArrow(_merge_before(vocabulary), _ROW), "lm-before")
+    few = every.where(F.col("kind").isin(TRI_COUNTS, PAIR_COUNTS, OPENING)).unionByName(before).collect()  # a few numbers for each bucket
+    added = lambda kind, n: sum((np.array(expand(bytes(r["data"]))).ravel() for r in few if r["kind"] == kind), np.zeros(n, _U64))
+    n_seen = added(WORD_COUNTS, 6)
+    stats = every.where(F.col("kind") == HOT_STATS).select("data").mapInArrow(_hot_stats, "v long, s0 long, s1 long, s2 long, s3 long")
+    stats = sorted(stats.groupBy("v").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(4))).collect())  # the hot words
+    have = {"tri": {r["bucket"] for r in few if r["kind"] == TRI_COUNTS}, "seen": {r["bucket"] for r in few if r["kind"] == WORD_COUNTS}}
+    have |= {"ctx": have["tri"], "pair": have["tri"], "one": have["tri"], "hot": {r[0] for r in warm.where(F.col("kind") == HOT_STATS).select("bucket").collect()}}
+    d = [discounts(added(TRI_COUNTS, 5)), discounts(added(PAIR_COUNTS, 5)), discounts(n_seen)]
+    opening = added(OPENING, 4).astype(float)
+    drop(pairs, warm, before)
+    total = float(n_seen[5])
+    spread = float(d[2][1] * n_seen[0] + d[2][2] * n_seen[1] + d[2][3] * n_seen[2:5].sum()) / total if total else 1.0
+    keys = np.array([r["v"] for r in stats], np.int64).view(np.uint64).astype(vocabulary.type)
+    order = np.argsort(keys)
+    return Model(vocabulary, have, n_tokens, n_words, keys[order], [np.array([r[f"s{i}"] for r in stats], float)[order] for i in range(4)], opening, d, total, spread)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the files stay where they are; this is sizes and hot contexts
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the files stay where they are; this is sizes and hot words
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = shared.value

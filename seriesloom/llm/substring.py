@@ -14,7 +14,7 @@ word each.
 3. A task sorts the suffixes of its subtrees (prefix doubling) and reads off the longest common prefixes of neighbours, which are
    the depths of the internal nodes. The deepest node above a suffix, if it is LENGTH words deep, gives a repeat that starts there;
    one inside the repeat of the suffix before is left out. Overlapping repeats of a document merge into its maximal ones.
-4. Repeats meet their document again by the hash of its row; they are sent to the documents while there are at most BROADCAST_SPANS.
+4. Repeats meet their document again by the hash of its row.
 
 The census goes to the tasks as a sorted array while it has at most BROADCAST_SEEDS repeated seeds; beyond that each document
 gets the repeated seeds of its own rows by a join. Paths are 64-bit fingerprints compared within equal 64-bit seeds.
@@ -41,7 +41,6 @@ SEED = 16
 #: Suffixes of a subtree, of about 500 bytes each while it is sorted, and suffixes that a task sorts at once.
 GROUP, FLUSH = 50_000, 100_000
 BROADCAST_SEEDS = 4_000_000
-BROADCAST_SPANS = 2_000_000
 CHUNK = 1 << 20
 
 
@@ -285,9 +284,7 @@ def clean(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(words if out is None else compress(words, (~out).tolist())).decode())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "kept"])
 
-    spans = table(repeated_spans(docs), "substring-spans")
-    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS
-    met = own.join(F.broadcast(spans) if few else spans, "rid", "left").select("row", "text", "spans")
+    met = own.join(repeated_spans(docs), "rid", "left").select("row", "text", "spans")
     wanted = ("n_words", "n_removed", "kept")
     return met.mapInArrow(go, out).select("row.*", *[F.col(c).alias(n) for c, n in zip(wanted, free_names(docs.columns, wanted))])
 

@@ -31,7 +31,6 @@ PERIODIC = ["a " * 36, "a " * 35, "b c " * 40, "x y z " * 30 + " ".join(f"q{i}"
 @pytest.mark.parametrize("group,seeds", [(50_000, 10**6), (1, 10**6), (50_000, 0), (1, 0)])
 def test_substrings(spark, monkeypatch, group, seeds):
     """Normal, with every seed large, and with the census too large to send."""
-    monkeypatch.setattr(substring, "BROADCAST_SPANS", seeds)
     monkeypatch.setattr(substring, "FLUSH", 500 if group > 1 else 100_000)
     monkeypatch.setattr(substring, "GROUP", group)
     monkeypatch.setattr(substring, "BROADCAST_SEEDS", seeds)

@@ -131,42 +131,54 @@ def test_js_distance():
 # ----------------------------------------------------------------------------------------------------- 6 language model
 def brute_kneser_ney(train, test):
     lower = lambda t: WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
-    pair, uni = collections.Counter(), collections.Counter()
-    for t in train:
-        seq = [*lower(t), None]
-        uni.update(seq)
-        pair.update(zip(["<s>", *seq], seq))
+    triples = lambda t: zip(["<s>", "<s>", *lower(t)], ["<s>", *lower(t)], [*lower(t), None])
+    tri = collections.Counter(x for t in train for x in triples(t))
+    uni = collections.Counter()
+    for (_, _, w), c in tri.items():
+        uni[w] += c
+    pair = collections.Counter((v, w) for _, v, w in tri)  # left neighbours
     seen = collections.Counter(w for _, w in pair)
-    n, v = sum(uni.values()), len(uni)
+    n, size = sum(uni.values()), len(uni)
 
     def discounts(counts):
         k = collections.Counter(counts)
         return ngramlm.discounts(np.array([k[i] for i in (1, 2, 3, 4)]))
 
-    d, e = discounts(pair.values()), discounts(seen.values())
+    d3, d2, d1 = discounts(tri.values()), discounts(c for (v, _), c in pair.items() if v != "<s>"), discounts(seen.values())
     total = sum(seen.values())
-    g = sum(e[min(c, 3)] for c in seen.values()) / total
-    ctx = collections.defaultdict(list)
-    for (h, _), c in pair.items():
-        ctx[h].append(c)
+    spread = sum(d1[min(c, 3)] for c in seen.values()) / total
+    after, middle = collections.defaultdict(list), collections.defaultdict(list)
+    for (u, v, _), c in tri.items():
+        after[u, v].append(c)
+    for (v, _), c in pair.items():
+        if v != "<s>":
+            middle[v].append(c)
+
+    def step(count, d, counts, lower):
+        if not counts:
+            return lower
+        return max(count - d[min(count, 3)], 0) / sum(counts) + sum(d[min(c, 3)] for c in counts) / sum(counts) * lower
 
     def score(t):
-        out = base = known = 0
-        seq = [*lower(t), None]
-        for h, w in zip(["<s>", *seq], seq):
-            p = max(seen[w] - e[min(seen[w], 3)], 0) / total + g / (v + 1)
-            if h in ctx:
-                s = sum(ctx[h])
-                p = max(pair[h, w] - d[min(pair[h, w], 3)], 0) / s + sum(d[min(c, 3)] for c in ctx[h]) / s * p
+        out = base = known = m = 0
+        for u, v, w in triples(t):
+            p = max(seen[w] - d1[min(seen[w], 3)], 0) / total + spread / (size + 1)
+            p = step(pair[v, w] if v != "<s>" else 0, d2, middle.get(v), p)
+            p = step(tri[u, v, w], d3, after.get((u, v)), p)
             out += math.log10(p)
-            base += math.log10((uni[w] + 1) / (n + v + 1))
+            base += math.log10((uni[w] + 1) / (n + size + 1))
             known += uni[w] > 0
-        return len(seq), known, n, base, out
+            m += 1
+        return m, known, n, base, out
 
     return [score(t) for t in test]
 
 
-def test_kneser_ney(spark):
+@pytest.mark.parametrize("held,wide", [(10**6, False), (50, False), (50, True)])
+def test_kneser_ney(spark, monkeypatch, held, wide):
+    """Normal; many flushes; ids of 64 bits."""
+    monkeypatch.setattr(ngramlm, "HELD", held)
+    monkeypatch.setattr(ngramlm, "WIDE", 0 if wide else ngramlm.WIDE)
     df = messy(spark, corpus(n=40)).withColumn("held_out", shared.crc_mod("doc_id", 7) == 2)
     rows = df.select("doc_id", "text", "held_out").collect()
     assert {r["held_out"] for r in rows} == {True, False}
@@ -181,48 +193,23 @@ def test_kneser_ney(spark):
 
 
 def test_probabilities_sum_to_one(spark):
-    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(["a b a c", "b a", "c c d", "a"])], SCHEMA)
-    model = ngramlm.fit(df)
-    vocabulary = ["a", "b", "c", "d"]
-    texts = ["a " + w for w in vocabulary] + ["a", "a zzz"]
-    import pyarrow as pa
-
-    s = model.score(shared.Words(*shared.text_buffer(pa.array(texts))))["score"]
-    after = {w: 10 ** (model_pair(model, "a", w)) for w in [*vocabulary, None, "zzz"]}
-    assert math.isclose(sum(after.values()), 1, rel_tol=1e-9) and len(s) == 6
-
-
-def model_pair(model, h, w):
-    """log10 p(w | h), by differences of scored texts."""
+    """Over all words, the end and an unknown word, after seen and unseen contexts."""
     import pyarrow as pa
 
-    score = lambda t: model.score(shared.Words(*shared.text_buffer(pa.array([t]))))["score"][0]
-    first = score(h) - end_after(model, h)
-    return end_after(model, h) if w is None else score(f"{h} {w}") - first - end_after(model, w)
-
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(["a b a c", "b a", "c c d", "a", "d a b a"])], SCHEMA)
+    model = ngramlm.fit(df)
+    for history in ("", "a", "a b", "b a", "d d", "zzz a", "zzz zzz", "c zzz"):
+        texts = [f"{history} {w}" for w in ("a", "b", "c", "d", "zzz", "")]
+        p, _, firsts = model.tokens(shared.Words(*shared.text_buffer(pa.array(texts))))
+        assert math.isclose(sum(p[firsts + len(history.split())]), 1, rel_tol=1e-9), history
 
-def end_after(model, w):
-    from seriesloom.llm.ngramlm import END, bucket_of, pair_hash
 
-    import pyarrow as pa
-
-    words_ = shared.Words(*shared.text_buffer(pa.array([w])))
-    tokens, before, _ = ngramlm.token_stream(words_)
-    c, seen = model.find("word", tokens[1:], bucket_of(tokens[1:], model.buckets))
-    stats = model.find("context", before[1:], bucket_of(before[1:], model.buckets))
-    if len(model.hot[0]):
-        at = np.minimum(np.searchsorted(model.hot[0], before[1:]), len(model.hot[0]) - 1)
-        if model.hot[0][at] == before[1:]:
-            stats = [v[at] for v in model.hot[1:]]
-    total, n1, n2, n3 = (x[0] for x in stats)
-    g = pair_hash(before[1:], tokens[1:])
-    spot = bucket_of(shared.mix(g), model.buckets) if before[1] in model.hot[0] else bucket_of(before[1:], model.buckets)
-    pair = model.find("pair", g, spot)[0][0]
-    assert tokens[1] == END
-    e, d = model.d_word, model.d_pair
-    low = max(seen[0] - e[min(int(seen[0]), 3)], 0) / model.total_seen + model.spread / (model.n_words + 1)
-    p = low if not total else max(pair - d[min(int(pair), 3)], 0) / total + (d[1] * n1 + d[2] * n2 + d[3] * n3) / total * low
-    return math.log10(p)
+def test_counts_beyond_a_byte(spark):
+    texts = ["x y z"] * 700 + ["x y q"] * 300 + ["y z"] * 5
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    model = ngramlm.fit(df)
+    got = {r["doc_id"]: r["score"] for r in rows_of(ngramlm.score(df.withColumn("held_out", F.lit(False)), model))}
+    assert np.allclose([got[i] for i in range(len(texts))], [s[4] for s in brute_kneser_ney(texts, texts)])
 
 
 def test_language_model_of_nothing(spark):
