@@ -11,10 +11,13 @@ each group that has it; `union` leaves the groups side by side.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import time
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +29,56 @@ from .sources import catalog
 from .sources.groups import BrokenSource, ConfigError, SourceGroup, check_groups, check_ignore
 from .sources.model import SAMPLES, Grid, labels_of
 
+#: Requests of a query's statistics that are kept one by one.
+MOST_REQUESTS = 100
 PUSHED = ("sum", "min", "max", "topk", "bottomk", "group", "avg", "count", "count_values")
 
 
 class SourceError(RuntimeError):
-    """A group could not be read."""
+    """A group could not be read. Its subclasses say why; of a bad query or a failed evaluation the message is the cause's own, as
+    every group would give it."""
+
+    kind = "unavailable"
+
+
+class BadData(SourceError):
+    kind = "bad_data"
+
+
+class ExecutionFailed(SourceError):
+    kind = "execution"
+
+
+class TimedOut(SourceError):
+    kind = "timeout"
+
+
+class Canceled(SourceError):
+    kind = "canceled"
+
+
+def source_error(name: str, e: Exception) -> SourceError:
+    text = str(e)
+    if isinstance(e, syntax.QueryError | ConfigError):
+        return BadData(text)
+    if re.search(r"cancell?ed|interrupt", text, re.I):
+        return Canceled(f"{name}: {text}")
+    if re.search(r"timed? ?out|timeout", text, re.I):
+        return TimedOut(f"{name}: {text}")
+    if isinstance(e, PySparkException) and not re.search(r"file|path|read|parquet|connect", text, re.I):
+        return ExecutionFailed(text)
+    return SourceError(f"{name}: {text}")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed now and kept in the shared folder that spark.checkpoint.dir names: a source that may fail does so here."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ConfigError("sources that may fail need spark.checkpoint.dir, a folder that all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="seriesloom-"))
+    return df.checkpoint()
 
 
 @dataclass
@@ -77,7 +125,8 @@ class Engine:
 
     def _parts(self, matchers, low: int | None = None, high: int | None = None) -> list[DataFrame]:
         """What each group that can match contributes; groups that constants, label filters or time ranges rule out are not in
-        the plan. Failures to plan a group's scan follow its error options."""
+        the plan. A group whose errors are to be ignored or downgraded, or any with partial_response, is read at once, so that
+        failures while planning and while reading follow the options."""
         out, failed = [], []
         now = self.now_ms if self.now_ms is not None else int(time.time() * 1000)
         for g in self.groups:
@@ -88,15 +137,17 @@ class Engine:
                 window = (None, None) if low is None else g.window(low - shift, high - shift, now)
                 if window is not None:
                     rows = g.samples(matchers, *window)
+                    if g.ignore_error or g.downgrade_error or self.options.partial_response:
+                        rows = settled(rows)
                     out.append(rows.withColumn("ts_ms", F.col("ts_ms") + F.lit(shift)) if shift else rows)
-            except (PySparkException, BrokenSource) as e:
+            except (PySparkException, Py4JJavaError, BrokenSource) as e:
                 if g.ignore_error:
                     continue
                 if g.downgrade_error or self.options.partial_response:
                     self.warnings.append(f"{g.name}: {e}")
                     failed.append(g)
                     continue
-                raise SourceError(f"{g.name}: {e}") from e
+                raise source_error(g.name, e) from e
         if failed and not out and len(failed) == len(self.groups):
             raise SourceError("no group could be read")
         return out
@@ -178,10 +229,39 @@ class Engine:
         return catalog.federate(rows, [()], at, self.options.lookback_ms, external)
 
     def stats(self, query: str, start: int, end: int, step: int) -> DataFrame:
-        """Per group: series and samples that the query's selectors read."""
-        sets = [n.matchers for n in _selectors(syntax.parse(query))]
-        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p for m in sets for p in self._parts(m, start - self.options.lookback_ms, end)] or [self._empty()])
-        return rows.groupBy("group_ord").agg(F.countDistinct("lkey").alias("series"), F.count(F.lit(1)).alias("samples")).orderBy("group_ord")
+        """Per group: requests (selectors it was asked for), errors, and the series and samples read. `requests` then holds the
+        first MOST_REQUESTS with their seconds."""
+        self.requests, rows = [], []
+        for g in self.groups:
+            parts, asked, errors = [], 0, 0
+            for node in _selectors(syntax.parse(query)):
+                if not g.may_match(node.matchers):
+                    continue
+                began, asked, failure = time.time(), asked + 1, None
+                try:
+                    window = g.window(start - self.options.lookback_ms, end, self.now_ms if self.now_ms is not None else int(time.time() * 1000))
+                    if window is not None:
+                        found = g.samples(node.matchers, *window).groupBy("lkey").count()
+                        parts.append(settled(found) if g.ignore_error or g.downgrade_error or self.options.partial_response else found)
+                except (PySparkException, Py4JJavaError, BrokenSource) as e:
+                    errors, failure = errors + 1, source_error(g.name, e)
+                    if not (g.ignore_error or g.downgrade_error or self.options.partial_response):
+                        raise failure from e
+                if len(self.requests) < MOST_REQUESTS:
+                    self.requests.append({"group": g.name, "matchers": node.matchers, "seconds": time.time() - began, "error": failure and failure.kind})
+            every = reduce(lambda a, b: a.unionByName(b), parts) if parts else self._empty().groupBy("lkey").count()
+            total = every.agg(F.countDistinct("lkey").alias("series"), F.coalesce(F.sum("count"), F.lit(0)).alias("samples"))
+            rows.append(total.select(F.lit(g.ordinal).alias("group_ord"), F.lit(asked).cast("bigint").alias("requests"), F.lit(errors).cast("bigint").alias("errors"), "series", "samples"))
+        return reduce(lambda a, b: a.unionByName(b), rows).orderBy("group_ord")
+
+    # -------------------------------------------------------------------------------------------- for interactive tools
+    def capped_range(self, query: str, start: int, end: int, step: int | None = None, max_series: int = 100, max_samples: int = 10_000) -> tuple[DataFrame, DataFrame]:
+        """A range query cut to so many series and samples, in key order, and one row that tells what was found and what is shown.
+        An open step gives about 250 points."""
+        return catalog.capped(self.query_range(query, start, end, step or default_step(start, end)), max_series, max_samples)
+
+    def capped_series(self, *selectors: str, start=None, end=None, max_series: int = 100) -> tuple[DataFrame, DataFrame]:
+        return catalog.capped(self.series(*selectors, start=start, end=end), max_series, max_series)
 
 
 def default_step(start: int, end: int, points: int = 250) -> int:

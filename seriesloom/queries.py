@@ -418,6 +418,21 @@ def exemplars_by_series(spark, sf_dir):
     return out.select(label(F.col("labels"), "event_type").alias("event_type"), F.explode("exemplars").alias("x")).select("event_type", F.col("x.ts_ms").alias("ts"), F.round("x.value", 6).alias("value"))
 
 
+def capped_report(spark, sf_dir):
+    """What an interactive tool says of a range query that it cuts to 20 series, with all their samples."""
+    return _engine(spark, sf_dir).capped_range(SEL, START, END, DAY, 20, 100_000)[1]
+
+
+def targets_kept(spark, sf_dir):
+    """Two of three targets pass the rules; each is the same table, read once."""
+    from .sources.groups import Relabel, relabel_targets
+
+    targets = [{"__address__": f"{sf_dir}/events.parquet", "kind": k} for k in ("View", "Click", "Error")]
+    kept = relabel_targets(targets, (Relabel("drop", ("kind",), regex="Err.*"), Relabel("lowercase", ("kind",), "kind")))
+    rows = [spark.read.parquet(t["__address__"]).where(F.col("event_type") == t["kind"]) for t in kept]
+    return reduce(lambda a, b: a.unionByName(b), rows).groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("value"))
+
+
 def source_stats(spark, sf_dir):
     return _engine(spark, sf_dir, split(spark, sf_dir)).stats("sum(events_value)", START, END, DAY)
 
@@ -480,7 +495,9 @@ OTHERS: dict[str, tuple] = {
     "exposition_lines": (exposition_lines, "SELECT 'events_value{event_type=\"' || event_type || '\",user_id=\"' || user_id || '\"} ' || floor(value)::BIGINT || ' ' || (epoch_us(ts) // 1000) AS line FROM events"),
     "metadata_first": (metadata_first, "SELECT n_name AS metric, CASE WHEN n_nationkey % 2 = 0 THEN 'counter' ELSE 'gauge' END AS type, CASE WHEN n_nationkey % 2 = 0 THEN 'first' ELSE 'second' END AS help, '' AS unit FROM nation"),
     "exemplars_by_series": (exemplars_by_series, f"SELECT event_type, (epoch_us(ts) // 1000)::BIGINT AS ts, round(value, 6) AS value FROM events WHERE event_type IN ('view', 'error') AND (epoch_us(ts) // 1000) BETWEEN {START} AND {START + DAY}"),
-    "source_stats": (source_stats, f"WITH {_AB} SELECT 0 AS group_ord, count(DISTINCT (event_type, user_id)) AS series, count(*) AS samples FROM a WHERE ts > {START} - {LOOKBACK} - 1 AND ts <= {END} AND ts > {START} - {LOOKBACK} UNION ALL SELECT 1, count(DISTINCT (event_type, user_id)), count(*) FROM b WHERE ts > {START} - {LOOKBACK} AND ts <= {END}"),
+    "source_stats": (source_stats, f"WITH {_AB} SELECT 0 AS group_ord, 1 AS requests, 0 AS errors, count(DISTINCT (event_type, user_id)) AS series, count(*) AS samples FROM a WHERE ts > {START} - {LOOKBACK} - 1 AND ts <= {END} AND ts > {START} - {LOOKBACK} UNION ALL SELECT 1, 1, 0, count(DISTINCT (event_type, user_id)), count(*) FROM b WHERE ts > {START} - {LOOKBACK} AND ts <= {END}"),
+    "capped_report": (capped_report, inst("SELECT count(DISTINCT (event_type, user_id)) AS series, count(*) AS samples, 20 AS shown_series, least(100000, (SELECT count(*) FROM (SELECT *, dense_rank() OVER (ORDER BY '\"' || event_type || '\"},{\"key\":\"user_id\",\"value\":\"' || user_id || '\"') r FROM i) WHERE r <= 20)) AS shown_samples FROM i")),
+    "targets_kept": (targets_kept, "SELECT event_type, count(*)::DOUBLE AS value FROM events WHERE event_type IN ('view', 'click') GROUP BY event_type"),
 }
 
 

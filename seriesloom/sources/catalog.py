@@ -90,6 +90,15 @@ def federate(samples: DataFrame, selectors, now: int, lookback: int = 300_000, e
     return latest.select(labels.alias("labels"), F.col("s.value").alias("value"), F.col("s.ts_ms").alias("ts_ms")).withColumn("lkey", key_of(F.col("labels"))).orderBy(label(F.col("labels"), NAME), "lkey")
 
 
+def capped(df: DataFrame, max_series: int, max_samples: int) -> tuple[DataFrame, DataFrame]:
+    """At most so many series, and samples of them, in key order, and (series, samples, shown_series, shown_samples) as one row."""
+    kept = df.select("lkey").distinct().orderBy("lkey").limit(max_series)
+    order = [c for c in ("step", "ts_ms") if c in df.columns]
+    shown = df.join(F.broadcast(kept), "lkey", "left_semi").orderBy("lkey", *order).limit(max_samples)
+    n = lambda x, name: x.agg(F.countDistinct("lkey").alias(f"{name}series"), F.count(F.lit(1)).alias(f"{name}samples"))
+    return shown, n(df, "").crossJoin(n(shown, "shown_"))  # one row beside one row
+
+
 def truncate(df: DataFrame, max_series: int, max_samples: int) -> tuple[DataFrame, dict[str, int]]:
     """At most so many series, and samples of them, in key order, and how many there were: the caps of an interactive tool."""
     keys = df.select("lkey").distinct()

@@ -85,7 +85,7 @@ class SourceGroup:
     def __post_init__(self):
         self.name = self.name or f"sg-{self.ordinal}"
         self.anti_affinity_ms = self.anti_affinity_ms // 1000 * 1000  # whole seconds
-        self._values: dict[str, set[str]] = {}
+        self._found: dict[Matcher, bool] = {}
 
     # ---------------------------------------------------------------------------------------------------- pruning
     def may_match(self, matchers) -> bool:
@@ -100,17 +100,18 @@ class SourceGroup:
             return True
         for m in matchers:
             if m.name in f.dynamic or m.name in f.include:
-                have = (self._dynamic(m.name) if m.name in f.dynamic else set()) | set(f.include.get(m.name, ()))
-                if not any(matches_text(v, m) for v in have - set(f.exclude.get(m.name, ()))):
+                without = f.exclude.get(m.name, ())
+                listed = any(matches_text(v, m) for v in set(f.include.get(m.name, ())) - set(without))
+                if not listed and not (m.name in f.dynamic and self._has(m, without)):
                     return False
         return True
 
-    def _dynamic(self, name: str) -> set[str]:
-        """Values of a label, read once: a label that a filter is configured for is one of few values."""
-        if name not in self._values:
-            rows = self._unioned().select(label(F.col("labels"), name).alias("v")).distinct()
-            self._values[name] = {r[0] for r in rows.toLocalIterator()}
-        return self._values[name]
+    def _has(self, m: Matcher, without: tuple[str, ...]) -> bool:
+        """Whether the source has a series that matches, looked up once: the scan takes the matcher and ends at the first row."""
+        if m not in self._found:
+            rows = self._unioned((*self.inject, m))
+            self._found[m] = bool(rows.where(~label(F.col("labels"), m.name).isin(list(without))).limit(1).count()) if without else bool(rows.limit(1).count())
+        return self._found[m]
 
     def window(self, low: int, high: int, now: int) -> tuple[int, int] | None:
         """(low, high] cut to the group's time range, or None if the group is to be skipped."""
@@ -141,9 +142,9 @@ class SourceGroup:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def samples(self, matchers=(), low: int | None = None, high: int | None = None) -> DataFrame:
-        """Merged samples of the series that match, with the group's labels. Time bounds and, where no relabelling comes after,
-        the matchers stand directly on the scan."""
-        early = [m for m in matchers if m.name not in self.labels] if not self.relabel else []
+        """Merged samples of the series that match, with the group's labels. Time bounds and the matchers of labels that no
+        relabelling changes stand directly on the scan."""
+        early = [m for m in matchers if m.name not in self.labels and not any(changes(r, m.name) for r in self.relabel)]
         rows = self._unioned((*self.inject, *early), low, high)
         if self.extra_filters:
             any_of = F.lit(False)
@@ -167,6 +168,47 @@ class SourceGroup:
         return rows.withColumn("group_ord", F.lit(self.ordinal))
 
 
+def changes(r: Relabel, name: str) -> bool:
+    """Whether a rule can change a label."""
+    return bool(re.fullmatch(r.regex, name)) if r.action == "labeldrop" else r.target_label == name
+
+
+def relabel_targets(targets: list[dict[str, str]], rules: tuple[Relabel, ...]) -> list[dict[str, str]]:
+    """The targets of a static list after keep, drop, replace, lowercase, uppercase, labeldrop, labelkeep and labelmap rules. One
+    without an address is an error."""
+    out = []
+    for target in targets:
+        own: dict[str, str] | None = dict(target)
+        for r in rules:
+            text, full = r.separator.join(own.get(x, "") for x in r.source_labels), re.compile(r.regex, re.S)
+            hit, new = full.fullmatch(text), re.sub(r"\$\{?(\w+)\}?", r"\\g<\1>", r.replacement)
+            if r.action in ("keep", "drop"):
+                if bool(hit) != (r.action == "keep"):
+                    own = None
+                    break
+            elif r.action == "replace":
+                own |= {r.target_label: hit.expand(new)} if hit else {}
+            elif r.action in ("lowercase", "uppercase"):
+                own[r.target_label] = text.lower() if r.action == "lowercase" else text.upper()
+            elif r.action in ("labeldrop", "labelkeep"):
+                own = {k: v for k, v in own.items() if bool(full.fullmatch(k)) != (r.action == "labeldrop")}
+            elif r.action == "labelmap":
+                own |= {m.expand(new): v for k, v in own.items() if (m := full.fullmatch(k))}
+            else:
+                raise ConfigError(f"relabel action {r.action!r} is not supported on targets")
+        if own is not None:
+            if not own.get("__address__"):
+                raise ConfigError(f"target {target} has no address")
+            out.append(own)
+    return out
+
+
+def group_of_targets(spark, targets: list[dict[str, str]], rules: tuple[Relabel, ...] = (), format: str = "parquet", options: dict[str, str] | None = None, **group) -> SourceGroup:
+    """A group whose replicas are tables of samples at the targets' addresses; format and options are those of the reader."""
+    kept = dict.fromkeys(t["__address__"] for t in relabel_targets(targets, rules))
+    return SourceGroup([spark.read.format(format).options(**(options or {})).load(a) for a in kept], **group)
+
+
 def relabelled(labels, r: Relabel):
     if r.action == "labeldrop":
         return F.map_filter(labels, lambda k, v: ~k.rlike(f"^(?:{r.regex})$"))

@@ -89,7 +89,7 @@ def test_metadata(spark, base):
     assert two.series("foo").count() == 2
     shown, counts = catalog.truncate(e.query_range("foo", 0, 600_000, 60_000), 1, 3)
     assert shown.count() == 3 and counts == {"series": 2, "samples": 26, "shown_series": 1, "shown_samples": 3} or counts["series"] == 2
-    assert [tuple(r) for r in e.stats("foo + bar", 0, 600_000, 60_000).collect()] == [(0, 3, 33)]
+    assert [tuple(r) for r in e.stats("foo + bar", 0, 600_000, 60_000).collect()] == [(0, 2, 0, 3, 33)]
 
 
 def test_federate_and_exposition(spark, base):
@@ -164,3 +164,61 @@ def test_table_scan_pushes_down(spark):
     want = source.scan().where("labels.event_type = 'view' and labels.user_id like '1%' and ts_ms > 1704153600000 and ts_ms <= 1705000000000").count()
     assert rows.count() == want > 0
     assert isinstance(source, TableSource) and source.scan((Matcher("nope", "=", "x"),)).count() == 0
+
+
+def test_target_rules():
+    from seriesloom.sources.groups import relabel_targets
+
+    targets = [{"__address__": f"h{i}:9090", "dc": dc, "__meta_role": "DB"} for i, dc in enumerate(("eu", "us", "ap"))]
+    rules = (Relabel("drop", ("dc",), regex="ap"), Relabel("labelmap", regex="__meta_(.+)"), Relabel("lowercase", ("role",), "role"), Relabel("replace", ("__address__", "dc"), "id", "([^:]+):.*;(.*)", "$2-${1}"), Relabel("labeldrop", regex="__meta.*"))
+    assert relabel_targets(targets, rules) == [{"__address__": "h0:9090", "dc": "eu", "role": "db", "id": "eu-h0"}, {"__address__": "h1:9090", "dc": "us", "role": "db", "id": "us-h1"}]
+    assert relabel_targets(targets, (Relabel("keep", ("dc",), regex="eu|us"), Relabel("labelkeep", regex="__address__"))) == [{"__address__": "h0:9090"}, {"__address__": "h1:9090"}]
+    with pytest.raises(ConfigError, match="no address"):
+        relabel_targets([{"dc": "eu"}], ())
+
+
+def test_sources_that_fail_while_they_are_read(spark, tmp_path):
+    """A file that breaks only when it is read: an error, a warning or nothing, as the group says."""
+    good = load(spark, "1m", 'up{i="0"} 1x10\n')
+    path = str(tmp_path / "broken")
+    good.write.parquet(path)
+    broken = spark.read.schema(good.schema).parquet(path)
+    for f in tmp_path.glob("broken/*.parquet"):
+        f.write_bytes(b"PAR1 not a table PAR1")
+    groups = lambda **o: (SourceGroup([good], {"g": "a"}), SourceGroup([broken], {"g": "b"}, **o))
+    e = engine(spark, *groups(ignore_error=True))
+    assert [r["value"] for r in e.query("count(up)", 300_000).collect()] == [1.0] and not e.warnings
+    e = engine(spark, *groups(downgrade_error=True))
+    assert [r["value"] for r in e.query("count(up)", 300_000).collect()] == [1.0] and "sg-1" in e.warnings[0]
+    e = engine(spark, *groups(), partial_response=True)
+    assert [r["value"] for r in e.query("count(up)", 300_000).collect()] == [1.0] and e.warnings
+    stats = {r["group_ord"]: r for r in e.stats("up", 0, 600_000, 60_000).collect()}
+    assert (stats[0]["requests"], stats[0]["errors"], stats[0]["samples"]) == (1, 0, 11) and stats[1]["errors"] == 1
+    assert [r["error"] for r in e.requests] == [None, "unavailable"]
+    with pytest.raises(SourceError, match="no group"):
+        engine(spark, SourceGroup([broken], {"g": "b"}), partial_response=True).query("count(up)", 300_000)
+
+
+def test_kinds_of_errors():
+    from seriesloom.engine import source_error
+    from seriesloom.plans.syntax import QueryError
+
+    assert source_error("g", QueryError("bad")).kind == "bad_data" and str(source_error("g", QueryError("bad"))) == "bad"
+    assert [source_error("g", RuntimeError(x)).kind for x in ("Job 3 cancelled", "read timed out", "no such host")] == ["canceled", "timeout", "unavailable"]
+
+
+def test_caps_and_their_report(spark):
+    e = engine(spark, load(spark, "1m", 'up{i="0"} 1x10\nup{i="1"} 1x10\nup{i="2"} 1x10\n'))
+    shown, report = e.capped_range("up", 0, 600_000, 60_000, max_series=2, max_samples=15)
+    assert shown.count() == 15 and {r["labels"]["i"] for r in shown.collect()} == {"0", "1"}
+    assert tuple(report.collect()[0]) == (3, 33, 2, 15)
+    assert e.capped_range("up", 0, 600_000)[0].count() == 3 * 201  # an open step gives about 250 points: 3 s
+
+
+def test_matchers_pass_relabelling_that_leaves_their_label(spark):
+    """They reach the scan; those of changed labels stay behind it."""
+    rows = load(spark, "1m", 'up{i="0",z="a"} 1x3\nup{i="1",z="b"} 1x3\n')
+    g = SourceGroup([rows], relabel=(Relabel("uppercase", ("z",), "z"),))
+    got = g.samples((Matcher("i", "=", "0"), Matcher("z", "=", "A")))
+    assert {r["labels"]["z"] for r in got.collect()} == {"A"} and got.count() == 4
+    assert g.samples((Matcher("z", "=", "a"),)).count() == 0
