@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,12 +37,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 # ---------------------------------------------------------------------------------------------- folders and tables
 def work_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir). A temporary one is set only where the setting is absent."""
+    """The folder that the cluster shares (spark.checkpoint.dir). A temporary one is set only where the setting is absent and all
+    tasks run in this process, as in tests; on a cluster the setting is needed."""
     small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = own.get()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="seriesloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -53,7 +57,7 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "s
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Also lets Python workers on this machine find the package wherever the driver was started."""
+    """Sets BATCHES for the session, which other queries of it see too; a session that has its own values keeps them. Also lets Python workers on this machine find the package wherever the driver was started."""
     root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
