@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.model import NAME, key_of, label, labels_of, without
+from ..sources.model import NAME, key_without, label, labels_of
 from . import num
 
 
@@ -13,7 +13,7 @@ def classic_groups(vector: DataFrame) -> DataFrame:
     """lkey (labels without le and name), step, b: buckets ascending, equal bounds added, counts made monotone."""
     labels = labels_of(F.col("lkey"))
     rows = vector.where(F.col("value").isNotNull()).withColumn("le", _bound(label(labels, "le")))
-    rows = rows.where(F.col("le").isNotNull()).select(key_of(without(labels, ["le", NAME])).alias("lkey"), "step", "le", "value")
+    rows = rows.where(F.col("le").isNotNull()).select(key_without(F.col("lkey"), ["le", NAME]).alias("lkey"), "step", "le", "value")
     sums = rows.groupBy("lkey", "step", "le").agg(F.sum("value").alias("c"))
     b = F.array_sort(F.collect_list(F.struct("le", "c")))
     grouped = sums.groupBy("lkey", "step").agg(b.alias("b"))

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import num
 from ..functions.histograms import native_mean, native_sum
 from ..plans.syntax import Aggregate
-from ..sources.model import NAME, key_of, labels_of, only, with_labels, without
+from ..sources.model import NAME, key_of, key_only, key_without, labels_of, only, with_labels, without
 
 
 def group_key(node: Aggregate) -> Column:
     """Key of the labels that a group keeps. `by ()` and no clause at all keep none, without reading the labels."""
     if node.without:
-        return key_of(without(labels_of(F.col("lkey")), (*node.labels, NAME)))
-    return key_of(only(labels_of(F.col("lkey")), node.labels)) if node.labels else F.lit("[]")
+        return key_without(F.col("lkey"), (*node.labels, NAME))
+    return key_only(F.col("lkey"), node.labels)
 
 
 def _aggregates(op: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import num
 from ..plans.syntax import COMPARISONS, SETS, Matching
-from ..sources.model import NAME, key_of, label, labels_of, only, with_labels, without
+from ..sources.model import NAME, key_of, key_only, key_without, label, labels_of, with_labels
 
 
 def arithmetic(op: str, a: Column, b: Column) -> Column:
@@ -16,7 +16,7 @@ def arithmetic(op: str, a: Column, b: Column) -> Column:
 
 def nameless(lkey: Column) -> Column:
     """The key without the metric's name; `__name__` sorts before lower-case labels but is taken out wherever it stands."""
-    return key_of(without(labels_of(lkey), [NAME]))
+    return key_without(lkey, [NAME])
 
 
 def with_scalar(op: str, vector: DataFrame, scalar: Column, swapped: bool, bool_: bool) -> DataFrame:
@@ -42,8 +42,7 @@ def scaled(h: Column, f) -> Column:
 
 
 def match_key(m: Matching) -> Column:
-    labels = labels_of(F.col("lkey"))
-    return key_of(only(labels, m.labels) if m.on else without(labels, (*m.labels, NAME)))
+    return key_only(F.col("lkey"), m.labels) if m.on else key_without(F.col("lkey"), (*m.labels, NAME))
 
 
 def _floats(v: DataFrame) -> DataFrame:
@@ -69,15 +68,14 @@ def vectors(op: str, left: DataFrame, right: DataFrame, matching: Matching | Non
     both = many.join(one, on)
     a, b = (F.col("ovalue"), F.col("value")) if m.card == "one-to-many" else (F.col("value"), F.col("ovalue"))
     drops = op not in COMPARISONS or bool_
-    labels = labels_of(F.col("lkey"))
+    dropped = [NAME] if drops else []
     if one_to_one:
-        key = F.col("mkey") if m.on else key_of(without(labels, (*m.labels, *([NAME] if drops else ())))) if m.labels or drops else F.col("lkey")
+        key = F.col("mkey") if m.on else key_without(F.col("lkey"), (*m.labels, *dropped))
+    elif m.include:
+        other = labels_of(F.col("okey"))
+        key = key_of(with_labels(labels_of(key_without(F.col("lkey"), dropped)), {x: label(other, x) for x in m.include}))
     else:
-        labels = without(labels, [NAME]) if drops else labels
-        if m.include:
-            other = labels_of(F.col("okey"))
-            labels = with_labels(labels, {x: label(other, x) for x in m.include})
-        key = key_of(labels) if m.include or drops else F.col("lkey")
+        key = key_without(F.col("lkey"), dropped)
     if op in COMPARISONS:
         hit = num.compare(op, a, b)
         if bool_:

@@ -7,6 +7,8 @@ because a MAP can be neither a join key nor a window partition; labels come back
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -30,6 +32,28 @@ def labels_of(lkey: Column) -> Column:
     return F.map_from_entries(F.from_json(lkey, _ENTRIES))
 
 
+#: A JSON string's inside, without backtracking.
+_INSIDE = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+
+
+def _entry(names) -> str:
+    """Pattern of the entries of these labels in a key. A quote inside a value is escaped, so nothing else matches."""
+    names = "|".join(re.sub(r"([^\w])", r"\\\1", json.dumps(n, ensure_ascii=False)[1:-1]) for n in names)
+    return rf'\{{"key":"(?:{names})","value":"{_INSIDE}"\}}'
+
+
+def key_without(lkey: Column, names) -> Column:
+    """The key of a label set without these labels, cut out of the text: keys are made for every series and step."""
+    names = list(dict.fromkeys(names))
+    return F.regexp_replace(F.regexp_replace(lkey, _entry(names) + ",?", ""), r",\]$", "]") if names else lkey
+
+
+def key_only(lkey: Column, names) -> Column:
+    """The key of these labels of a label set alone."""
+    names = list(dict.fromkeys(names))
+    return F.concat(F.lit("["), F.concat_ws(",", F.regexp_extract_all(lkey, F.lit(_entry(names)), F.lit(0))), F.lit("]")) if names else F.lit("[]")
+
+
 def only(labels: Column, names) -> Column:
     names = list(names)
     return F.map_filter(labels, lambda k, v: k.isin(names)) if names else F.map_filter(labels, lambda k, v: F.lit(False))

@@ -222,3 +222,14 @@ def test_matchers_pass_relabelling_that_leaves_their_label(spark):
     got = g.samples((Matcher("i", "=", "0"), Matcher("z", "=", "A")))
     assert {r["labels"]["z"] for r in got.collect()} == {"A"} and got.count() == 4
     assert g.samples((Matcher("z", "=", "a"),)).count() == 0
+
+
+def test_keys_cut_as_text_equal_keys_of_the_labels(spark):
+    from seriesloom.sources.model import key_of, key_only, key_without, labels_of, only, without
+
+    values = ["x", "", 'a "quoted" one', "back\\slash\\", '{"key":"a","value":"z"}', "comma,]", "ü\n\t", "\\\""]
+    rows = [({"__name__": v, "a": w, "b.c": v + w, "z": w},) for v in values for w in values]
+    df = spark.createDataFrame(rows, "labels map<string,string>").withColumn("lkey", key_of(F.col("labels")))
+    for names in (["__name__"], ["a"], ["z", "__name__"], ["b.c", "a"], ["__name__", "a", "b.c", "z"], ["nope"], []):
+        bad = df.where((key_without(F.col("lkey"), names) != key_of(without(labels_of(F.col("lkey")), names))) | (key_only(F.col("lkey"), names) != key_of(only(labels_of(F.col("lkey")), names))))
+        assert bad.count() == 0, names
