@@ -9,7 +9,8 @@ compressed. Buckets are dealt by the middle word v. So one shuffle brings togeth
 left neighbours of a pair (v, w), and all pairs of v: whatever the model needs but for two sums. Middle words with more than 1 / (2
 buckets) of all tokens, 2 x buckets of them at most, are spread by (v, u), which keeps their contexts whole; their pairs' left
 neighbours are added up in a second, small shuffle. The numbers of words before each word are the other. The number of buckets is
-SPREAD x spark.sql.shuffle.partitions, so a group's size is set by the cluster's configuration.
+SPREAD x spark.sql.shuffle.partitions, so a group's size is set by the cluster's configuration; the small shuffles go to fewer parts
+while a bucket has too little for each.
 
 Storage. A bucket's trigrams, contexts and pairs are sorted hash arrays in files of the shared folder: 48 bits of the hash, which
 in a bucket of n entries mistakes an absent one for a present one with probability n / 2^48; entries counted once as keys alone, the
@@ -41,9 +42,11 @@ from .shared import LOWER, chunks, crc_mod, drop, load, mix, new_path, read_docu
 END = np.uint64(0xE4D0000000000001)
 HELD = 1_000_000
 SPREAD = 2
+#: Tokens for each row that goes from a bucket of trigrams to one of words or hot pairs.
+ROW_PAIRS = 2000
 #: Ids from which 32 bits are not enough.
 WIDE = (1 << 32) - 2
-SCORE_CHUNK = 4 << 20
+SCORE_CHUNK = 6 << 20
 #: Statistics of an entry that is stored as a key alone.
 SINGLE = {"tri": (1,), "ctx": (1, 1, 0, 0), "pair": (1,), "hot": (1,)}
 _U64 = np.dtype("<u8")
@@ -234,19 +237,21 @@ class Vocabulary:
                 counts[low + hit] = value(n, at[hit])
         return ids, counts
 
-    def triples(self, words) -> tuple[np.ndarray, ...]:
-        """u, v, w of every token, the words' counts, and the first token of each document."""
+    def distinct(self, words) -> tuple[np.ndarray, ...]:
+        """Ids and counts of the distinct tokens, of every token its place among them, and the first token of each document."""
         tokens, firsts = token_stream(words)
         known, inverse = np.unique(tokens, return_inverse=True)
-        ids, counts = self.find(known)
-        w = ids[inverse]
+        return *self.find(known), inverse, firsts
+
+    def triples(self, w: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """u, v, w of every token."""
         v = np.empty_like(w)
         v[1:] = w[:-1]
         v[firsts] = self.begin
         u = np.empty_like(w)
         u[1:] = v[:-1]
         u[firsts] = self.begin
-        return u, v, w, counts[inverse], firsts
+        return u, v, w
 
     def spots(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
         """Buckets of trigrams: by v; by (v, u) for a hot v; the opening of a text by its word."""
@@ -290,7 +295,8 @@ def _trigrams(vocabulary: Vocabulary, hot: np.ndarray):
             return _rows(rows)
 
         for batch in chunks(batches):
-            held.append(vocabulary.triples(words_of(batch))[:3])
+            ids, _, inverse, firsts = vocabulary.distinct(words_of(batch))
+            held.append(vocabulary.triples(ids[inverse], firsts))
             if sum(len(x[0]) for x in held) > HELD:
                 yield flush()
                 held = []
@@ -310,8 +316,8 @@ def _stats(first: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
     return [np.add.reduceat(x.astype(_U64), first) if len(first) else np.zeros(0, _U64) for x in (c, c == 1, c == 2, c > 2)]
 
 
-def _merge_trigrams(vocabulary: Vocabulary, hot: np.ndarray):
-    path, buckets = vocabulary.path, vocabulary.buckets
+def _merge_trigrams(vocabulary: Vocabulary, hot: np.ndarray, parts: int):
+    path = vocabulary.path
 
     def go(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
@@ -344,11 +350,11 @@ def _merge_trigrams(vocabulary: Vocabulary, hot: np.ndarray):
         v, w = v[first], w[first]
         shared = np.isin(v, hot)
         if shared.any():
-            spot = bucket_of(mix(hashed(v[shared], w[shared])), buckets)
+            spot = bucket_of(mix(hashed(v[shared], w[shared])), parts)
             order = np.argsort(spot, kind="stable")
             rows += _dealt(HOT, spot[order], *(x[shared][order] for x in (v, w, left)))
         v, w, left = v[~shared], w[~shared], left[~shared]
-        rows += _before(w, buckets)
+        rows += _before(w, vocabulary.buckets, parts)
         inner = v != vocabulary.begin
         v, w, left = v[inner], w[inner], left[inner]
         rows.append((PAIR_COUNTS, bucket, squeeze(_counts_of_counts(left))))
@@ -360,15 +366,15 @@ def _merge_trigrams(vocabulary: Vocabulary, hot: np.ndarray):
     return go
 
 
-def _before(w: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
-    """Rows of how many pairs end in each word."""
+def _before(w: np.ndarray, buckets: int, parts: int) -> list[tuple[int, int, bytes]]:
+    """Rows of how many pairs end in each word, by the words' buckets modulo parts."""
     ids, n = np.unique(w, return_counts=True)
-    spot = (ids % ids.dtype.type(buckets)).astype(np.int64)
+    spot = (ids % ids.dtype.type(buckets)).astype(np.int64) % parts
     order = np.argsort(spot, kind="stable")
     return _dealt(BEFORE, spot[order], ids[order], n[order].astype(_U64))
 
 
-def _merge_hot(vocabulary: Vocabulary):
+def _merge_hot(vocabulary: Vocabulary, parts: int):
     """The pairs of hot middle words: left neighbours added up over the buckets of (v, u)."""
 
     def go(group: pa.Table) -> pa.Table:
@@ -381,7 +387,7 @@ def _merge_hot(vocabulary: Vocabulary):
         save_table(f"{vocabulary.path}/hot-{bucket}", "hot", hashed(v, w), left)
         run = _starts(v)
         rows = [(PAIR_COUNTS, bucket, squeeze(_counts_of_counts(left))), (HOT_STATS, bucket, squeeze(v[run].astype(_U64), *_stats(run, left)))]
-        return pa.Table.from_batches([_rows(rows + _before(w, vocabulary.buckets))])
+        return pa.Table.from_batches([_rows(rows + _before(w, vocabulary.buckets, parts))])
 
     return go
 
@@ -393,16 +399,19 @@ def _hot_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge_before(vocabulary: Vocabulary):
-    """The numbers of words before each word of a bucket, by rank."""
+    """The numbers of words before each word, by rank, of the buckets that come together."""
 
     def go(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py()
-        seen = np.zeros(len(mapped(f"{vocabulary.path}/word-{bucket}")[0]), _U64)
-        for x in group.column("data"):
-            ids, n = expand(x.as_py())
-            seen[(ids // ids.dtype.type(vocabulary.buckets)).astype(np.int64)] += n
-        save(f"{vocabulary.path}/seen-{bucket}", *small(seen))
-        return pa.Table.from_batches([_rows([(WORD_COUNTS, bucket, squeeze(np.append(_counts_of_counts(seen[seen > 0]), seen.sum()).astype(_U64)))])])
+        ids, n = (np.concatenate(x) for x in zip(*(expand(x.as_py()) for x in group.column("data"))))
+        buckets, rows = ids.dtype.type(vocabulary.buckets), []
+        spot = (ids % buckets).astype(np.int64)
+        for bucket in np.unique(spot).tolist():
+            seen = np.zeros(len(mapped(f"{vocabulary.path}/word-{bucket}")[0]), _U64)
+            mine = spot == bucket
+            np.add.at(seen, (ids[mine] // buckets).astype(np.int64), n[mine])
+            save(f"{vocabulary.path}/seen-{bucket}", *small(seen))
+            rows.append((WORD_COUNTS, bucket, squeeze(np.append(_counts_of_counts(seen[seen > 0]), seen.sum()).astype(_U64))))
+        return pa.Table.from_batches([_rows(rows)])
 
     return go
 
@@ -418,14 +427,17 @@ def discounts(n: np.ndarray) -> np.ndarray:
 class Model:
     """What the driver knows of a model: sizes, discounts, the hot words with their statistics; workers map the files."""
 
-    def __init__(self, vocabulary: Vocabulary, have: dict[str, set[int]], n_tokens: int, n_words: int, hot: np.ndarray, hot_stats: list[np.ndarray], opening: np.ndarray, d: list[np.ndarray], total: float, spread: float):
-        self.vocabulary, self.have, self.n_tokens, self.n_words, self.hot, self.hot_stats, self.opening, self.d, self.total, self.spread = vocabulary, have, n_tokens, n_words, hot, hot_stats, opening, d, total, spread
+    def __init__(self, vocabulary: Vocabulary, have: dict[str, set[int]], n_tokens: int, n_words: int, hot: np.ndarray, hot_stats: list[np.ndarray], opening: np.ndarray, d: list[np.ndarray], total: float, spread: float, parts: int):
+        self.vocabulary, self.have, self.n_tokens, self.n_words, self.hot, self.hot_stats, self.opening, self.d, self.total, self.spread, self.parts = vocabulary, have, n_tokens, n_words, hot, hot_stats, opening, d, total, spread, parts
 
     def _stored(self, kind: str, hashes: np.ndarray, spots: np.ndarray) -> list[np.ndarray]:
         """The statistics of each hash (0 where absent), in the buckets given."""
         out = [np.zeros(len(hashes)) for _ in SINGLE[kind]]
         keys = hashes >> np.uint64(16)
-        order = np.lexsort((keys, spots))
+        if self.vocabulary.buckets <= 1 << 16:  # the key and its bucket in one word
+            order = np.argsort(keys | spots.astype(np.uint64) << np.uint64(48))
+        else:
+            order = np.lexsort((keys, spots))
         edges = np.searchsorted(spots[order], np.arange(self.vocabulary.buckets + 1)).tolist()
         for b, (low, high) in enumerate(zip(edges, edges[1:])):
             if low < high and b in self.have[kind]:
@@ -473,44 +485,31 @@ class Model:
 
     def tokens(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability and count of every token, and the first token of each document."""
-        u, v, w, c, firsts = self.vocabulary.triples(words)
+        ids, counts, inverse, firsts = self.vocabulary.distinct(words)
+        u, v, w = self.vocabulary.triples(ids[inverse], firsts)
         d3, d2, d1 = self.d
         used = lambda x, d: np.maximum(x - d[np.minimum(x, 3).astype(np.int64)], 0)
-
-        def once(find, *columns):
-            """find over distinct rows, dealt back to all."""
-            key = columns[0] if len(columns) == 1 else hashed(*columns)
-            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            found = find(*(x[first] for x in columns))
-            return [x[inverse] for x in found]
-
-        p = used(once(lambda x: [self._before(x)], w)[0], d1) / max(self.total, 1) + self.spread / (self.n_words + 1)
-        total, *rest = once(self._middle, v)
-
-        def pairs(a, b):
-            is_hot, out = np.isin(a, self.hot), np.zeros(len(a))
-            plain = np.flatnonzero(~is_hot)
-            out[plain] = self._stored("pair", hashed(a[plain], b[plain]), bucket_of(mix(a[plain].astype(_U64)), self.vocabulary.buckets))[0]
-            mine = np.flatnonzero(is_hot)
-            h = hashed(a[mine], b[mine])
-            out[mine] = self._stored("hot", h, bucket_of(mix(h), self.vocabulary.buckets))[0]
-            return [out]
-
+        p = (used(self._before(ids), d1) / max(self.total, 1) + self.spread / (self.n_words + 1))[inverse]
+        total, *rest = (np.append(0, x[inverse][:-1]) for x in self._middle(ids))
+        for x in (total, *rest):  # nothing stands before a text
+            x[firsts] = 0
+        is_hot, n = np.isin(v, self.hot), np.zeros(len(v))
+        plain, mine, h = np.flatnonzero(~is_hot), np.flatnonzero(is_hot), hashed(v, w)
+        n[plain] = self._stored("pair", h[plain], bucket_of(mix(v[plain].astype(_U64)), self.vocabulary.buckets))[0]
+        n[mine] = self._stored("hot", h[mine], bucket_of(mix(h[mine]), self.parts))[0]
         with np.errstate(divide="ignore", invalid="ignore"):
-            higher = used(once(pairs, v, w)[0], d2) / total + sum(x * y for x, y in zip(d2[1:], rest)) / total * p
+            higher = used(n, d2) / total + sum(x * y for x, y in zip(d2[1:], rest)) / total * p
             p = np.where(total > 0, higher, p)
 
-        def contexts(a, b):
-            return self._stored("ctx", hashed(a, b), self.vocabulary.spots(a, b, b, self.hot))
-
-        total, *rest = once(contexts, u, v)
+        h, spots = hashed(u, v), self.vocabulary.spots(u, v, w, self.hot)
+        total, *rest = self._stored("ctx", h, spots)
         start = v == self.vocabulary.begin
         for x, y in zip((total, *rest), self.opening):
             x[start] = y
-        n = self._stored("tri", hashed(hashed(u, v), w), self.vocabulary.spots(u, v, w, self.hot))[0]
+        n = self._stored("tri", hashed(h, w), spots)[0]
         with np.errstate(divide="ignore", invalid="ignore"):
             higher = used(n, d3) / total + sum(x * y for x, y in zip(d3[1:], rest)) / total * p
-            return np.where(total > 0, higher, p), c, firsts
+            return np.where(total > 0, higher, p), counts[inverse], firsts
 
     def score(self, words) -> dict[str, np.ndarray]:
         p, c, firsts = self.tokens(words)
@@ -530,8 +529,9 @@ def fit(docs: DataFrame) -> Model:
     vocabulary = Vocabulary(path, buckets, set(sizes), max((x[0] for x in sizes.values()), default=0) * buckets >= WIDE)
     each = spark.createDataFrame([(b,) for b in sizes], "bucket int").repartition(max(1, min(len(sizes), buckets // SPREAD)))
     hot = np.sort(np.array([r[0] for r in each.mapInArrow(_hot_words(vocabulary, n_tokens / (2 * buckets)), "id long").collect()], np.int64).view(np.uint64).astype(vocabulary.type))
-    pairs = table(texts.mapInArrow(_trigrams(vocabulary, hot), _ROW).groupBy("bucket").applyInArrow(_merge_trigrams(vocabulary, hot), _ROW), "lm-trigrams")
-    warm = table(pairs.where(F.col("kind") == HOT).groupBy("bucket").applyInArrow(_merge_hot(vocabulary), _ROW), "lm-hot")
+    parts = max(1, min(buckets, n_tokens // (buckets * ROW_PAIRS)))
+    pairs = table(texts.mapInArrow(_trigrams(vocabulary, hot), _ROW).groupBy("bucket").applyInArrow(_merge_trigrams(vocabulary, hot, parts), _ROW), "lm-trigrams")
+    warm = table(pairs.where(F.col("kind") == HOT).groupBy("bucket").applyInArrow(_merge_hot(vocabulary, parts), _ROW), "lm-hot")
     every = pairs.unionByName(warm)
     before = table(every.where(F.col("kind") == BEFORE).groupBy("bucket").applyInArrow(_merge_before(vocabulary), _ROW), "lm-before")
     few = every.where(F.col("kind").isin(TRI_COUNTS, PAIR_COUNTS, OPENING)).unionByName(before).collect()  # a few numbers for each bucket
@@ -548,7 +548,7 @@ def fit(docs: DataFrame) -> Model:
     spread = float(d[2][1] * n_seen[0] + d[2][2] * n_seen[1] + d[2][3] * n_seen[2:5].sum()) / total if total else 1.0
     keys = np.array([r["v"] for r in stats], np.int64).view(np.uint64).astype(vocabulary.type)
     order = np.argsort(keys)
-    return Model(vocabulary, have, n_tokens, n_words, keys[order], [np.array([r[f"s{i}"] for r in stats], float)[order] for i in range(4)], opening, d, total, spread)
+    return Model(vocabulary, have, n_tokens, n_words, keys[order], [np.array([r[f"s{i}"] for r in stats], float)[order] for i in range(4)], opening, d, total, spread, parts)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -178,6 +178,7 @@ def brute_kneser_ney(train, test):
 def test_kneser_ney(spark, monkeypatch, held, wide):
     """Normal; many flushes; ids of 64 bits."""
     monkeypatch.setattr(ngramlm, "HELD", held)
+    monkeypatch.setattr(ngramlm, "ROW_PAIRS", 1 if held == 50 else 2000)
     monkeypatch.setattr(ngramlm, "WIDE", 0 if wide else ngramlm.WIDE)
     df = messy(spark, corpus(n=40)).withColumn("held_out", shared.crc_mod("doc_id", 7) == 2)
     rows = df.select("doc_id", "text", "held_out").collect()
