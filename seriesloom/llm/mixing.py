@@ -2,8 +2,9 @@
 
 Everything is DataFrame expressions. Three small aggregates drive the plan: words per source, words per (source, hash
 bucket), and the water-filled targets. A document's place in its source's stream is the bucket's offset plus a running sum
-inside the bucket, so a source that holds a third of all rows is spread over `16 ** BUCKET_DIGITS` windows and no task ever
-sees a whole source. Its training position is the inverse of the source's cumulative demand, the integral of its
+inside the bucket, so a source that holds a third of all rows is spread over many windows and no task ever sees a whole source. A
+bucket is a prefix of the id's hash, one digit longer for each sixteenfold of rows from BUCKET_ROWS a bucket on, and the rows without
+an id, which share a hash, are spread by their text's; neither changes the order. Its training position is the inverse of the source's cumulative demand, the integral of its
 piecewise-linear weight schedule; `curriculum` range-sorts the copies by that position.
 
 Defined cases: a null text or one without words has size 0, is never short of its target and takes 0 words; a null source
@@ -22,7 +23,9 @@ SHARE = 1.5
 MOST = 2.0
 #: Multipliers of a source's weight at equal steps of the training run, by its rank; each is integrated piecewise linearly.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
-BUCKET_DIGITS = 3
+BUCKET_DIGITS, BUCKET_ROWS = 3, 50_000
+#: The hash of the empty id.
+NO_ID = "d41d8cd98f00b204e9800998ecf8427e"
 WORDS_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -79,7 +82,12 @@ def plan_mix(docs: DataFrame, keep: bool = False) -> DataFrame:
         n_words(F.col("text")).alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"),
         F.xxhash64("text").alias("h2"),
-    ).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    )
+    digits, n = BUCKET_DIGITS, docs.count()
+    while n > BUCKET_ROWS * 16**digits:
+        digits += 1
+    spread = F.concat(F.lit("1"), F.lpad(F.hex(F.shiftrightunsigned(F.col("h2").bitwiseXOR(F.lit(-(1 << 63))), 56)), 2, "0"))  # in the order of h2
+    rows = rows.withColumn("bucket", F.concat(F.substring("h", 1, digits), F.when(F.col("h") < NO_ID, "0").when(F.col("h") > NO_ID, "2").otherwise(spread)))
     buckets = rows.groupBy("src", "absent", "bucket").agg(F.sum("size").alias("bucket_size"))
     w = Window.partitionBy("src", "absent")
     buckets = buckets.select("src", "absent", "bucket", F.coalesce(F.sum("bucket_size").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))

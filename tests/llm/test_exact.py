@@ -400,6 +400,18 @@ def test_mix(spark):
     assert mixing.plan_mix(empty(spark)).count() == 0 and mixing.curriculum(empty(spark)).count() == 0
 
 
+def test_buckets_do_not_change_the_plan(spark, monkeypatch):
+    """One bucket beside many, with rows without an id, which are spread by their texts in the same order."""
+    rows = [(None if i % 3 else i, f"own text {i} " * (i % 7), "en", f"s{i % 2}", 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plans = []
+    for digits, least in ((0, 10**6), (3, 10**6), (1, 1)):
+        monkeypatch.setattr(mixing, "BUCKET_DIGITS", digits)
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", least)
+        plans.append(sorted((r["doc_id"] or -1, r["size"], r["taken"], tuple(r["positions"])) for r in mixing.plan_mix(df).collect()))
+    assert plans[0] == plans[1] == plans[2]
+
+
 def test_position_inverts_the_integral(spark):
     from pyspark.sql import functions as F
 

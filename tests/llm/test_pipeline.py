@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seriesloom.llm import mixing, shared
-from util import SCHEMA, words
+from util import SCHEMA, empty, messy, words
 
 
 def test_stages(spark, tmp_path):
@@ -38,3 +38,27 @@ def test_stages(spark, tmp_path):
     rows = sorted(out.collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in rows] == trained
     assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(rows, rows[1:]))
+
+
+def _write(df, labels, bench, folder, spark):
+    df.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_messy_tables(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and clashing columns go through all stages."""
+    df = messy(spark)
+    _write(df, [(0, 1, 0), (None, None, None)], [(0, None), (None, "same row twice again")], tmp_path, spark)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = shared.table(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == df.columns
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(rows) == docs.count() > 0 and sum(r["n_tokens"] for r in rows) == max(r["start"] + r["n_tokens"] for r in rows)
+    assert {None, 3} <= {r["doc_id"] for r in rows}
+
+
+def test_empty_tables(spark, tmp_path):
+    _write(empty(spark), [], [], tmp_path, spark)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
