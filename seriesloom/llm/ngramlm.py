@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, chunks, crc_mod, drop, load, mix, new_path, read_documents, save, table, trim, words_of
+from .shared import LOWER, chunks, crc_mod, drop, load, mix, new_path, read_documents, release_early, save, table, trim, words_of
 
 END = np.uint64(0xE4D0000000000001)
 HELD = 1_000_000
@@ -182,6 +182,7 @@ def _dealt(kind: int, buckets: np.ndarray, *arrays: np.ndarray) -> list[tuple[in
 
 def _unigrams(buckets: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_early()
         held: list = []
 
         def merged():
@@ -206,6 +207,7 @@ def _merge_words(path: str):
     """The words of a bucket to their file: hashes, ranks by count, counts."""
 
     def go(group: pa.Table) -> pa.Table:
+        release_early()
         bucket = group.column("bucket")[0].as_py()
         parts = [expand(x.as_py()) for x in group.column("data")]
         keys, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
@@ -277,6 +279,7 @@ def _hot_words(vocabulary: Vocabulary, least: float):
 
 def _trigrams(vocabulary: Vocabulary, hot: np.ndarray):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_early()
         held: list = []
 
         def flush():
@@ -320,6 +323,7 @@ def _merge_trigrams(vocabulary: Vocabulary, hot: np.ndarray, parts: int):
     path = vocabulary.path
 
     def go(group: pa.Table) -> pa.Table:
+        release_early()
         bucket = group.column("bucket")[0].as_py()
         us, vs, ws, ns = [], [], [], []
         for x in group.column("data"):
@@ -378,6 +382,7 @@ def _merge_hot(vocabulary: Vocabulary, parts: int):
     """The pairs of hot middle words: left neighbours added up over the buckets of (v, u)."""
 
     def go(group: pa.Table) -> pa.Table:
+        release_early()
         bucket = group.column("bucket")[0].as_py()
         v, w, left = (np.concatenate(x) for x in zip(*(expand(x.as_py()) for x in group.column("data"))))
         order = _order(v, w)
@@ -402,6 +407,7 @@ def _merge_before(vocabulary: Vocabulary):
     """The numbers of words before each word, by rank, of the buckets that come together."""
 
     def go(group: pa.Table) -> pa.Table:
+        release_early()
         ids, n = (np.concatenate(x) for x in zip(*(expand(x.as_py()) for x in group.column("data"))))
         buckets, rows = ids.dtype.type(vocabulary.buckets), []
         spot = (ids % buckets).astype(np.int64)
@@ -555,6 +561,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the files stay where they are; this is sizes and hot words
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_early()
         use = shared.value
         for batch in chunks(batches, limit=SCORE_CHUNK):
             out = use.score(words_of(batch))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, chunks, drop, free_names, mix, ranges_hash, read_documents, table, text_buffer, trim
+from .shared import Words, chunks, drop, free_names, mix, ranges_hash, read_documents, release_early, table, text_buffer, trim
 
 LENGTH = 35
 SEED = 16
@@ -86,6 +86,7 @@ def prefixes(words: Words) -> tuple[np.ndarray, ...]:
 
 
 def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_early()
     for batch in chunks(batches, limit=CHUNK):
         _, many, seeds, twice, _ = prefixes(Words(*text_buffer(batch.column("text"))))
         yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(np.where(twice, 2, 1), pa.int64()), pa.array(many, pa.int64())], names=["seed", "n", "suffixes"])
@@ -118,6 +119,7 @@ def _suffixes(shared):
     of words that is decided."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_early()
         for batch in chunks(batches, limit=CHUNK):
             words = Words(*text_buffer(batch.column("text")))
             first, many, seeds, _, hashes = prefixes(words)
@@ -213,6 +215,7 @@ def _repeats(rows: pa.Table) -> pa.RecordBatch:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by part to (rid, a, b): spans of repeated words. A flush holds whole parts."""
+    release_early()
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -274,6 +277,7 @@ def clean(docs: DataFrame) -> DataFrame:
     out = StructType([StructField("row", own.schema["row"].dataType), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_early()
         for batch in chunks(batches, limit=CHUNK):
             kept, counts, gone = [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
