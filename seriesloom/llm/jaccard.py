@@ -400,14 +400,21 @@ def _links(own: DataFrame, runs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     work = [members, leaves]
     met = leaves.select("key").unionByName(hot.select("key")).distinct()
     near = table(sets.join(met, "key", "left_semi").select("key", "rep", "copies", "size", "screen"), "jaccard-near")
-    reps = near.select(F.col("rep").alias("rid"))
-    held = own.join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, "rid", "left_semi").select("text").mapInArrow(_sets, "key binary, shingles binary")
-    if rows.groupBy("rid").count().where("count > 1").limit(1).count():
-        held = held.groupBy("key").agg(F.first("shingles").alias("shingles"))
-    held = table(held, "jaccard-shingles")
+    repeated = bool(rows.groupBy("rid").count().where("count > 1").limit(1).count())
+
+    def shingles_of(keys: DataFrame) -> DataFrame:
+        """(key, shingles) of these sets, from the text of one document each."""
+        reps = near.join(keys.select("key").distinct(), "key", "left_semi").select(F.col("rep").alias("rid"))
+        held = own.join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, "rid", "left_semi").select("text").mapInArrow(_sets, "key binary, shingles binary")
+        return held.groupBy("key").agg(F.first("shingles").alias("shingles")) if repeated else held
+
+    held = None
     for depth in range(1, DEPTH + 1):
         if not hot.limit(1).count():
             break
+        if held is None:  # children's members are members of their parents
+            held = table(shingles_of(hot), "jaccard-shingles")
+            work.append(held)
         grown = hot.groupBy("key").agg(F.collect_list(F.struct("bucket", "stands", "runs")).alias("paths")).join(held, "key")
         split = grown.select("key", "shingles", "paths").mapInArrow(_split, "bucket long, key binary, size long, stands int, runs long")
         members = table(_shared(split), "jaccard-members")
@@ -415,9 +422,9 @@ def _links(own: DataFrame, runs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         done = _screened(parts, near)
         work += [members, done]
         leaves = leaves.unionByName(done.select(*leaves.columns))
-    facts = held.join(near.select("key", F.col("copies").alias("number")), "key").withColumnRenamed("shingles", "payload")
+    facts = shingles_of(leaves).join(near.select("key", F.col("copies").alias("number")), "key").withColumnRenamed("shingles", "payload")
     linked = table(_cells(leaves, facts, _close_compare, _LINKED), "jaccard-links")
-    drop(*work, near, held)  # what follows reads rows, sets, links and labels
+    drop(*work, near)  # what follows reads rows, sets, links and labels
     return rows, sets, linked
 
 
