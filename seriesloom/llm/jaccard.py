@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, chunks, drop, mix, ranges_hash, read_documents, table, text_buffer
+from .shared import Words, chunks, drop, mix, ranges_hash, read_documents, table, text_buffer, trim
 
 SHINGLE = 5
 #: Similarity as a fraction, compared in integers.
@@ -292,9 +292,12 @@ def _by_cell(close, schema: pa.Schema):
                     if len(found) > 20_000:
                         yield out()
                 rows.append(row)
+            trim()
         if len(rows) > 1:
             found.extend(close(sorted(rows, key=lambda r: r[2])))
+        rows.clear()
         yield out()
+        trim()
 
     return go
 

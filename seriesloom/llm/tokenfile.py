@@ -59,7 +59,7 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 CACHE_UNITS = 800_000
 MOST_NEW = 400_000
-ENCODE_CHUNK = 4 << 20
+ENCODE_CHUNK = 1 << 20
 #: ASCII punctuation but for the apostrophe, which can begin a pre-token of letters.
 _MARK = np.zeros(256, bool)
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
