@@ -59,6 +59,14 @@ def whole(c: Column, f) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) >= 2.0**62), c).otherwise(f(c).cast("double"))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Half away from zero on the scaled value, as DuckDB rounds: F.round goes by a number's shortest decimal text, which makes
+    another choice for ties such as 0.41 / 6.4 = 0.0640625. NaN, infinities and what the scale overflows stay."""
+    scale = lit(10.0**digits)
+    near = F.round(c * scale) / scale
+    return F.when(F.abs(near) < INF, near).otherwise(c)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once per row: a lambda's argument is not inlined."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .engine import Engine, Options
+from .functions import num
 from .plans.syntax import Matcher
 from .sources import catalog
 from .sources.groups import SourceGroup, TimeRange
@@ -30,7 +31,7 @@ def _engine(spark, sf_dir: str, groups=None, **options) -> Engine:
 def flat(df: DataFrame, *names: str) -> DataFrame:
     """Label columns, step and rounded value."""
     labels = labels_of(F.col("lkey"))
-    return df.select(*[label(labels, n).alias(n if n != "__name__" else "metric") for n in names], F.col("step").cast("bigint").alias("step"), F.round("value", 6).alias("value"))
+    return df.select(*[label(labels, n).alias(n if n != "__name__" else "metric") for n in names], F.col("step").cast("bigint").alias("step"), num.rounded(F.col("value"), 6).alias("value"))
 
 
 def promql(query: str, *names: str, start: int = START, end: int = END, step: int = DAY):
